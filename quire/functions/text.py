@@ -63,19 +63,24 @@ def is_table_line(trimmed: Column) -> Column:
     return (F.instr(trimmed, "  ") > 0) & (F.size(cells) >= 3)
 
 
+# Cheap first tests: printable ASCII and the letters up to U+167F cannot start a match,
+# so ordinary text never reaches the long white space class.
+_NOT_PLAIN = r"[^ -~\x{a1}-\x{167f}]"
+_SPACE_RUN = rf"(?=[^!-~\x{{a1}}-\x{{167f}}])(?:{fixed.WS}{{2,}}|{fixed.WS_NOT_SPACE})"
+
+
 def _collapse_spaces(trimmed: Column) -> Column:
-    # Single U+0020 characters are not matched, so ordinary prose is copied untouched.
-    return F.regexp_replace(
-        trimmed, f"{fixed.WS}{{2,}}|{fixed.WS_NOT_SPACE}", " "
-    )
+    has_run = F.contains(trimmed, F.lit("  ")) | trimmed.rlike(_NOT_PLAIN)
+    return F.when(has_run, F.regexp_replace(trimmed, _SPACE_RUN, " ")).otherwise(trimmed)
 
 
 # A newline between two non-blank lines becomes a space unless the line before it
 # ends a sentence or the line after it opens a list item, heading, quote or number.
+# The newline comes first in the pattern, so the look-behinds are tried at line ends only.
 _JOINABLE_NEWLINE = (
-    f"(?<![{fixed.SENTENCE_END_CHARS}\n])"
-    + "".join(f"(?<!{word})" for word in fixed.SENTENCE_END_WORDS)
-    + "\n(?!\n|[-*•#>] |[0-9][^\n]*\\. )"
+    f"\n(?<![{fixed.SENTENCE_END_CHARS}\n]\n)"
+    + "".join(f"(?<!{word}\n)" for word in fixed.SENTENCE_END_WORDS)
+    + "(?!\n|[-*•#>] |[0-9][^\n]*\\. )"
 )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx
-from quire.operators.keys import document_blocks, document_pages, page_block
+from quire.operators.keys import document_pages, with_block
 from quire.schemas import BLOCK_PAGES
 
 EDGE_LINES = 3
@@ -33,20 +33,25 @@ def edge_line_counts(pages: DataFrame) -> DataFrame:
     """
     text = F.col("text")
     return (
-        pages.select("doc_stem", F.explode(F.concat(_edge(text, "header"), _edge(text, "footer"))).alias("e"))
-        .select("doc_stem", "e.edge", "e.line")
+        pages.select(
+            "doc_stem",
+            "page_num",
+            F.explode(F.concat(_edge(text, "header"), _edge(text, "footer"))).alias("e"),
+        )
+        .select("doc_stem", "page_num", "e.edge", "e.line")
         .where((F.col("line") != "") & (F.octet_length("line") < MAX_LINE_BYTES))
         .groupBy("doc_stem", "edge", "line")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count("page_num").alias("n"))
     )
 
 
-def headers_footers(pages: DataFrame) -> DataFrame:
+def headers_footers(pages: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """``doc_stem, edge, line, n, pages`` of lines repeated on 60 % of the pages.
 
     Documents of fewer than three pages have none. Only the five most frequent lines
     of an edge can reach 60 %, so the rank limit drops all others before they are
-    shuffled, however many distinct lines a document has.
+    shuffled, however many distinct lines a document has. ``keys`` is any table with
+    the same page keys that is cheaper to count than ``pages``.
     """
     by_count = Window.partitionBy("doc_stem", "edge").orderBy(F.desc("n"))
     candidates = (
@@ -55,34 +60,35 @@ def headers_footers(pages: DataFrame) -> DataFrame:
         .where(F.col("_rank") <= MAX_REPEATED)
         .drop("_rank")
     )
-    return candidates.join(document_pages(pages), "doc_stem").where(
+    totals = document_pages(pages if keys is None else keys)
+    return candidates.join(totals, "doc_stem").where(
         (F.col("pages") >= MIN_PAGES) & (F.col("n") * 10 >= F.col("pages") * 6)
     ).select("doc_stem", "edge", "line", "n", "pages")
 
 
 def strip_headers_footers(
-    pages: DataFrame, hf: DataFrame, block_pages: int = BLOCK_PAGES
+    pages: DataFrame,
+    hf: DataFrame,
+    block_pages: int = BLOCK_PAGES,
+    keys: DataFrame | None = None,
 ) -> DataFrame:
     """Remove header and footer lines wherever they stand on a page of their document.
 
     The at most ten lines of a document are copied to each of its page blocks and
-    joined by block, so the pages of one long document spread over many tasks.
+    joined by block, so the pages of one long document spread over many tasks. ``keys``
+    is any table with the same page keys that is cheaper to list than ``pages``.
     """
     lines = hf.groupBy("doc_stem").agg(F.collect_set("line").alias("_hf"))
-    per_block = (
-        document_blocks(pages, block_pages).select("doc_stem", "block_no").join(lines, "doc_stem")
-    )
+    blocks = with_block(pages if keys is None else keys, block_pages)
+    per_block = blocks.select("doc_stem", "block_no").distinct().join(lines, "doc_stem")
     kept = F.filter(
         tx.text_lines(F.col("text")),
         lambda line: ~F.array_contains(F.col("_hf"), tx.trim_ws(line)),
     )
     stripped = tx.trim_ws(F.array_join(kept, "\n"))
-    return (
-        pages.withColumn("block_no", page_block("page_num", block_pages))
-        .join(per_block, ["doc_stem", "block_no"], "left")
-        .withColumn("text", F.when(F.col("_hf").isNull(), F.col("text")).otherwise(stripped))
-        .drop("block_no", "_hf")
-    )
+    text = F.when(F.col("_hf").isNull(), F.col("text")).otherwise(stripped)
+    joined = with_block(pages, block_pages).join(per_block, ["doc_stem", "block_no"], "left")
+    return joined.withColumn("text", text).select(*pages.columns)
 
 
 def header_footer_detection(hf: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.operators.keys import doc_keys, document_blocks, page_block
+from quire.operators.keys import doc_keys, document_blocks, page_block, with_block
 from quire.schemas import BLOCK_PAGES
 
 PAGE_LINE = r"(?:^|\n)## Page ([0-9]+)"
@@ -53,7 +53,7 @@ def assemble_documents(
     """
     blocks = document_blocks(bodies if pages is None else pages, block_pages)
     texts = (
-        bodies.withColumn("block_no", page_block("page_num", block_pages))
+        with_block(bodies, block_pages)
         .groupBy("doc_stem", "block_no")
         .agg(F.sort_array(F.collect_list(F.struct("page_num", "content"))).alias("_pages"))
     )
@@ -63,7 +63,7 @@ def assemble_documents(
     body = F.when(F.col("block_no") == 0, text).otherwise(F.regexp_replace(text, r"\A\n\n---\n", ""))
     closing = F.when(F.col("block_no") < F.col("last_block"), F.lit("\n\n---"))
     opening = F.when(F.col("block_no") == 0, head)
-    return texts.join(blocks, ["doc_stem", "block_no"]).select(
+    return texts.join(blocks, ["doc_stem", "block_no"], "left").select(
         "doc_stem", "block_no", F.concat_ws("\n", opening, body, closing).alias("markdown")
     )
 

@@ -19,6 +19,16 @@ def page_block(page_num: str | Column = "page_num", block_pages: int = BLOCK_PAG
     return F.floor(page / F.lit(block_pages)).cast("int")
 
 
+def with_block(pages: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFrame:
+    """Pages with their ``block_no``; a block number already there is kept.
+
+    Keeping the column keeps a partitioning on it, so later steps need no shuffle.
+    """
+    if "block_no" in pages.columns:
+        return pages
+    return pages.withColumn("block_no", page_block("page_num", block_pages))
+
+
 def document_pages(pages: DataFrame) -> DataFrame:
     """``doc_stem, pages``; reads no text."""
     return pages.groupBy("doc_stem").agg(F.count(F.lit(1)).alias("pages"))
@@ -31,7 +41,7 @@ def document_blocks(pages: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFra
     pages, meet in the join, so a long document stays a short list.
     """
     blocks = (
-        pages.select("doc_stem", page_block("page_num", block_pages).alias("block_no"))
+        with_block(pages, block_pages)
         .groupBy("doc_stem", "block_no")
         .agg(F.count(F.lit(1)).alias("n"))
     )

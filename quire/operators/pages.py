@@ -128,7 +128,8 @@ def assemble_pages(pages: DataFrame, descriptions: DataFrame | None = None) -> D
         failed = F.concat(page_heading(), F.lit("[Error: "), F.col("error"), F.lit("]\n"))
         # The heading already ends its line, so the error follows without a joiner.
         content = F.when(F.col("error").isNotNull(), failed).otherwise(content)
-    return joined.select("doc_stem", "page_num", content.alias("content"))
+    keys = [c for c in ("doc_stem", "page_num", "block_no") if c in pages.columns]
+    return joined.select(*keys, content.alias("content"))
 
 
 def _page_descriptions(descriptions: DataFrame) -> DataFrame:

@@ -23,27 +23,26 @@ class Outputs:
 
 
 def cleaned_by_block(pages: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFrame:
-    """Cleaned pages, spread by page block.
+    """Cleaned pages with ``block_no``, spread by page block.
 
-    Header search, stripping and assembly all read this one exchange, so the texts
-    are cleaned and shuffled once.
+    Header search, stripping and assembly all start from this one exchange, so the
+    texts are cleaned once and shuffled once. For that, all of them have to need the
+    same columns and filters below it: the key filter that a join would add to some of
+    them is given here, and the edge count counts ``page_num``.
     """
-    block = keys.page_block("page_num", block_pages)
-    return (
-        pg.cleanup_text(pages.select("doc_stem", "page_num", "text"))
-        .withColumn("block_no", block)
-        .repartition("doc_stem", "block_no")
-        .drop("block_no")
-    )
+    keyed = pages.where(F.col("doc_stem").isNotNull())
+    source = [c for c in ("doc_stem", "page_num", "text", "error") if c in pages.columns]
+    cleaned = pg.cleanup_text(keyed.select(*source))
+    return keys.with_block(cleaned, block_pages).repartition("doc_stem", "block_no")
 
 
 def text_only_pipeline(
     pages: DataFrame, language: str = "th", block_pages: int = BLOCK_PAGES
 ) -> Outputs:
     """Clean, find and strip headers and footers, detect, assemble; no model."""
-    cleaned = pg.cleanup_text(pages.select("doc_stem", "page_num", "text"))
-    hf = boilerplate.headers_footers(cleaned)
-    stripped = boilerplate.strip_headers_footers(cleaned, hf, block_pages)
+    cleaned = cleaned_by_block(pages, block_pages)
+    hf = boilerplate.headers_footers(cleaned, pages)
+    stripped = boilerplate.strip_headers_footers(cleaned, hf, block_pages, pages)
     docs = documents.assemble_documents(
         pg.assemble_pages(stripped), documents.text_only_head(language), pages, block_pages
     )

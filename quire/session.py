@@ -27,6 +27,7 @@ def local_session(cores: int = 8, **extra: str) -> SparkSession:
         .appName("quire")
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
     )
     for key, value in {**SETTINGS, **extra}.items():
