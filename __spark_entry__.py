@@ -59,7 +59,7 @@ def _route(v: Views) -> DataFrame:
 
 
 def _assemble_pages(v: Views) -> DataFrame:
-    routed = _route(v)
+    routed = materialize(_route(v), "routed")
     asked = description_requests(routed, v.text_page_objects)
     answers = describe_images(asked, fake_describer, base_delay=0.0)
     return pages.assemble_pages(routed, materialize(settle_descriptions(answers), "descriptions"))

@@ -114,12 +114,9 @@ def _blank() -> Column:
 
 
 def _detect(pages: DataFrame, *findings: Column) -> DataFrame:
-    found = F.col("_found") if len(findings) > 1 else findings[0]
-    rows = _with_facts(pages)
-    if len(findings) > 1:
-        rows = rows.select("doc_stem", "page", F.explode(F.array(*findings)).alias("_found"))
-    else:
-        rows = rows.select("doc_stem", "page", found.alias("_found"))
+    # The generator keeps the null test from being pushed into the projections below,
+    # which would copy every expression into a filter.
+    rows = _with_facts(pages).select("doc_stem", "page", F.explode(F.array(*findings)).alias("_found"))
     return rows.where(F.col("_found").isNotNull()).select(
         "doc_stem", "page", *[F.col(f"_found.{c}").alias(c) for c in _COLUMNS]
     )

@@ -62,13 +62,16 @@ def vision_pipeline(
 ) -> Outputs:
     """Route, describe, assemble, catalogue and detect; headers are only reported.
 
-    Answers of the model are written to the shared folder before anything uses them,
-    so that the documents and the catalogue agree and a lost executor does not cause
-    the calls to be made again.
+    Cleaned and routed pages are written to the shared folder once, because requests,
+    bodies and detections all read them, each with columns of its own. Answers of the
+    model are written before anything uses them, so that the documents and the
+    catalogue agree and a lost executor does not cause the calls to be made again.
     """
     source = [c for c in ("doc_stem", "page_num", "text", "error", "page_image") if c in pages.columns]
     cleaned = pg.cleanup_text(pages.select(*source))
-    routed = pg.route_pages(cleaned, images.image_coverage(objects), config)
+    routed = materialize(
+        pg.route_pages(cleaned, images.image_coverage(objects), config), "routed"
+    )
     readable = routed.where(F.col("error").isNull()) if "error" in source else routed
     requests = enrich.description_requests(readable, objects, config, block_width)
     answers = enrich.describe_images(requests, describer, config.max_retries, base_delay, prompts)
@@ -81,9 +84,9 @@ def vision_pipeline(
     )
     catalog = images.catalog_rows(described, config.provider, config.model)
     if not config.detect_trash:
-        found = detect.detect_trash(cleaned).where(F.lit(False))
+        found = detect.detect_trash(routed).where(F.lit(False))
     else:
-        found = detect.all_detections(cleaned, boilerplate.headers_footers(cleaned))
+        found = detect.all_detections(routed, boilerplate.headers_footers(routed))
     return Outputs(docs, catalog, found, described)
 
 
