@@ -40,16 +40,21 @@ def _text_only(spark: SparkSession, folder: str) -> DataFrame:
     return pipelines.text_only_pipeline(Views(spark, folder).page_texts).documents
 
 
-def fake_describer(row: dict) -> str:
+def _describer() -> Callable[[dict], str]:
     """Stands in for a model: names the image, and never answers for page 13."""
-    if "13_" in row["image_ref"]:
-        raise RuntimeError("no answer")
-    return "seen " + row["image_ref"]
+
+    # A nested function is sent to the workers whole, so they need not import this file.
+    def answer(row: dict) -> str:
+        if "13_" in row["image_ref"]:
+            raise RuntimeError("no answer")
+        return "seen " + row["image_ref"]
+
+    return answer
 
 
 def _vision(v: Views) -> pipelines.Outputs:
     return pipelines.vision_pipeline(
-        v.page_texts, v.text_page_objects, fake_describer, base_delay=0.0
+        v.page_texts, v.text_page_objects, _describer(), base_delay=0.0
     )
 
 
@@ -61,7 +66,7 @@ def _route(v: Views) -> DataFrame:
 def _assemble_pages(v: Views) -> DataFrame:
     routed = materialize(_route(v), "routed")
     asked = description_requests(routed, v.text_page_objects)
-    answers = describe_images(asked, fake_describer, base_delay=0.0)
+    answers = describe_images(asked, _describer(), base_delay=0.0)
     return pages.assemble_pages(routed, materialize(settle_descriptions(answers), "descriptions"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quire import schemas
 
+FILES = "path string, modificationTime timestamp, length bigint, content binary"
 MAX_FILE_BYTES = 50 * 1024 * 1024
 
 
@@ -19,7 +20,8 @@ def file_stem(path) -> F.Column:
     return F.when(stem == "", F.lit("document")).otherwise(stem)
 
 
-def _pdf_rows(files: DataFrame, max_bytes: int) -> DataFrame:
+def pdf_rows(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """File rows with their document name, without files over the size limit."""
     # Size is file metadata: the bytes of files that are too big are not read.
     return files.where(F.col("length") <= max_bytes).select(
         file_stem(F.col("path")).alias("doc_stem"), "path", "modificationTime", "length", "content"
@@ -29,7 +31,7 @@ def _pdf_rows(files: DataFrame, max_bytes: int) -> DataFrame:
 def ingest_files(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     """PDF files of a folder (not below it), or one file, with their bytes."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "false")
-    return _pdf_rows(reader.option("pathGlobFilter", "*.pdf").load(path), max_bytes)
+    return pdf_rows(reader.option("pathGlobFilter", "*.pdf").load(path), max_bytes)
 
 
 @dataclass(frozen=True)
@@ -53,9 +55,9 @@ def read_results(spark: SparkSession, path: str, layout: str = "parts") -> Resul
     keyed = "doc_stem string, block_no int"
 
     def texts(folder: str) -> DataFrame:
-        reader = spark.read.schema(f"value string, {keyed}").option("wholetext", True)
+        reader = spark.read.schema(f"value string, {keyed}")
         # The text writer ends each file with a newline of its own.
-        return reader.text(f"{path}/{folder}").withColumn(
+        return reader.text(f"{path}/{folder}", wholetext=True).withColumn(
             "value", F.regexp_replace("value", r"\n\z", "")
         )
 
@@ -77,9 +79,9 @@ def _json_rows(texts: DataFrame, schema: str) -> DataFrame:
 
 def _read_flat(spark: SparkSession, path: str) -> Results:
     def texts(suffix: str) -> DataFrame:
-        reader = spark.read.option("wholetext", True).option("pathGlobFilter", f"*{suffix}")
+        reader = spark.read.option("pathGlobFilter", f"*{suffix}")
         name = F.col("_metadata.file_name")
-        return reader.text(path).select(
+        return reader.text(path, wholetext=True).select(
             F.url_decode(F.substring(name, F.lit(1), F.length(name) - len(suffix))).alias("doc_stem"),
             "value",
         )

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from quire.functions import fixed
 from quire.operators import enrich
 from quire.plans import pipelines
-from quire.sources.files import MAX_FILE_BYTES, _pdf_rows
+from quire.sources.files import FILES, MAX_FILE_BYTES, pdf_rows
 from quire.sources.sinks import write_tables
 
 
@@ -128,13 +128,14 @@ def stream_ingest(
     """
     files = (
         spark.readStream.format("binaryFile")
+        .schema(FILES)
         .option("pathGlobFilter", "*.pdf")
         .option("maxFilesPerTrigger", max_files)
         .load(folder)
     )
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        pages = enrich.pages_from_documents(_pdf_rows(batch, max_bytes), extractor)
+        pages = enrich.pages_from_documents(pdf_rows(batch, max_bytes), extractor)
         target = f"{out}/batch_id={batch_id}"
         # Extraction runs caller code once; everything else reads its table.
         pages.write.mode("overwrite").parquet(f"{target}/pages")

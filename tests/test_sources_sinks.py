@@ -1,0 +1,148 @@
+import json
+import os
+import sys
+
+import pytest
+from pyspark import cloudpickle
+from pyspark.sql import functions as F
+from quire import schemas
+from quire.operators import enrich
+from quire.sources import files, sinks
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+@pytest.fixture
+def tables(spark, docs):
+    md = docs({"007": "# a\n\ntext\n", "b": "# b", "c_enriched": ""})
+    cat = spark.createDataFrame(
+        [("007", 2, 1, "007/x.png", "extracted_image", 10, 20, 'say "hi"\n', "007", "p", "m"),
+         ("007", 1, None, "007/y.png", "full_page", None, None, "ก", "007", "p", "m")], schemas.CATALOG)
+    det = spark.createDataFrame([("b", 0, "header_footer", 1.0, "r", "p"), ("b", 3, "blank_page", 0.8, "r", "")], schemas.DETECTIONS)
+    return md, cat, det
+
+
+def rows(df):
+    return sorted(df.collect(), key=str)
+
+
+def test_results_round_trip(spark, tables, tmp_path):
+    md, cat, det = tables
+    uri = f"file://{tmp_path}/out"
+    assert sinks.write_results(md, cat, det, uri) == {"markdown": 3, "images_metadata": 3, "trash": 1}
+    again = files.read_results(spark, uri)
+    assert {r.doc_stem: r.markdown for r in again.documents.collect()} == {r.doc_stem: r.markdown for r in md.collect()}
+    assert rows(again.catalog) == rows(cat)
+    assert rows(again.detections) == rows(det)
+    empty = [p for p in (tmp_path / "out/images_metadata/doc_stem=b").rglob("part-*")]
+    assert empty[0].read_text().strip() == "[]"
+    assert not (tmp_path / "out/trash/doc_stem=007").exists()
+
+
+def test_rows_of_a_long_document_get_files_of_their_own(spark, tmp_path, tables):
+    md = spark.createDataFrame([("d", 0, "one"), ("d", 1, "two")], schemas.MARKDOWN_DOCS)
+    _, cat, det = tables
+    sinks.write_results(md, cat, det, str(tmp_path / "o"))
+    again = files.read_results(spark, str(tmp_path / "o")).documents.where("doc_stem = 'd'").orderBy("block_no")
+    assert [(r.block_no, r.markdown) for r in again.collect()] == [(0, "one"), (1, "two")]
+
+
+def test_tables(spark, tables, tmp_path):
+    sinks.write_tables(*tables, str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t/markdown")).count() == 3
+
+
+def test_flat_results(spark, tmp_path):
+    (tmp_path / "a b_enriched.md").write_text("# a\n")
+    (tmp_path / "a b_images_metadata.json").write_text(json.dumps([{"image_file": "i", "page": 1, "type": "full_page", "description": "d"}], indent=2))
+    (tmp_path / "a b_trash.json").write_text("not json")
+    (tmp_path / "z_trash.json").write_text(json.dumps([{"page": 1, "trash_type": "boilerplate", "confidence": 0.85}]))
+    got = files.read_results(spark, str(tmp_path), layout="flat")
+    assert [tuple(r) for r in got.documents.collect()] == [("a b", "# a\n")]
+    [image] = got.catalog.collect()
+    assert (image.doc_stem, image.page, image.width) == ("a b", 1, None)
+    assert [(r.doc_stem, r.confidence) for r in got.detections.collect()] == [("z", 0.85)]
+
+
+def test_ingest(spark, tmp_path):
+    for name, size in {"a.pdf": 5, "b.c.pdf": 6, "big.pdf": 50, "x.PDF": 1, "n.txt": 1}.items():
+        (tmp_path / name).write_bytes(b"x" * size)
+    os.makedirs(tmp_path / "sub")
+    (tmp_path / "sub/deep.pdf").write_bytes(b"x")
+    found = files.ingest_files(spark, str(tmp_path), max_bytes=10)
+    assert sorted((r.doc_stem, len(r.content)) for r in found.collect()) == [("a", 5), ("b.c", 6)]
+    assert [r.doc_stem for r in files.ingest_files(spark, str(tmp_path / "a.pdf")).collect()] == ["a"]
+
+
+def split_pages(content):
+    for part in content.decode().split("|"):
+        if part == "stop":
+            raise ValueError("cannot go on")
+        yield ValueError("bad page") if part == "bad" else part
+
+
+def test_extraction(spark):
+    df = spark.createDataFrame([("a", b"one|bad|three"), ("b", b"x|stop|y"), ("c", b"\xff")], "doc_stem string, content binary")
+    got = sorted((r.doc_stem, r.page_num, r.text, r.error) for r in enrich.pages_from_documents(df, split_pages).collect())
+    assert got[:5] == [("a", 0, "one", None), ("a", 1, "", "bad page"), ("a", 2, "three", None),
+                       ("b", 0, "x", None), ("b", 1, "", "cannot go on")]
+    assert got[5][:3] == ("c", 0, "") and got[5][3]
+    some = enrich.pages_from_documents(df.where("doc_stem = 'a'"), split_pages, 1, 2).collect()
+    assert [(r.page_num, r.error) for r in some] == [(1, "bad page")]
+
+
+def test_publish_files(spark, tables, tmp_path):
+    md = tables[0].withColumn("block_no", F.lit(0))
+    more = spark.createDataFrame([("b", "tail", 1)], "doc_stem string, markdown string, block_no int")
+    named = sinks.markdown_files(md.unionByName(more))
+    good, bad = sinks.publish_all([(named, f"file://{tmp_path}/pub"), (named, "nowhere://x")])
+    assert (good.written, good.failed, good.error) == (4, 0, None)
+    assert (tmp_path / "pub/007.md").read_text() == "# a\n\ntext\n"
+    assert (tmp_path / "pub/b.part00001.md").read_text() == "tail"
+    assert bad.written == 0 and bad.error
+    (tmp_path / "pub2").mkdir()
+    (tmp_path / "pub2/b.md").mkdir()
+    partly = sinks.publish_files(named, f"file://{tmp_path}/pub2")
+    assert (partly.written, partly.failed) == (3, 1) and partly.error
+
+
+def test_payloads(docs):
+    md = docs({"d": 'a "q"\n[IMAGE:x.png]'})
+    row = sinks.publish_payloads(md, "flowise", base_url="http://h/", store_id="7").first()
+    assert row.url == "http://h/api/v1/document-store/upsert/7"
+    assert json.loads(row.body) == {"docLoaders": [{"loader": "plainText", "loaderConfig": {"text": 'a "q"\n[IMAGE:x.png]'}}]}
+    row = sinks.publish_payloads(md, "anythingllm", image_base_url="http://i", workspace="w").first()
+    body = json.loads(row.body)
+    assert row.url == "/api/v1/document/raw-text"
+    assert (body["metadata"], body["addToWorkspaces"]) == ({"title": "d"}, ["w"])
+    assert '<img src="http://i/x.png"' in body["textContent"]
+    with pytest.raises(ValueError):
+        sinks.publish_payloads(md, "other")
+
+
+def send(url, body):
+    if "refuse" in body:
+        raise OSError("refused")
+    return 500 if "teapot" in body else 200
+
+
+def test_sender(docs):
+    md = docs({"a": "fine", "b": "refuse", "c": "teapot"})
+    sent = sinks.publish_payloads(md, "flowise", send, store_id="s")
+    got = {r.doc_stem: (r.ok, r.status, r.error) for r in sent.collect()}
+    assert got == {"a": (True, 200, None), "b": (False, None, "refused"), "c": (False, 500, None)}
+
+
+def test_bundle(spark, tables, tmp_path):
+    md, cat, _ = tables
+    jobs = spark.createDataFrame([("007.pdf", "completed"), ("b.pdf", "failed"), ("007.pdf", "completed")], "filename string, status string")
+    tagged = md.withColumn("markdown", F.lit("[IMAGE:007/x.png]"))
+    assert sinks.export_bundle(tagged, cat, jobs, str(tmp_path / "z"), "http://h") == {"markdown": 1, "metadata": 1, "images": 1}
+    text = next((tmp_path / "z/markdown/doc_stem=007").rglob("part-*")).read_text()
+    assert text.startswith('<img src="http://h/007/x.png"')
+    assert next((tmp_path / "z/images").rglob("part-*")).read_text().split() == ["007/x.png", "007/y.png"]
+
+
+def test_public_urls(tables):
+    row = sinks.public_image_urls(tables[1], "http://h/", "p/").orderBy("image_file").first()
+    assert (row.url, row.content_type) == ("http://h/p/007/x.png", "image/png")
