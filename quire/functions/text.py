@@ -6,12 +6,22 @@ operators that use it stay narrow and never start a Python worker.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quire.functions import fixed
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once.
+
+    Spark does not share expressions that occur inside the arguments of array functions.
+    """
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def trim_ws(c: Column) -> Column:
     """Strip Unicode white space at both ends (Spark's ``trim`` only strips U+0020)."""
     return F.btrim(c, F.lit(fixed.WHITE_SPACE))
@@ -57,23 +67,31 @@ def preview(trimmed: Column, limit: int = 200) -> Column:
     )
 
 
-def is_table_line(trimmed: Column) -> Column:
-    """Three or more non-blank cells set apart by double spaces."""
-    cells = F.filter(F.split(trimmed, "  ", -1), lambda cell: trim_ws(cell) != "")
-    return (F.instr(trimmed, "  ") > 0) & (F.size(cells) >= 3)
-
-
 # Cheap first tests: printable ASCII and the letters up to U+167F cannot start a match,
 # so ordinary text never reaches the long white space class.
 _NOT_PLAIN = r"[^ -~\x{a1}-\x{167f}]"
 _SPACE_RUN = rf"(?=[^!-~\x{{a1}}-\x{{167f}}])(?:{fixed.WS}{{2,}}|{fixed.WS_NOT_SPACE})"
 
 
-def _collapse_spaces(trimmed: Column) -> Column:
+def collapse_spaces(trimmed: Column) -> Column:
+    """Runs of white space inside a trimmed line become one space."""
     has_run = F.contains(trimmed, F.lit("  ")) | trimmed.rlike(_NOT_PLAIN)
     return F.when(has_run, F.regexp_replace(trimmed, _SPACE_RUN, " ")).otherwise(trimmed)
 
 
+def _tidy_line(trimmed: Column) -> Column:
+    """Collapse spaces, except in a line of three or more cells set apart by two spaces."""
+    collapsed = F.regexp_replace(trimmed, _SPACE_RUN, " ")
+    cells = F.filter(F.split(trimmed, "  ", -1), lambda cell: trim_ws(cell) != "")
+    return (
+        F.when(
+            F.contains(trimmed, F.lit("  ")), F.when(F.size(cells) >= 3, trimmed).otherwise(collapsed)
+        )
+        .when(trimmed.rlike(_NOT_PLAIN), collapsed)
+        .otherwise(trimmed)
+    )
+
+
 # A newline between two non-blank lines becomes a space unless the line before it
 # ends a sentence or the line after it opens a list item, heading, quote or number.
 # The newline comes first in the pattern, so the look-behinds are tried at line ends only.
@@ -91,14 +109,12 @@ def cleanup(text: Column) -> Column:
     to be carried down the page: lines are normalised one by one, and three
     linear-time replacements over the whole text place the joiners.
     """
-    trimmed = F.transform(raw_lines(text), trim_ws)
-    normal = F.transform(
-        trimmed,
-        lambda line: F.when(is_table_line(line), line).otherwise(_collapse_spaces(line)),
-    )
+    normal = F.transform(F.transform(raw_lines(text), trim_ws), _tidy_line)
     body = F.btrim(F.array_join(normal, "\n"), F.lit("\n"))
     joined = F.regexp_replace(body, _JOINABLE_NEWLINE, " ")
-    return F.regexp_replace(joined, "\n{3,}", "\n\n")
+    return F.when(
+        F.contains(joined, F.lit("\n\n\n")), F.regexp_replace(joined, "\n{3,}", "\n\n")
+    ).otherwise(joined)
 
 
 def escape_regex(literal: str) -> str:

@@ -32,19 +32,20 @@ def _with_facts(pages: DataFrame) -> DataFrame:
     )
     return base.withColumns(
         {
-            "_hits": _keyword_hits(F.col("_lower"), F.col("text")),
+            "_hits": _keyword_hits(F.col("_lower")),
             "_preview": tx.preview(F.col("_trimmed")),
             "_n_bytes": F.octet_length("_trimmed"),
         }
     )
 
 
-def _keyword_hits(lower: Column, text: Column) -> Column:
+def _keyword_hits(lower: Column) -> Column:
+    # Keywords have no capitals, so a hit in the text is a hit in its lower case too.
     # concat_ws skips the nulls of keywords that are absent.
     return F.concat_ws(
         ", ",
         *[
-            F.when(F.contains(lower, F.lit(kw)) | F.contains(text, F.lit(kw)), F.lit(kw))
+            F.when(F.contains(lower, F.lit(kw)), F.lit(kw))
             for kw in fixed.BOILERPLATE_KEYWORDS
         ],
     )

@@ -90,14 +90,12 @@ def remove_image_blocks(docs: DataFrame, deleted: DataFrame) -> DataFrame:
 
 
 def _without_blocks(markdown: Column, gone: Column) -> Column:
-    lines = tx.text_lines(markdown)
-
     def letter(line: Column) -> Column:
         trimmed = tx.trim_ws(line)
         named = F.regexp_extract(line, r"\[IMAGE:([^\]]*)\]", 1)
-        is_tag = line.rlike(r"\[IMAGE:[^\]]*\]")
+        has_tag = F.contains(line, F.lit("[IMAGE:")) & line.rlike(r"\[IMAGE:[^\]]*\]")
         return (
-            F.when(is_tag & F.array_contains(gone, named), "D")
+            F.when(has_tag & F.array_contains(gone, named), "D")
             .when(trimmed == "", "B")
             .when(
                 trimmed.startswith("[IMAGE:") | trimmed.startswith("#") | trimmed.startswith("---"),
@@ -106,13 +104,19 @@ def _without_blocks(markdown: Column, gone: Column) -> Column:
             .otherwise("O")
         )
 
-    letters = F.array_join(F.transform(lines, letter), "")
-    # \G continues directly behind the previous marked letter, so marking runs on
-    # over O and stops after a B.
-    marked = F.split(F.regexp_replace(letters, r"D|(?<=[DO])\G[OB]", "X"), "", -1)
-    kept = F.zip_with(lines, F.slice(marked, 1, F.size(lines)), lambda line, m: F.when(m != "X", line))
-    # array_join leaves out nulls.
-    return F.when(gone.isNull(), F.array_join(lines, "\n")).otherwise(F.array_join(kept, "\n"))
+    def without(lines: Column) -> Column:
+        letters = F.array_join(F.transform(lines, letter), "")
+        # \G continues directly behind the previous marked letter, so marking runs on
+        # over O and stops after a B.
+        marked = F.split(F.regexp_replace(letters, r"D|(?<=[DO])\G[OB]", "X"), "", -1)
+        kept = F.zip_with(
+            lines, F.slice(marked, 1, F.size(lines)), lambda line, m: F.when(m != "X", line)
+        )
+        # array_join leaves out nulls.
+        return F.array_join(kept, "\n")
+
+    lines = tx.text_lines(markdown)
+    return F.when(gone.isNull(), F.array_join(lines, "\n")).otherwise(tx.let(lines, without))
 
 
 def image_groups_html(docs: DataFrame, base_url: str, style: str = "html") -> DataFrame:
@@ -134,25 +138,11 @@ def _as_links(markdown: Column, base_url: str) -> Column:
 
 def _as_html(markdown: Column, base_url: str) -> Column:
     base = base_url.rstrip("/")
-    lines = tx.text_lines(markdown)
     # A tag line is a tag and white space, and names a non-empty path.
     is_tag = rf"\A{fixed.WS}*\[IMAGE:[^\n]+\]{fixed.WS}*\z"
-    letters = F.array_join(
-        F.transform(lines, lambda line: F.when(F.contains(line, F.lit("[IMAGE:")) & line.rlike(is_tag), "I").otherwise("-")),
-        "",
-    )
-    # Letters tell the place of a tag in its group: a single one is 1, pairs are 23,
-    # triples 456, and longer groups start with 7, go on with 8 and end with 9.
-    for pattern, code in [
-        ("(?<!I)I(?!I)", "1"),
-        ("(?<!I)II(?!I)", "23"),
-        ("(?<!I)III(?!I)", "456"),
-        ("(?<!I)I(?=I)", "7"),
-        ("I(?!I)", "9"),
-        ("I", "8"),
-    ]:
-        letters = F.regexp_replace(letters, pattern, code)
-    codes = F.slice(F.split(letters, "", -1), 1, F.size(lines))
+
+    def letter(line: Column) -> Column:
+        return F.when(F.contains(line, F.lit("[IMAGE:")) & line.rlike(is_tag), "I").otherwise("-")
 
     def render(line: Column, code: Column) -> Column:
         trimmed = tx.trim_ws(line)
@@ -174,5 +164,32 @@ def _as_html(markdown: Column, base_url: str) -> Column:
         )
         return F.when(code == "-", line).otherwise(element)
 
-    body = F.array_join(F.zip_with(lines, codes, render), "\n")
-    return F.when(markdown.endswith("\n"), F.concat(body, F.lit("\n"))).otherwise(body)
+    def convert(lines: Column) -> Column:
+        codes = F.split(_group_codes(F.array_join(F.transform(lines, letter), "")), "", -1)
+        rendered = F.zip_with(lines, F.slice(codes, 1, F.size(lines)), render)
+        return F.array_join(rendered, "\n")
+
+    converted = tx.let(tx.text_lines(markdown), convert)
+    ending = F.when(markdown.endswith("\n"), "\n").otherwise("")
+    # Lines are only looked at where there is a tag at all.
+    plain = F.array_join(tx.text_lines(markdown), "\n")
+    body = F.when(F.contains(markdown, F.lit("[IMAGE:")), converted).otherwise(plain)
+    return F.concat(body, ending)
+
+
+def _group_codes(letters: Column) -> Column:
+    """Digits that tell the place of a tag in its group of adjacent tags.
+
+    A single tag is 1, a pair 23, a triple 456; longer groups start with 7, go on with
+    8 and end with 9.
+    """
+    for pattern, code in [
+        ("(?<!I)I(?!I)", "1"),
+        ("(?<!I)II(?!I)", "23"),
+        ("(?<!I)III(?!I)", "456"),
+        ("(?<!I)I(?=I)", "7"),
+        ("I(?!I)", "9"),
+        ("I", "8"),
+    ]:
+        letters = F.regexp_replace(letters, pattern, code)
+    return letters

@@ -134,7 +134,7 @@ def apply_section_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
         )
 
     kept = F.filter(F.transform(sections, edited), lambda s: ~s["gone"])
-    new_text = F.array_join(F.transform(F.sort_array(kept), lambda s: s["text"]), "\n")
+    new_text = F.array_join(F.sort_array(kept)["text"], "\n")
     return docs.join(hits, keys, "left").select(
         *keys,
         F.when(F.col("_edits").isNull(), F.col("markdown")).otherwise(new_text).alias("markdown"),

@@ -45,17 +45,38 @@ def looks_like_table(text: Column) -> Column:
     their row.
     """
     lines = F.filter(F.transform(tx.raw_lines(text), tx.trim_ws), lambda line: line != "")
-    wide = F.filter(lines, lambda line: F.regexp_count(line, F.lit("[ \t]{2,}")) >= 2)
-    words = F.transform(lines, lambda line: F.size(F.split(line, f"{fixed.WS}+", -1)))
-    n = F.size(lines)
-    steady = F.zip_with(
-        F.slice(words, 1, F.greatest(n - 1, F.lit(0))),
-        F.slice(words, 2, F.greatest(n - 1, F.lit(0))),
-        lambda a, b: F.when((a >= 3) & (b >= 3) & (F.abs(a - b) <= 2), "1").otherwise("0"),
+    return tx.let(
+        lines, lambda given: (F.size(given) >= 3) & (_has_wide_gaps(given) | _has_steady_rows(given))
+    )
+
+
+def _has_wide_gaps(lines: Column) -> Column:
+    wide = F.filter(
+        lines,
+        # The plain searches keep the pattern off lines that cannot match.
+        lambda line: (F.contains(line, F.lit("  ")) | F.contains(line, F.lit("\t")))
+        & (F.regexp_count(line, F.lit("[ \t]{2,}")) >= 2),
+    )
+    return F.size(wide) / F.size(lines) >= 0.4
+
+
+def _has_steady_rows(lines: Column) -> Column:
+    spaced = F.transform(lines, tx.collapse_spaces)
+    words = F.transform(
+        spaced,
+        lambda line: F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "))) + 1,
     )
-    return F.when(n < 3, F.lit(False)).otherwise(
-        (F.size(wide) / n >= 0.4) | F.contains(F.array_join(steady, ""), F.lit("11111"))
+    return tx.let(words, lambda counts: F.contains(_steady_marks(counts), F.lit("11111")))
+
+
+def _steady_marks(counts: Column) -> Column:
+    pairs = F.size(counts) - 1
+    marks = F.zip_with(
+        F.slice(counts, 1, pairs),
+        F.slice(counts, 2, pairs),
+        lambda a, b: F.when((a >= 3) & (b >= 3) & (F.abs(a - b) <= 2), "1").otherwise("0"),
     )
+    return F.array_join(marks, "")
 
 
 def flag_table_pages(pages: DataFrame) -> DataFrame:
