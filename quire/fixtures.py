@@ -86,7 +86,8 @@ SELECT concat('doc', CAST(l_orderkey % 50 AS {str})) AS doc_stem, CAST(l_orderke
   CAST(l_quantity * 10 AS int) AS px_w, CAST(l_partkey % 500 AS int) AS px_h
 FROM lineitem
 """
-OBJECT_RANGE = 100000000
+# Order values numbered together; a page with very many objects falls into many ranges.
+OBJECT_RANGE = 1000000
 
 # Objects on the pages of page_texts, for queries that need both.
 TEXT_PAGE_OBJECTS = """
