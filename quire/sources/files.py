@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire import schemas
@@ -13,7 +13,7 @@ FILES = "path string, modificationTime timestamp, length bigint, content binary"
 MAX_FILE_BYTES = 50 * 1024 * 1024
 
 
-def file_stem(path) -> F.Column:
+def file_stem(path) -> Column:
     """File name without its last extension, or ``document`` if nothing is left."""
     name = F.substring_index(path, "/", -1)
     stem = F.regexp_extract(name, r"\A(.+?)(?:\.[^.]*)?\z", 1)
@@ -52,13 +52,16 @@ def read_results(spark: SparkSession, path: str, layout: str = "parts") -> Resul
     """
     if layout == "flat":
         return _read_flat(spark, path)
-    keyed = "doc_stem string, block_no int"
 
     def texts(folder: str) -> DataFrame:
-        reader = spark.read.schema(f"value string, {keyed}")
-        # The text writer ends each file with a newline of its own.
-        return reader.text(f"{path}/{folder}", wholetext=True).withColumn(
-            "value", F.regexp_replace("value", r"\n\z", "")
+        # Keys come from the folder names of each file, so a kind without files is fine.
+        reader = spark.read.option("recursiveFileLookup", "true")
+        full = _decoded(F.col("_metadata.file_path"))
+        return reader.text(f"{path}/{folder}", wholetext=True).select(
+            _decoded(F.regexp_extract(full, "/doc_stem=([^/]*)/", 1)).alias("doc_stem"),
+            F.regexp_extract(full, "/block_no=([0-9]+)/", 1).cast("int").alias("block_no"),
+            # The text writer ends each file with a newline of its own.
+            F.regexp_replace("value", r"\n\z", "").alias("value"),
         )
 
     return Results(
@@ -68,6 +71,11 @@ def read_results(spark: SparkSession, path: str, layout: str = "parts") -> Resul
     )
 
 
+def _decoded(name: Column) -> Column:
+    """Undo percent encoding, which leaves plus signs alone in paths."""
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+
+
 def _json_rows(texts: DataFrame, schema: str) -> DataFrame:
     fields = [f.strip() for f in schema.split(",")][1:]
     names = [f.split(" ")[0] for f in fields]
@@ -82,7 +90,7 @@ def _read_flat(spark: SparkSession, path: str) -> Results:
         reader = spark.read.option("pathGlobFilter", f"*{suffix}")
         name = F.col("_metadata.file_name")
         return reader.text(path, wholetext=True).select(
-            F.url_decode(F.substring(name, F.lit(1), F.length(name) - len(suffix))).alias("doc_stem"),
+            _decoded(F.substring(name, F.lit(1), F.length(name) - len(suffix))).alias("doc_stem"),
             "value",
         )
 

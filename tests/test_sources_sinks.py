@@ -47,20 +47,29 @@ def test_rows_of_a_long_document_get_files_of_their_own(spark, tmp_path, tables)
     assert [(r.block_no, r.markdown) for r in again.collect()] == [(0, "one"), (1, "two")]
 
 
+def test_unusual_names_and_no_detections(spark, docs, tmp_path):
+    names = {"a+b %2F c": "x", "ก = 1": "y"}
+    empty = [spark.createDataFrame([], s) for s in (schemas.CATALOG, schemas.DETECTIONS)]
+    sinks.write_results(docs(names), *empty, str(tmp_path / "o"))
+    again = files.read_results(spark, str(tmp_path / "o"))
+    assert {r.doc_stem: r.markdown for r in again.documents.collect()} == names
+    assert again.catalog.count() == 0 and again.detections.count() == 0
+
+
 def test_tables(spark, tables, tmp_path):
     sinks.write_tables(*tables, str(tmp_path / "t"))
     assert spark.read.parquet(str(tmp_path / "t/markdown")).count() == 3
 
 
 def test_flat_results(spark, tmp_path):
-    (tmp_path / "a b_enriched.md").write_text("# a\n")
-    (tmp_path / "a b_images_metadata.json").write_text(json.dumps([{"image_file": "i", "page": 1, "type": "full_page", "description": "d"}], indent=2))
-    (tmp_path / "a b_trash.json").write_text("not json")
+    (tmp_path / "a+b %41_enriched.md").write_text("# a\n")
+    (tmp_path / "a+b %41_images_metadata.json").write_text(json.dumps([{"image_file": "i", "page": 1, "type": "full_page", "description": "d"}], indent=2))
+    (tmp_path / "a+b %41_trash.json").write_text("not json")
     (tmp_path / "z_trash.json").write_text(json.dumps([{"page": 1, "trash_type": "boilerplate", "confidence": 0.85}]))
     got = files.read_results(spark, str(tmp_path), layout="flat")
-    assert [tuple(r) for r in got.documents.collect()] == [("a b", "# a\n")]
+    assert [tuple(r) for r in got.documents.collect()] == [("a+b %41", "# a\n")]
     [image] = got.catalog.collect()
-    assert (image.doc_stem, image.page, image.width) == ("a b", 1, None)
+    assert (image.doc_stem, image.page, image.width) == ("a+b %41", 1, None)
     assert [(r.doc_stem, r.confidence) for r in got.detections.collect()] == [("z", 0.85)]
 
 
