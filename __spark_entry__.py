@@ -52,6 +52,11 @@ def _describer() -> Callable[[dict], str]:
     return answer
 
 
+def _as_text(df: DataFrame, *columns: str) -> DataFrame:
+    """Whole numbers that may be missing, as text: both engines then show them alike."""
+    return df.withColumns({c: F.col(c).cast("string") for c in columns})
+
+
 def _vision(v: Views) -> pipelines.Outputs:
     return pipelines.vision_pipeline(
         v.page_texts, v.text_page_objects, _describer(), base_delay=0.0
@@ -189,7 +194,7 @@ _QUERIES: dict[str, Callable[[Views], DataFrame]] = {
     "text_only_pipeline": lambda v: _text_only(v.spark, v.folder),
     "text_only_detections": lambda v: pipelines.text_only_pipeline(v.page_texts).detections,
     "vision_pipeline": lambda v: _vision(v).documents,
-    "vision_catalog": lambda v: _vision(v).catalog,
+    "vision_catalog": lambda v: _as_text(_vision(v).catalog, "index", "width", "height"),
     "split_sections": lambda v: markdown.split_sections(v.markdown_docs),
     "label_sections": _label,
     "remove_pages": lambda v: markdown.remove_pages(v.markdown_docs, v.removals),
@@ -205,7 +210,9 @@ _QUERIES: dict[str, Callable[[Views], DataFrame]] = {
     "publish_payloads": lambda v: sinks.publish_payloads(
         v.markdown_docs, "flowise", base_url="http://host/", store_id="s1"
     ),
-    "resolve_jobs": lambda v: jobs.resolve_jobs(v.jobs, jobs.provider_registry(v.spark)),
+    "resolve_jobs": lambda v: _as_text(
+        jobs.resolve_jobs(v.jobs, jobs.provider_registry(v.spark)), "start_page", "end_page"
+    ),
     "latest_job_state": lambda v: jobs.latest_job_state(v.job_events),
     "job_dashboard": lambda v: jobs.job_dashboard(v.jobs).withColumn(
         "avg_duration", F.round("avg_duration", 6)

@@ -269,7 +269,7 @@ given AS (SELECT id, filename, j->>'$.provider' AS provider, j->>'$.model' AS m,
   coalesce(j->>'$.storage', 'local') AS storage, coalesce(CAST(j->>'$.notify' AS BOOLEAN), true) AS notify, coalesce(CAST(j->>'$.enhance' AS BOOLEAN), false) AS enhance FROM js),
 eff AS (SELECT *, CASE WHEN lang IN ('th', 'en') THEN lang ELSE 'th' END AS language, CASE WHEN q IN ('standard', 'high') THEN q ELSE 'standard' END AS quality FROM given),
 dots AS (SELECT *, coalesce(d, CASE WHEN language = 'th' THEN 200 ELSE 150 END) AS base FROM eff)
-SELECT id, filename, provider, coalesce(m, default_model, '{fixed.FALLBACK_MODEL}') AS model, language, quality, start_page, end_page, te AND NOT text_only AS table_extraction,
+SELECT id, filename, provider, coalesce(m, default_model, '{fixed.FALLBACK_MODEL}') AS model, language, quality, CAST(start_page AS VARCHAR) AS start_page, CAST(end_page AS VARCHAR) AS end_page, te AND NOT text_only AS table_extraction,
   text_only, storage, notify, enhance, CAST(CASE WHEN quality = 'high' THEN greatest(base, 300) ELSE base END AS INT) AS dpi, cost_per_image_usd, default_model IS NOT NULL AS known_provider
 FROM dots LEFT JOIN registry ON provider = name"""
 
@@ -345,7 +345,7 @@ def statements() -> dict[str, str]:
         "text_only_pipeline": f"{pipeline} {text_document('stripped', 'th')}",
         "text_only_detections": f"{pipeline} {trash('stripped')} UNION ALL {HF_ROW}",
         "vision_pipeline": f"{VISION_VIEWS},{VISION_BODY} SELECT doc_stem, CAST(0 AS INT) AS block_no, '# ' || doc_stem || {NL} || {NL} || '> Provider: `ollama` | Model: `qwen2.5vl` | Quality: `standard` | Pages: ' || count(*) || {NL} || {NL} || '> Images: `images/' || doc_stem || '/`' || {NL} || string_agg({NL} || content, '' ORDER BY page_num) AS markdown FROM body GROUP BY doc_stem",
-        "vision_catalog": f"{VISION_VIEWS} {CATALOG}",
+        "vision_catalog": f"{VISION_VIEWS} SELECT * REPLACE (CAST(\"index\" AS VARCHAR) AS \"index\", CAST(width AS VARCHAR) AS width, CAST(height AS VARCHAR) AS height) FROM ({CATALOG})",
         "split_sections": f"{md},{SECTIONS} SELECT * FROM sections",
         "label_sections": f"{md},{SECTIONS},{DETECTED},{LABELS} SELECT s.doc_stem, section_no, page_number, label FROM sections s LEFT JOIN labels_by_page l ON s.doc_stem = l.doc_stem AND s.page_number = l.page",
         "remove_pages": f"{duckdb_views('markdown_docs', 'removals')},{MD_LINES},{removed_pages('SELECT * FROM removals')}",

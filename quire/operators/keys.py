@@ -59,11 +59,11 @@ def doc_keys(docs: DataFrame) -> list[str]:
 def matched_per_document(
     docs: DataFrame, items: Column, facts: DataFrame, item: str, out: str, *extra: str
 ) -> DataFrame:
-    """Facts whose ``item`` occurs in a document row, gathered into one array per row.
+    """Facts whose ``item`` occurs in a document row, gathered into one set per row.
 
     ``items`` is the array of values that occur in the row itself. Only those values
-    and the facts are shuffled, never the text, and an array can hold no more
-    distinct values than its own row does. ``facts`` is keyed by ``doc_stem, item``
+    and the facts are shuffled, never the text, and a set can hold no more distinct
+    values than its own row does. ``facts`` is keyed by ``doc_stem, item``
     and must be unique on them when ``extra`` columns are gathered along.
     """
     keys = doc_keys(docs)
@@ -74,7 +74,7 @@ def matched_per_document(
     else:
         hits = occurring.join(facts.select("doc_stem", item), ["doc_stem", item], "left_semi")
         value = F.col(item)
-    return hits.groupBy(*keys).agg(F.collect_list(value).alias(out))
+    return hits.groupBy(*keys).agg(F.collect_set(value).alias(out))
 
 
 def rank_in_blocks(

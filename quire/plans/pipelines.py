@@ -2,24 +2,24 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators import boilerplate, detect, documents, enrich, images, keys, markdown, pages as pg
 from quire.schemas import BLOCK_PAGES, CATALOG
-from quire.session import materialize
+from quire.session import materialize_counted
 
 
 @dataclass(frozen=True)
 class Outputs:
-    """Tables a run produces."""
+    """Tables a run produces, and counts taken while it ran."""
 
     documents: DataFrame
     catalog: DataFrame
     detections: DataFrame
-    described: DataFrame | None = None
+    counts: dict[str, int] = field(default_factory=dict)
 
 
 def cleaned_by_block(pages: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFrame:
@@ -69,13 +69,21 @@ def vision_pipeline(
     """
     source = [c for c in ("doc_stem", "page_num", "text", "error", "page_image") if c in pages.columns]
     cleaned = pg.cleanup_text(pages.select(*source))
-    routed = materialize(
-        pg.route_pages(cleaned, images.image_coverage(objects), config), "routed"
+    routed, page_counts = materialize_counted(
+        pg.route_pages(cleaned, images.image_coverage(objects), config),
+        "routed",
+        pages=F.count(F.lit(1)),
+        page_errors=F.count("error") if "error" in source else F.lit(0).cast("long"),
     )
     readable = routed.where(F.col("error").isNull()) if "error" in source else routed
     requests = enrich.description_requests(readable, objects, config, block_width)
     answers = enrich.describe_images(requests, describer, config.max_retries, base_delay, prompts)
-    described = materialize(enrich.settle_descriptions(answers), "descriptions")
+    described, image_counts = materialize_counted(
+        enrich.settle_descriptions(answers),
+        "descriptions",
+        images=F.count(F.lit(1)),
+        image_errors=F.count("error"),
+    )
     docs = documents.assemble_documents(
         pg.assemble_pages(routed, described),
         documents.vision_head(config.provider, config.model, config.quality),
@@ -87,7 +95,7 @@ def vision_pipeline(
         found = detect.detect_trash(routed).where(F.lit(False))
     else:
         found = detect.all_detections(routed, boilerplate.headers_footers(routed))
-    return Outputs(docs, catalog, found, described)
+    return Outputs(docs, catalog, found, {**page_counts, **image_counts})
 
 
 def strip_trash(docs: DataFrame, det: DataFrame, aliases=None) -> DataFrame:

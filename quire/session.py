@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 # Adaptive execution picks partition counts, splits skewed join partitions and turns
 # joins into broadcasts once a side's real size is known to be small.
@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Gathering page texts of many blocks at once turns to sorting sooner.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "32",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
 }
 
@@ -65,3 +67,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialize_counted(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """``materialize``, with aggregates observed while the table is written."""
+    seen = Observation()
+    named = [column.alias(key) for key, column in metrics.items()]
+    return materialize(df.observe(seen, *named), name), seen.get

@@ -83,6 +83,7 @@ def test_vision_run(spark, pages):
         "\n\n\n---\n## Page 2\n\n\n[IMAGE:d/d_page_002_table.png]\n\nD(d_page_002_table.png)\n"
         "\n\n\n---\n## Page 3\n\nthird page\n\n[IMAGE:d/d_page_003_full.png]\n\nD(d_page_003_full.png)"
         "\n\n\n---\n## Page 4\n[Error: cannot read]\n")
+    assert run.counts == {"pages": 4, "page_errors": 1, "images": 4, "image_errors": 0}
     assert {r.type for r in run.catalog.collect()} == {"extracted_image", "table_region", "full_page"}
     assert {r.trash_type for r in run.detections.collect()} == {"blank_page"}
 
