@@ -130,7 +130,8 @@ def _label(v: Views) -> DataFrame:
 def _event_stream(v: Views) -> DataFrame:
     """The events table as a file stream, in the shape of the progress view."""
     schema = v.table("events").schema
-    raw = v.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(v.folder)
+    # A pattern serves for one file as well as for a folder of part files.
+    raw = v.spark.readStream.schema(schema).parquet(f"{v.folder}/events.parque[t]")
     phase = (
         F.when(F.col("event_type") == "signup", "starting")
         .when(F.col("event_type") == "error", "error")

@@ -112,9 +112,16 @@ def parse_iso(value: Column) -> Column:
 
 
 def duration_seconds(start: Column, end: Column) -> Column:
-    """Seconds between two times, null if either is missing."""
-    seconds = F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))
-    return F.floor(seconds / 1000).cast("double") / 1000.0
+    """Seconds between two times, whole milliseconds, null if either is missing."""
+    # The difference is taken as an interval, which clock changes do not affect.
+    gap = end - start
+
+    def part(unit: str) -> Column:
+        return F.extract(F.lit(unit), gap)
+
+    seconds = part("DAY") * 86400 + part("HOUR") * 3600 + part("MINUTE") * 60
+    millis = F.floor(part("SECOND").cast("double") * 1000)
+    return seconds.cast("double") + millis.cast("double") / 1000.0
 
 
 def job_dashboard(jobs: DataFrame) -> DataFrame:

@@ -75,12 +75,23 @@ def first_terminal(events: DataFrame, terminal_phases: list[str]) -> DataFrame:
     )
 
 
+_ENDS = "job_id string, ended_seq bigint"
+# Every so many batches the ends of all jobs are written anew, so that a batch reads
+# at most this many folders.
+_SNAPSHOT_EVERY = 32
+
+
+def _merged_ends(ends: DataFrame) -> DataFrame:
+    return ends.groupBy("job_id").agg(F.min("ended_seq").alias("ended_seq"))
+
+
 def stream_terminal(
     events: DataFrame,
     out: str,
     checkpoint: str,
     terminal_phases: list[str] | None = None,
     trigger: dict | None = None,
+    snapshot_every: int = _SNAPSHOT_EVERY,
 ) -> StreamingQuery:
     """Feed of progress rows that ends, per job, at its first terminal row.
 
@@ -92,13 +103,21 @@ def stream_terminal(
     """
     phases = terminal_phases or fixed.TERMINAL_PHASES
 
+    def read_ends(session: SparkSession, first: int, last: int) -> DataFrame:
+        folders = [f"{out}/ends/batch_id={n}" for n in range(first, last + 1)]
+        return session.read.schema(_ENDS).parquet(*folders)
+
     def save(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        new_ends = first_terminal(batch, phases)
-        new_ends.write.mode("overwrite").parquet(f"{out}/ends/batch_id={batch_id}")
-        known = session.read.parquet(f"{out}/ends").where(F.col("batch_id") <= batch_id)
-        ends = known.groupBy("job_id").agg(F.min("ended_seq").alias("ended_seq"))
-        feed_until_terminal(batch, ends).write.mode("overwrite").parquet(
+        ends = first_terminal(batch, phases)
+        start = batch_id // snapshot_every * snapshot_every
+        if batch_id and start == batch_id:
+            # This batch's folder becomes the snapshot of everything before it.
+            earlier = read_ends(session, batch_id - snapshot_every, batch_id - 1)
+            ends = _merged_ends(earlier.unionByName(ends))
+        ends.write.mode("overwrite").parquet(f"{out}/ends/batch_id={batch_id}")
+        known = _merged_ends(read_ends(session, start, batch_id))
+        feed_until_terminal(batch, known).write.mode("overwrite").parquet(
             f"{out}/feed/batch_id={batch_id}"
         )
 

@@ -46,6 +46,20 @@ def test_feed_ends_at_the_first_terminal_row(spark, tmp_path):
     assert feed(spark, tmp_path) == [("a", 1), ("a", 2), ("a", 3), ("b", 1), ("b", 2), ("b", 3), ("c", 1)]
 
 
+def test_feed_with_snapshots(spark, tmp_path):
+    rows = [("a", 1, 0, 9, 0, "starting"), ("b", 1, 0, 4, 0, "starting"), ("b", 2, 0, 4, 0, "error")]
+    write(spark, tmp_path, 0, rows)
+    for n in range(2, 7):
+        write(spark, tmp_path, n, [("a", n, n, 9, 0, "complete" if n == 4 else "processing"), ("b", n + 1, n, 4, 0, "processing")])
+    source = stream(spark, tmp_path)
+    progress.stream_terminal(source, f"{tmp_path}/out", f"{tmp_path}/cp", snapshot_every=2).awaitTermination()
+    got = sorted((r.job_id, r.seq) for r in spark.read.parquet(f"{tmp_path}/out/feed").collect())
+    assert spark.read.parquet(f"{tmp_path}/out/feed").select("batch_id").distinct().count() >= 4
+    assert got == [("a", 1), ("a", 2), ("a", 3), ("a", 4), ("b", 1), ("b", 2)]
+    last = spark.read.parquet(f"{tmp_path}/out/ends/batch_id=4")
+    assert sorted(tuple(r) for r in last.collect()) == [("a", 4), ("b", 2)]
+
+
 def test_feed_with_other_terminal_phases(spark, tmp_path):
     got = feed(spark, tmp_path, terminal_phases=["complete", "cancelled"])
     assert [s for j, s in got if j == "b"] == [1, 2, 3, 4, 5]
