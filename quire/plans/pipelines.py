@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import boilerplate, detect, documents, enrich, images, keys, markdown, pages as pg
 from quire.schemas import BLOCK_PAGES, CATALOG
-from quire.session import materialize_counted
+from quire.session import materialize, materialize_counted
 
 
 @dataclass(frozen=True)
@@ -37,12 +37,22 @@ def cleaned_by_block(pages: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFr
 
 
 def text_only_pipeline(
-    pages: DataFrame, language: str = "th", block_pages: int = BLOCK_PAGES
+    pages: DataFrame,
+    language: str = "th",
+    block_pages: int = BLOCK_PAGES,
+    keep_pages: bool = False,
 ) -> Outputs:
-    """Clean, find and strip headers and footers, detect, assemble; no model."""
+    """Clean, find and strip headers and footers, detect, assemble; no model.
+
+    Documents and detections are separate lazy plans that start from the same pages.
+    Where both are wanted, ``keep_pages`` writes the stripped pages to the shared
+    folder first, so that they are cleaned once for both.
+    """
     cleaned = cleaned_by_block(pages, block_pages)
     hf = boilerplate.headers_footers(cleaned, pages)
     stripped = boilerplate.strip_headers_footers(cleaned, hf, block_pages, pages)
+    if keep_pages:
+        hf, stripped = materialize(hf, "headers"), materialize(stripped, "stripped")
     docs = documents.assemble_documents(
         pg.assemble_pages(stripped), documents.text_only_head(language), pages, block_pages
     )

@@ -159,7 +159,7 @@ def stream_ingest(
         # Extraction runs caller code once; everything else reads its table.
         pages.write.mode("overwrite").parquet(f"{target}/pages")
         extracted = batch.sparkSession.read.schema(pages.schema).parquet(f"{target}/pages")
-        run = pipelines.text_only_pipeline(extracted, language)
+        run = pipelines.text_only_pipeline(extracted, language, keep_pages=True)
         write_tables(run.documents, run.catalog, run.detections, target)
 
     return (

@@ -96,6 +96,14 @@ def test_document_rows_join_to_the_same_text(pages):
         assert all(r.markdown.startswith("## Page ") for r in later)
 
 
+def test_kept_pages_change_nothing(pages):
+    table = pages({"a": sample(5), "b": ["x" * 60, "", "Copyright"]})
+    lazy, kept = (pipelines.text_only_pipeline(table, keep_pages=k) for k in (False, True))
+    assert whole(lazy.documents) == whole(kept.documents)
+    key = lambda r: (r.doc_stem, r.page, r.trash_type)
+    assert sorted(lazy.detections.collect(), key=key) == sorted(kept.detections.collect(), key=key)
+
+
 def test_stats(spark, docs):
     md = docs({"d": "# d\n\n---\n## Page 1\nx\n## Page 12 and more\n## Page x", "e": "nothing"})
     none = spark.createDataFrame([], "doc_stem string, page int")
