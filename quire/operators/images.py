@@ -74,19 +74,32 @@ def catalog_rows(described: DataFrame, provider: str = "", model: str = "") -> D
     )
 
 
-def remove_image_blocks(docs: DataFrame, deleted: DataFrame) -> DataFrame:
+def remove_image_blocks(
+    docs: DataFrame, deleted: DataFrame, only_listed: bool = False
+) -> DataFrame:
     """Remove tags of deleted images with the description lines that follow them.
 
     Each line gets one letter: D deleted tag, B blank, S start of another block, O
     other. A removed block is a D, the O letters behind it and one B; the letters
-    that belong to such a block are marked, and marked lines are left out.
+    that belong to such a block are marked, and marked lines are left out. Lines are
+    joined by a newline, without one at the end. With ``only_listed``, documents
+    without a row in ``deleted`` keep their text as it is.
     """
     keys = doc_keys(docs)
+    text = F.col("markdown")
     tags = F.regexp_extract_all("markdown", F.lit(r"\[IMAGE:([^\]\n]*)\]"), F.lit(1))
-    hits = matched_per_document(docs, tags, deleted, "image_file", "_gone")
-    return docs.join(hits, keys, "left").select(
-        *keys, _without_blocks(F.col("markdown"), F.col("_gone")).alias("markdown")
-    )
+    named = deleted.select("doc_stem", "image_file")
+    if only_listed:
+        # A newline, which no tag holds, stands for the document itself.
+        tags = F.array_append(tags, F.lit("\n"))
+        named = named.select(
+            "doc_stem", F.explode(F.array("image_file", F.lit("\n"))).alias("image_file")
+        )
+    hits = matched_per_document(docs, tags, named, "image_file", "_gone")
+    new = _without_blocks(text, F.col("_gone"))
+    if only_listed:
+        new = F.when(F.col("_gone").isNull(), text).otherwise(new)
+    return docs.join(hits, keys, "left").select(*keys, new.alias("markdown"))
 
 
 def _without_blocks(markdown: Column, gone: Column) -> Column:

@@ -77,23 +77,29 @@ def _clean_page(section: Column) -> Column:
     return F.regexp_extract(section, _CLEAN_START, 1).try_cast("bigint")
 
 
-def remove_pages(docs: DataFrame, removals: DataFrame) -> DataFrame:
-    """Drop the sections of listed pages; the head stays, every line ends in a newline."""
+def remove_pages(docs: DataFrame, removals: DataFrame, only_listed: bool = False) -> DataFrame:
+    """Drop the sections of listed pages; the head stays, every line ends in a newline.
+
+    With ``only_listed``, documents without a row in ``removals`` keep their text as it is.
+    """
     keys = doc_keys(docs)
-    sections = F.split(_clean_text(F.col("markdown")), _CLEAN_CUT, -1)
+    text = _clean_text(F.col("markdown"))
+    sections = F.split(text, _CLEAN_CUT, -1)
     pages = F.array_compact(F.transform(sections, _clean_page))
     wanted = removals.select("doc_stem", F.col("page").cast("bigint").alias("page"))
+    if only_listed:
+        # Page -1 stands for the document itself, so one pass over the removals tells
+        # both which pages go and which documents are listed at all.
+        pages = F.array_append(pages, F.lit(-1).cast("bigint"))
+        wanted = wanted.select("doc_stem", F.explode(F.array("page", F.lit(-1))).alias("page"))
     hits = matched_per_document(docs, pages, wanted, "page", "_gone")
     # A section without a page number is the head; it is never in the list.
     kept = F.filter(
         sections, lambda s: ~F.coalesce(F.array_contains(F.col("_gone"), _clean_page(s)), F.lit(False))
     )
-    return docs.join(hits, keys, "left").select(
-        *keys,
-        F.when(F.col("_gone").isNull(), _clean_text(F.col("markdown")))
-        .otherwise(F.array_join(kept, ""))
-        .alias("markdown"),
-    )
+    unmatched = F.col("markdown") if only_listed else text
+    new = F.when(F.col("_gone").isNull(), unmatched).otherwise(F.array_join(kept, ""))
+    return docs.join(hits, keys, "left").select(*keys, new.alias("markdown"))
 
 
 def apply_section_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:

@@ -109,9 +109,12 @@ def vision_pipeline(
 
 
 def strip_trash(docs: DataFrame, det: DataFrame, aliases=None) -> DataFrame:
-    """Remove the pages that have a removable detection of the given types."""
-    removable = detect.filter_detections(det, aliases)
-    return markdown.remove_pages(docs, removable.select("doc_stem", "page"))
+    """Remove the pages that have a removable detection of the given types.
+
+    Documents without one are passed on as they are.
+    """
+    removable = detect.filter_detections(det, aliases).select("doc_stem", "page")
+    return markdown.remove_pages(docs, removable, only_listed=True)
 
 
 @dataclass(frozen=True)
@@ -126,12 +129,15 @@ class Deletion:
 def delete_images(docs: DataFrame, catalog: DataFrame, requests: DataFrame) -> Deletion:
     """Delete requested images from the catalogue and the Markdown.
 
-    Names with ``..`` or a backslash are rejected. ``counts`` has, per requesting
+    Names with ``..`` or a backslash are rejected. Documents without a request are passed
+    on as they are. ``counts`` has, per requesting
     document, the accepted and rejected requests and the new image count, which is
     the old one less every accepted request, also repeated ones.
     """
     name = F.col("image_file")
     unsafe = F.contains(name, F.lit("..")) | F.contains(name, F.lit("\\"))
+    # A rejected request still lists its document, but names no image.
+    listed = requests.withColumn("image_file", F.when(~unsafe, name))
     accepted = requests.where(~unsafe).select("doc_stem", "image_file").distinct()
     asked = requests.groupBy("doc_stem").agg(
         F.count_if(~unsafe).alias("deleted"), F.count_if(unsafe).alias("failed")
@@ -144,7 +150,7 @@ def delete_images(docs: DataFrame, catalog: DataFrame, requests: DataFrame) -> D
         F.greatest(F.coalesce("_had", F.lit(0)) - F.col("deleted"), F.lit(0)).alias("image_count"),
     )
     return Deletion(
-        images.remove_image_blocks(docs, accepted),
+        images.remove_image_blocks(docs, listed, only_listed=True),
         catalog.join(accepted, ["doc_stem", "image_file"], "left_anti").select(*catalog.columns),
         counts,
     )

@@ -137,7 +137,8 @@ def test_strip_trash(spark, docs):
         "doc_stem string, page int, trash_type string",
     )
     text = "h\n## Page 1\na\n## Page 2\nb\n"
-    assert by_stem(pipelines.strip_trash(docs({"d": text}), det))["d"] == "h\n"
+    both = by_stem(pipelines.strip_trash(docs({"d": text, "e": "as\r\nit is"}), det))
+    assert both == {"d": "h\n", "e": "as\r\nit is"}
     assert by_stem(pipelines.strip_trash(docs({"d": text}), det, "blank"))["d"] == "h\n## Page 2\nb\n"
 
 
@@ -145,8 +146,8 @@ def test_delete_images(spark, docs):
     cat = spark.createDataFrame([("d", "a.png"), ("d", "b.png"), ("e", "a.png")], "doc_stem string, image_file string")
     asked = [("d", "a.png"), ("d", "a.png"), ("d", "gone.png"), ("d", "../b.png"), ("d", "x\\b.png")]
     requests = spark.createDataFrame(asked, cat.schema)
-    done = pipelines.delete_images(docs({"d": "[IMAGE:a.png]\nx\n\n[IMAGE:b.png]", "e": "[IMAGE:a.png]"}), cat, requests)
-    assert by_stem(done.documents) == {"d": "[IMAGE:b.png]", "e": "[IMAGE:a.png]"}
+    done = pipelines.delete_images(docs({"d": "[IMAGE:a.png]\nx\n\n[IMAGE:b.png]\n", "e": "[IMAGE:a.png]\n"}), cat, requests)
+    assert by_stem(done.documents) == {"d": "[IMAGE:b.png]", "e": "[IMAGE:a.png]\n"}
     assert sorted((r.doc_stem, r.image_file) for r in done.catalog.collect()) == [("d", "b.png"), ("e", "a.png")]
     row = done.counts.first()
     assert (row.deleted, row.failed, row.image_count) == (3, 2, 0)
