@@ -37,11 +37,17 @@ def raw_lines(c: Column) -> Column:
     return F.split(c, "\n", -1)
 
 
+def without_last_newline(c: Column) -> Column:
+    """Text without its final ``\\n``, which adds no line of its own."""
+    return F.when(c.endswith("\n"), F.substring(c, F.lit(1), F.length(c) - 1)).otherwise(c)
+
+
 def text_lines(c: Column) -> Column:
     """Lines ended by ``\\n`` or ``\\r\\n``; a final line end adds no empty line."""
-    body = F.regexp_replace(c, r"\r?\n\z", "")
+    # The pattern for two kinds of line ends is only used where there are two kinds.
+    unix = F.when(F.contains(c, F.lit("\r\n")), F.regexp_replace(c, "\r\n", "\n")).otherwise(c)
     return F.when(c == "", F.array().cast("array<string>")).otherwise(
-        F.split(body, r"\r?\n", -1)
+        F.split(without_last_newline(unix), "\n", -1)
     )
 
 

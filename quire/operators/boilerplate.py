@@ -18,8 +18,7 @@ MAX_REPEATED = 5
 
 
 def _edge(text: Column, edge: str) -> Column:
-    # A final line end adds no line.
-    body = F.when(text.endswith("\n"), F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
+    body = tx.without_last_newline(text)
     count = EDGE_LINES if edge == "header" else -EDGE_LINES
     lines = F.split(F.substring_index(body, "\n", count), "\n", -1)
     return F.transform(
