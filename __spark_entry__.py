@@ -28,6 +28,12 @@ from quire.session import materialize, new_folder
 from quire.sources import sinks
 from quire.streaming import progress
 
+try:  # the operators of training-data pipelines may be left out of an installation
+    import corpus_pipeline
+    from quire.llm import queries as llm_queries
+except ImportError:
+    corpus_pipeline = llm_queries = None
+
 ROOT = os.environ.get("QUIRE_TESTDATA", "/root/testdata")
 
 
@@ -231,12 +237,20 @@ _QUERIES: dict[str, Callable[[Views], DataFrame]] = {
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries by operator name; each takes a session and a data folder."""
-    return {
+    found = {
         name: (lambda spark, folder, run=run: run(Views(spark, folder)))
         for name, run in _QUERIES.items()
     }
+    if llm_queries is not None:
+        found |= llm_queries.QUERIES | {"pipeline": corpus_pipeline.run}
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
     """Equivalent DuckDB SQL by query name."""
-    return oracle_queries.statements()
+    found = oracle_queries.statements()
+    if llm_queries is not None:
+        found |= llm_queries.ORACLE_SQL
+        if corpus_pipeline.ORACLE_SQL:
+            found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
