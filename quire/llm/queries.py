@@ -4,15 +4,46 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quire.llm import bpe, packing
-from quire.llm.common import table
+from quire.llm import bpe, language, packing, toxicity
+from quire.llm.common import fold, table
 
 JSON_50K = "byte_bpe_50k.json"
 RANKS_50K = "byte_bpe_50k.tiktoken"
 VOCABULARY_50K = 50_257
 
 
+def _toxicity_scores(docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = table(docs.sparkSession, sf_dir, "labels")
+    model = toxicity.fit(table(docs.sparkSession, sf_dir, "documents"), labels, fold("doc_id", 3) != 1)
+    return toxicity.score(docs, model)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _toxicity_scores(docs, sf_dir).select(
+        "doc_id",
+        (fold("doc_id", 3) == 1).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not predicted toxic."""
+    scored = _toxicity_scores(docs, sf_dir)
+    return scored.where(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    known = language.profiles(docs, fold("doc_id", 4) != 2)
+    return language.identify(docs.select("doc_id", "text"), known).select(
+        "doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score"
+    )
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.packed_digests(spark, docs, public_tokenizers.path(JSON_50K), VOCABULARY_50K)
@@ -28,6 +59,8 @@ def stage_byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 QUERIES = {
+    "op3_toxicity": op3_toxicity,
+    "op4_language": op4_language,
     "op7_token_files": op7_token_files,
     "op9_byte_bpe": op9_byte_bpe,
 }
