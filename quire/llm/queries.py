@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, language, packing, toxicity
+from quire.llm import bpe, language, packing, pii, toxicity
 from quire.llm.common import fold, table
 
 JSON_50K = "byte_bpe_50k.json"
@@ -54,6 +54,19 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, public_tokenizers.path(RANKS_50K))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+def stage_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by its kind; n_chars follows the text."""
+    redacted = pii.redact(docs)
+    if "n_chars" not in docs.columns:
+        return redacted
+    kind = docs.schema["n_chars"].dataType
+    return redacted.withColumn("n_chars", F.coalesce(F.char_length("text").cast(kind), "n_chars"))
+
+
 def stage_byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, public_tokenizers.path(RANKS_50K))
 
@@ -63,6 +76,7 @@ QUERIES = {
     "op4_language": op4_language,
     "op7_token_files": op7_token_files,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_personal_data": op10_personal_data,
 }
 
 ORACLE_SQL: dict[str, str] = {}
