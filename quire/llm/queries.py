@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, language, packing, pii, toxicity
+from quire.llm import ann, bpe, language, packing, pii, toxicity
 from quire.llm.common import fold, table
 
 JSON_50K = "byte_bpe_50k.json"
@@ -14,6 +14,12 @@ RANKS_50K = "byte_bpe_50k.tiktoken"
 VOCABULARY_50K = 50_257
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    vectors = rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return ann.nearest(vectors, F.col("id") % 100 == 0, 10).withColumnRenamed("id", "vec_id")
+
+
 def _toxicity_scores(docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = table(docs.sparkSession, sf_dir, "labels")
     model = toxicity.fit(table(docs.sparkSession, sf_dir, "documents"), labels, fold("doc_id", 3) != 1)
@@ -72,6 +78,7 @@ def stage_byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 QUERIES = {
+    "op2_nearest": op2_nearest,
     "op3_toxicity": op3_toxicity,
     "op4_language": op4_language,
     "op7_token_files": op7_token_files,
