@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import ann, bpe, language, packing, pii, toxicity
+from quire.llm import ann, bpe, decontaminate, language, packing, pii, toxicity
 from quire.llm.common import fold, table
 
 JSON_50K = "byte_bpe_50k.json"
@@ -14,6 +14,15 @@ RANKS_50K = "byte_bpe_50k.tiktoken"
 VOCABULARY_50K = 50_257
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark passage."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
 def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     vectors = rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
@@ -78,6 +87,7 @@ def stage_byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_nearest": op2_nearest,
     "op3_toxicity": op3_toxicity,
     "op4_language": op4_language,
