@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import ann, bpe, decontaminate, language, packing, pii, toxicity
+from quire.llm import ann, bpe, decontaminate, language, neardup, packing, pii, toxicity
 from quire.llm.common import fold, table
 
 JSON_50K = "byte_bpe_50k.json"
@@ -59,6 +59,16 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return neardup.near_duplicates(docs, words=3, percent=85, bands=32, rows=8)
+
+
+def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: that of the smallest id."""
+    return neardup.drop_duplicates_of(docs)
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.packed_digests(spark, docs, public_tokenizers.path(JSON_50K), VOCABULARY_50K)
@@ -91,6 +101,7 @@ QUERIES = {
     "op2_nearest": op2_nearest,
     "op3_toxicity": op3_toxicity,
     "op4_language": op4_language,
+    "op5_near_duplicates": op5_near_duplicates,
     "op7_token_files": op7_token_files,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_personal_data": op10_personal_data,
