@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import ann, bpe, decontaminate, language, neardup, packing, pii, toxicity
+from quire.llm import ann, bpe, decontaminate, language, lm, neardup, packing, pii, toxicity
 from quire.llm.common import fold, table
 
 JSON_50K = "byte_bpe_50k.json"
@@ -74,6 +74,21 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_digests(spark, docs, public_tokenizers.path(JSON_50K), VOCABULARY_50K)
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out, tuning = fold("doc_id", 5) == 1, fold("doc_id", 5) == 0
+    parts = F.when(held_out, 0).when(tuning, 1).otherwise(2)
+    scored = lm.score(table(spark, sf_dir, "documents"), parts)
+    return scored.select(
+        "doc_id",
+        (F.col("fold") == 0).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+    )
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe.digests(docs, public_tokenizers.path(RANKS_50K))
@@ -103,6 +118,7 @@ QUERIES = {
     "op4_language": op4_language,
     "op5_near_duplicates": op5_near_duplicates,
     "op7_token_files": op7_token_files,
+    "op8_lm_scores": op8_lm_scores,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_personal_data": op10_personal_data,
 }
