@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.session import new_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -66,3 +68,40 @@ def open_store(uri: str):
 def fresh(name: str, suffix: str) -> str:
     """A file name that no other attempt of the task uses."""
     return f"{name}-{uuid.uuid4().hex}.{suffix}"
+
+
+def bucketed(df: DataFrame, name: str, column: str, partition: list[str] | None = None) -> DataFrame:
+    """A written table bucketed by a column, so that joins on it do not move its rows.
+
+    There are as many buckets as shuffle partitions, else a join would deal it out anew.
+    The files lie in the shared folder; only their frame is kept, not a table name.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table_name = f"quire_{uuid.uuid4().hex}"
+    writer = df.write.format("parquet").bucketBy(buckets, column).option("path", new_folder(spark, name))
+    (writer.partitionBy(*partition) if partition else writer).saveAsTable(table_name)
+    return spark.table(table_name)
+
+
+def pack_columns(*arrays: np.ndarray) -> bytes:
+    """Columns of equal length, byte by byte and compressed."""
+    import zstandard
+
+    head = np.array([len(arrays[0]), *(a.itemsize for a in arrays)], np.int64).tobytes()
+    planes = [np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(planes))
+
+
+def unpack_columns(data: bytes, *kinds: str) -> list[np.ndarray]:
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    count = int(np.frombuffer(raw, np.int64, 1)[0])
+    at, out = 8 * (1 + len(kinds)), []
+    for kind in kinds:
+        size = np.dtype(kind).itemsize
+        planes = np.frombuffer(raw, np.uint8, count * size, at).reshape(size, count)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
+        at += count * size
+    return out

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import ann, bpe, decontaminate, language, lm, neardup, packing, pii, toxicity
+from quire.llm import ann, bpe, decontaminate, language, lm, neardup, packing, pii, repeats, toxicity
 from quire.llm.common import fold, table
 
 JSON_50K = "byte_bpe_50k.json"
@@ -69,6 +69,18 @@ def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return neardup.drop_duplicates_of(docs)
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.packed_digests(spark, docs, public_tokenizers.path(JSON_50K), VOCABULARY_50K)
@@ -117,6 +129,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_language": op4_language,
     "op5_near_duplicates": op5_near_duplicates,
+    "op6_repeats": op6_repeats,
     "op7_token_files": op7_token_files,
     "op8_lm_scores": op8_lm_scores,
     "op9_byte_bpe": op9_byte_bpe,
