@@ -40,6 +40,20 @@ def slices(batch: pa.RecordBatch, limit: int, text: str = "text") -> Iterator[pa
         first = last
 
 
+def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; memory freed meanwhile goes back to the system after each.
+
+    Workers are used again by later tasks, and the C library would keep their largest size.
+    """
+    import ctypes
+
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    for batch in batches:
+        yield batch
+        if trim is not None:
+            trim(0)
+
+
 def texts_of(batch: pa.RecordBatch, text: str = "text") -> list[str]:
     """Texts of a batch; null is empty."""
     column = batch.column(batch.schema.get_field_index(text))

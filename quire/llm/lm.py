@@ -11,7 +11,8 @@ Counts are exact and cover all training texts. Documents are packed into blocks
 sends each owner of a range of hashes the distinct words and pairs it holds, with their
 numbers; an owner adds up what it gets from all blocks and answers each with the totals of what
 it sent, in the same order. So a pair travels once a block, whatever its frequency, nothing is
-held for the whole corpus anywhere, and common words make no task larger. What
+held for the whole corpus anywhere, and common words make no task larger. Blocks are a bucketed
+table, which the answers join in place. What
 expectation-maximisation needs of the held-out pairs is a table of fixed size: their number by
 bucket and by both frequencies in steps of a quarter of a power of two.
 
@@ -32,13 +33,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import slices, texts_of
+from quire.llm.common import bucketed, pack_columns, slices, texts_of, tidy, unpack_columns
 from quire.llm.words import Hasher, mixed
 from quire.session import materialize
 
 SLICE_BYTES = 1 << 20
-BLOCK_BYTES = 16 << 20
-OWNER_KEYS = 2_000_000
+BLOCK_BYTES = 6 << 20
+OWNER_KEYS = 700_000
 BUCKETS = 20
 STEPS = 4  # of a frequency, by power of two
 NONE = -(1 << 20)  # step of a frequency of zero
@@ -70,15 +71,14 @@ def pairs(words: np.ndarray) -> np.ndarray:
     return mixed(before * np.uint64(0x9E3779B97F4A7C15) + words * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(7))
 
 
-def squeeze(keys: np.ndarray) -> bytes:
-    """Rising keys as steps, byte by byte, which shuffle compression shortens."""
-    steps = np.diff(keys, prepend=np.uint64(0))
-    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
+def squeeze(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Rising keys as steps, which compress better, and their counts."""
+    return pack_columns(np.diff(keys, prepend=np.uint64(0)), counts.astype(np.uint32))
 
 
-def unsqueeze(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+def unsqueeze(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    steps, counts = unpack_columns(data, "u8", "u4")
+    return np.cumsum(steps, dtype=np.uint64), counts
 
 
 def owners_of(keys: np.ndarray, owners: int) -> np.ndarray:
@@ -113,7 +113,7 @@ def _blocks(docs: DataFrame, fold: Column) -> DataFrame:
             }
             return pa.RecordBatch.from_pylist([row], schema)
 
-        for batch in batches:
+        for batch in tidy(batches):
             for part in slices(batch, SLICE_BYTES):
                 ids, folds = (part.column(part.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "fold"))
                 for key, own, text in zip(ids, folds, texts_of(part)):
@@ -157,29 +157,29 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
 def _requests(blocks: DataFrame, owners: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(ascii_words=True)
-        for batch in batches:
+        for batch in tidy(batches):
             for row in _rows(batch):
                 words, _ = tokens(_unpacked(row), hasher)
                 sent = []
                 for order, keys in ((1, words), (2, pairs(words))):
                     some, counts = np.unique(keys, return_counts=True)
                     cuts = np.flatnonzero(np.diff(owners_of(some, owners))) + 1
-                    for own, times in zip(np.split(some, cuts), np.split(counts.astype(np.uint32), cuts)):
+                    for own, times in zip(np.split(some, cuts), np.split(counts, cuts)):
                         owner = int(owners_of(own[:1], owners)[0])
-                        sent.append((owner, row["block"], row["fold"], order, squeeze(own), times.tobytes()))
-                names = ["owner", "block", "fold", "ngram", "keys", "counts"]
-                kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+                        sent.append((owner, row["block"], row["fold"], order, squeeze(own, times)))
+                names = ["owner", "block", "fold", "ngram", "keys"]
+                kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*sent), kinds)], names)
 
     return blocks.select("block", "fold", "lengths", "n_bytes", "texts").mapInArrow(
-        run, "owner int, block long, fold int, ngram int, keys binary, counts binary"
+        run, "owner int, block long, fold int, ngram int, keys binary"
     )
 
 
 def _answers(requests: DataFrame) -> DataFrame:
     """Totals of each request's keys, in its order; with block -1 an owner's words and tokens.
 
-    ``total`` counts folds 1 and 2, ``rest`` fold 2 alone (for blocks of fold 1, else empty).
+    Totals are those of folds 1 and 2; blocks of fold 1 get those of fold 2 alone as well.
     """
 
     def run(group: pa.Table) -> pa.Table:
@@ -190,54 +190,56 @@ def _answers(requests: DataFrame) -> DataFrame:
             mine = [i for i, o in enumerate(column["ngram"]) if o == order]
             if not mine:
                 continue
-            keys = [unsqueeze(group.column("keys")[i].as_py()) for i in mine]
-            counts = [np.frombuffer(group.column("counts")[i].as_py(), np.uint32) for i in mine]
+            got = [unsqueeze(group.column("keys")[i].as_py()) for i in mine]
+            keys = [k for k, _ in got]
             folds = np.repeat([column["fold"][i] for i in mine], [len(k) for k in keys])
             _, place = np.unique(np.concatenate(keys), return_inverse=True)
-            times = np.concatenate(counts).astype(np.int64)
-            total = np.bincount(place, times * (folds > 0)).astype(np.int64)
-            rest = np.bincount(place, times * (folds == 2)).astype(np.int64)
+            times = np.concatenate([c for _, c in got]).astype(np.int64)
+            total = np.bincount(place, times * (folds > 0)).astype(np.uint32)
+            rest = np.bincount(place, times * (folds == 2)).astype(np.uint32)
             at = 0
             for i, own in zip(mine, keys):
                 where = place[at : at + len(own)]
                 at += len(own)
-                part = rest[where].astype(np.uint32).tobytes() if column["fold"][i] == 1 else b""
-                out.append((column["block"][i], column["owner"][i], order, total[where].astype(np.uint32).tobytes(), part))
+                fold = column["fold"][i]
+                answer = pack_columns(total[where], rest[where]) if fold == 1 else pack_columns(total[where])
+                out.append((column["block"][i], fold, column["owner"][i], order, answer))
             if order == 1:
-                sums = np.array([(c > 0).sum() for c in (total, rest)] + [total.sum(), rest.sum()], np.int64)
-                out.append((-1, column["owner"][mine[0]], 1, sums.tobytes(), b""))
-        names = ["block", "owner", "ngram", "total", "rest"]
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+                sums = [(c > 0).sum() for c in (total, rest)] + [c.sum(dtype=np.int64) for c in (total, rest)]
+                out.append((-1, -1, column["owner"][mine[0]], 1, np.array(sums, np.int64).tobytes()))
+        names = ["block", "fold", "owner", "ngram", "counts"]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
         return pa.table([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
-    return requests.groupBy("owner").applyInArrow(run, "block long, owner int, ngram int, total binary, rest binary")
+    return requests.groupBy("owner").applyInArrow(run, "block long, fold int, owner int, ngram int, counts binary")
 
 
 class Sizes:
     """Distinct words and tokens of the training texts, and of fold 2 alone."""
 
     def __init__(self, answers: DataFrame):
-        stats = answers.where("block = -1").select("total")
+        stats = answers.where("block = -1").select("counts")
         total = np.zeros(4, np.int64)
         for row in stats.toLocalIterator():  # a row an owner
-            total += np.frombuffer(row["total"], np.int64)
+            total += np.frombuffer(row["counts"], np.int64)
         self.words, self.words_rest, self.tokens, self.tokens_rest = (int(x) for x in total)
 
 
 def _answered(blocks: DataFrame, answers: DataFrame) -> DataFrame:
     """Blocks with the answers of all owners, in their order."""
     parts = answers.where("block >= 0").groupBy("block").agg(
-        F.array_sort(F.collect_list(F.struct("ngram", "owner", "total", "rest"))).alias("answers")
+        F.array_sort(F.collect_list(F.struct("ngram", "owner", "counts"))).alias("answers")
     )
     return blocks.join(parts, "block")
 
 
-def _counts(row: dict, part: str, hasher: Hasher) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _counts(row: dict, rest: bool, hasher: Hasher) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For each token: count of its pair, of its context, of itself; last, tokens by text."""
     words, sizes = tokens(_unpacked(row), hasher)
     found = []
     for order, keys in ((1, words), (2, pairs(words))):
-        got = [np.frombuffer(a[part], np.uint32) for a in row["answers"] if a["ngram"] == order]
+        kinds = ("u4", "u4") if row["fold"] == 1 else ("u4",)
+        got = [unpack_columns(a["counts"], *kinds)[int(rest)] for a in row["answers"] if a["ngram"] == order]
         _, place = np.unique(keys, return_inverse=True)
         found.append(np.concatenate(got).astype(np.int64)[place])
     own, both = found
@@ -261,14 +263,14 @@ def learn(answered: DataFrame, sizes: Sizes) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(ascii_words=True)
-        for batch in batches:
+        for batch in tidy(batches):
             for row in _rows(batch):
-                both, before, own, _ = _counts(row, "rest", hasher)
+                both, before, own, _ = _counts(row, True, hasher)
                 cells = np.stack([bucket(before), _step(both / np.maximum(before, 1)), _step(own / rest)])
                 some, times = np.unique(cells, axis=1, return_counts=True)
                 yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in some), pa.array(times)], ["b", "p", "w", "n"])
 
-    cells = answered.where("fold = 1").mapInArrow(run, "b long, p long, w long, n long")
+    cells = answered.mapInArrow(run, "b long, p long, w long, n long")
     table = cells.groupBy("b", "p", "w").agg(F.sum("n").alias("n")).toPandas()
     weights = np.tile(np.array(FIXED), (BUCKETS, 1))
     even = 1 / (sizes.words_rest + 1)
@@ -291,9 +293,9 @@ def _scored(answered: DataFrame, sizes: Sizes, weights: np.ndarray) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(ascii_words=True)
-        for batch in batches:
+        for batch in tidy(batches):
             for row in _rows(batch):
-                both, before, own, counts = _counts(row, "total", hasher)
+                both, before, own, counts = _counts(row, False, hasher)
                 firsts = np.r_[0, np.cumsum(counts)][:-1]
                 base = np.log10((own + 0.5) / (n + 0.5 * (v + 1)))
                 mix = weights[bucket(before)]
@@ -326,10 +328,10 @@ def score(docs: DataFrame, fold: Column) -> DataFrame:
 
     ``fold``: 2 counts, 1 counts too and tunes the weights, 0 teaches nothing.
     """
-    blocks = materialize(_blocks(docs, fold), "lm-blocks")
+    blocks = bucketed(_blocks(docs, fold), "lm-blocks", "block", ["fold"])
     size = blocks.agg(F.sum("n_bytes")).collect()[0][0] or 0
     owners = max(8, -(-size // (3 * OWNER_KEYS)))  # a word and its pair for every six bytes
     answers = materialize(_answers(_requests(blocks, int(owners))), "lm-answers")
     sizes = Sizes(answers)
-    tuned = learn(_answered(blocks.where("fold = 1"), answers), sizes)
+    tuned = learn(_answered(blocks.where("fold = 1"), answers.where("fold = 1")), sizes)
     return _scored(_answered(blocks, answers), sizes, tuned)
