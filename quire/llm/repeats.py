@@ -36,17 +36,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import bucketed, pack_columns, slices, texts_of, unpack_columns
+from quire.llm.common import bucketed, pack_columns, slices, texts_of, tidy, unpack_columns
 from quire.llm.words import mixed, powers
 from quire.session import materialize
 
 LENGTH = 100
 GRAM = 20
 BATCHES = 4
-BLOCK_BYTES = 16 << 20
-SLICE_BYTES = 1 << 20
-SEGMENT = 8 << 20  # window starts of a long document that are handled at once
-SHARD_BYTES = 24 << 20  # of text, for each shard
+BLOCK_BYTES = 4 << 20
+SLICE_BYTES = 1 << 19
+SEGMENT = 2 << 20  # window starts of a long document that are handled at once
+SHARD_BYTES = 8 << 20  # of text, for each shard
+COMPARED = 1 << 19  # bytes of contexts compared at once
 _LOW = np.uint64((1 << 24) - 1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ENTRY = ("u8", "u8", "i8", "i8", "i8", "u1")  # gram, context, doc_id, block, place, windows
@@ -96,7 +97,8 @@ class Anchors:
         start = places[first]
         stop = start + windows + LENGTH - 1
         context = mixed((sums[stop] - sums[start]) * self.down[start] + windows.astype(np.uint64) * _ODD)
-        return grams[anchor[first]], context, start, windows.astype(np.uint8)
+        # An anchor's hash is the smallest of many; mixed again, it spreads evenly over the shards.
+        return mixed(grams[anchor[first]] + _ODD), context, start, windows.astype(np.uint8)
 
 
 def shard_of(grams: np.ndarray, shards: int) -> np.ndarray:
@@ -131,7 +133,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
             }
             return pa.RecordBatch.from_pylist([row], schema)
 
-        for batch in batches:
+        for batch in tidy(batches):
             for part in slices(batch, SLICE_BYTES):
                 ids, groups = (part.column(part.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "batch"))
                 for key, group, text in zip(ids, groups, texts_of(part)):
@@ -187,7 +189,7 @@ def _requests(blocks: DataFrame, shards: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = Anchors()
-        for batch in batches:
+        for batch in tidy(batches):
             for row in _rows(batch):
                 data = np.frombuffer(_data(row), np.uint8)
                 starts = np.r_[0, np.cumsum(row["lengths"])]
@@ -289,7 +291,7 @@ _SCANNED = "kind int, shard int, block long, entries binary"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in tidy(batches):
         for row in _rows(batch):
             level, gone, open_ = merge_scan(row["new"], row["levels"])
             found = [(0, row["shard"], None, level)]
@@ -302,7 +304,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _merged(a: DataFrame, b: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             for row in _rows(batch):
                 parts = [unpack_columns(row[c], *_ENTRY) for c in ("a", "b") if row[c] is not None]
                 columns = [np.concatenate(c) for c in zip(*parts)]
@@ -323,7 +325,7 @@ def _contexts(blocks: DataFrame, open_: DataFrame, shards: int) -> DataFrame:
         import zstandard
 
         shrink = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in tidy(batches):
             for row in _rows(batch):
                 data = np.frombuffer(_data(row), np.uint8)
                 starts = np.r_[0, np.cumsum(row["lengths"])]
@@ -352,29 +354,51 @@ def _contexts(blocks: DataFrame, open_: DataFrame, shards: int) -> DataFrame:
 
 
 def compare(columns: list[np.ndarray], data: np.ndarray, anchors: Anchors) -> dict[int, bytes]:
-    """Windows of entries of one shard that are not the first of their kind, as runs by block."""
+    """Windows of entries of one shard that are not the first of their kind, as runs by block.
+
+    Grams are taken a few at a time; only a single gram with more contexts takes more memory.
+    """
     size = columns[5].astype(np.int64) + LENGTH - 1
     at = np.r_[0, np.cumsum(size)][:-1]
+    order = np.lexsort((columns[4], columns[3], columns[2], columns[0]))
+    gram = columns[0][order]
+    ends = np.r_[np.flatnonzero(gram[1:] != gram[:-1]) + 1, len(gram)]  # of each gram's entries
+    total = np.cumsum(size[order])
+    found, first = [], 0
+    while first < len(order):
+        before = total[first - 1] if first else 0
+        last = int(np.searchsorted(total, before + COMPARED, side="right"))
+        fits = ends[ends <= last]
+        stop = int(fits[-1]) if len(fits) and fits[-1] > first else int(ends[np.searchsorted(ends, first, side="right")])
+        some = order[first:stop]
+        found.append(_compared([c[some] for c in columns], at[some], size[some], data, anchors))
+        first = stop
+    block, place, runs = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+    none = np.zeros(len(runs), np.int64)
+    return _by_block([none, none, none, block, place, runs], np.arange(len(runs)), False)
+
+
+def _compared(
+    columns: list[np.ndarray], at: np.ndarray, size: np.ndarray, data: np.ndarray, anchors: Anchors
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Block, place and number of windows of each run; all entries of the grams that occur are given."""
+    source = np.repeat(at - np.r_[0, np.cumsum(size)][:-1], size) + np.arange(size.sum())
+    sums = anchors.sums(data[source])
     order = np.lexsort((columns[4], columns[3], columns[2]))
     windows = columns[5][order].astype(np.int64)
-    sums = anchors.sums(data)
     step = np.arange(windows.sum()) - np.repeat(np.r_[0, np.cumsum(windows)][:-1], windows)
-    start = np.repeat(at[order], windows) + step
+    start = np.repeat(np.r_[0, np.cumsum(size)][:-1][order], windows) + step
     hashes = mixed((sums[start + LENGTH] - sums[start]) * anchors.down[start])
     _, first = np.unique(hashes, return_index=True)
     gone = np.ones(len(hashes), bool)
     gone[first] = False
     entry = np.repeat(order, windows)
     which = np.flatnonzero(gone)
-    if not len(which):
-        return {}
-    fresh = np.r_[True, (which[1:] != which[:-1] + 1) | (entry[which[1:]] != entry[which[:-1]])]
+    fresh = np.r_[True, (which[1:] != which[:-1] + 1) | (entry[which[1:]] != entry[which[:-1]])][: len(which)]
     begin = np.flatnonzero(fresh)
     runs = np.diff(np.r_[begin, len(which)])
-    block = columns[3][entry[which[begin]]]
-    place = columns[4][entry[which[begin]]] + step[which[begin]]
-    none = np.zeros(len(runs), np.int64)
-    return _by_block([none, none, none, block, place, runs], np.arange(len(runs)), False)
+    own = entry[which[begin]]
+    return columns[3][own], columns[4][own] + step[which[begin]], runs
 
 
 def _resolved(contexts: DataFrame) -> DataFrame:
@@ -396,7 +420,7 @@ def _resolved(contexts: DataFrame) -> DataFrame:
 
 def _applied(blocks: DataFrame, gone: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             for row in _rows(batch):
                 yield from _documents(row)
 
