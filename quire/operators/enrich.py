@@ -29,17 +29,21 @@ def pages_from_documents(
     """Run a page extractor over file bytes: ``doc_stem, page_num, text, error``.
 
     The extractor takes the bytes of one file and yields one item per page: the text,
-    or an exception for a page that cannot be read. A failing page or file gives an
-    error row and the run goes on. Pages are yielded in batches while a file is read.
+    or an exception for a page that cannot be read. A failing page or file, and one
+    refused with an ``error`` and no content, gives an error row and the run goes on. Pages are yielded in batches while a file is read.
     """
     schema = "doc_stem string, page_num int, text string, error string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for stem, content in zip(batch["doc_stem"], batch["content"]):
+            refused = batch["error"] if "error" in batch else [None] * len(batch)
+            for stem, content, problem in zip(batch["doc_stem"], batch["content"], refused):
                 rows: list[tuple] = []
-                for page_num, text, error in _read_pages(extractor, bytes(content)):
-                    if page_num < start or (end is not None and page_num >= end):
+                found = _read_pages(extractor, bytes(content)) if content is not None else [(0, "", problem)]
+                for page_num, text, error in found:
+                    if end is not None and page_num >= end:
+                        break  # the extractor need not go on
+                    if page_num < start:
                         continue
                     rows.append((stem, page_num, text, error))
                     if len(rows) == 256:
@@ -47,7 +51,8 @@ def pages_from_documents(
                         rows = []
                 yield pd.DataFrame(rows, columns=["doc_stem", "page_num", "text", "error"])
 
-    return files.select("doc_stem", "content").mapInPandas(run, schema)
+    columns = [c for c in ("doc_stem", "content", "error") if c in files.columns]
+    return files.select(*columns).mapInPandas(run, schema)
 
 
 def _read_pages(extractor, content: bytes) -> Iterator[tuple[int, str, str | None]]:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from quire import schemas
 
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
-MAX_FILE_BYTES = 50 * 1024 * 1024
 
 
 def file_stem(path) -> Column:
@@ -20,16 +19,24 @@ def file_stem(path) -> Column:
     return F.when(stem == "", F.lit("document")).otherwise(stem)
 
 
-def pdf_rows(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """File rows with their document name, without files over the size limit."""
-    # Size is file metadata: the bytes of files that are too big are not read.
-    return files.where(F.col("length") <= max_bytes).select(
-        file_stem(F.col("path")).alias("doc_stem"), "path", "modificationTime", "length", "content"
-    )
-
+def pdf_rows(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """File rows with their document name and ``error``.
 
-def ingest_files(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """PDF files of a folder (not below it), or one file, with their bytes."""
+    With ``max_bytes``, a larger file is a row without content that says so.
+    """
+    columns = [file_stem(F.col("path")).alias("doc_stem"), "path", "modificationTime", "length"]
+    if max_bytes is None:
+        return files.select(*columns, "content", F.lit(None).cast("string").alias("error"))
+    fits = F.col("length") <= max_bytes
+    # Size is file metadata: with a filter on it alone, bytes of refused files are not read.
+    taken = files.where(fits).select(*columns, "content", F.lit(None).cast("string").alias("error"))
+    reason = F.concat(F.lit("file of "), "length", F.lit(f" bytes is over the limit of {max_bytes}"))
+    refused = files.where(~fits).select(*columns, F.lit(None).cast("binary").alias("content"), reason.alias("error"))
+    return taken.unionByName(refused)
+
+
+def ingest_files(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
+    """PDF files of a folder (not below it), or one file, with their bytes, whatever their size."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "false")
     return pdf_rows(reader.option("pathGlobFilter", "*.pdf").load(path), max_bytes)
 
@@ -59,13 +66,12 @@ def read_results(spark: SparkSession, path: str, layout: str = "parts") -> Resul
         full = _decoded(F.col("_metadata.file_path"))
         return reader.text(f"{path}/{folder}", wholetext=True).select(
             _decoded(F.regexp_extract(full, "/doc_stem=([^/]*)/", 1)).alias("doc_stem"),
-            F.regexp_extract(full, "/block_no=([0-9]+)/", 1).cast("int").alias("block_no"),
             # The text writer ends each file with a newline of its own.
             F.regexp_replace("value", r"\n\z", "").alias("value"),
         )
 
     return Results(
-        texts("markdown").select("doc_stem", "block_no", F.col("value").alias("markdown")),
+        texts("markdown").select("doc_stem", F.col("value").alias("markdown")),
         _json_rows(texts("images_metadata"), schemas.CATALOG),
         _json_rows(texts("trash"), schemas.DETECTIONS),
     )

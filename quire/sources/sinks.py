@@ -12,59 +12,65 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as tx
 from quire.operators.images import image_groups_html
-from quire.operators.keys import page_block
-from quire.schemas import BLOCK_PAGES
+from quire.operators.keys import whole_documents
 
-_KEYS = ["doc_stem", "block_no"]
+def _json_rows(table: DataFrame) -> DataFrame:
+    """One JSON array per document: ``doc_stem, value``."""
+    rows = F.sort_array(F.collect_list(F.struct(*[c for c in table.columns if c != "doc_stem"])))
+    return table.groupBy("doc_stem").agg(F.to_json(rows).alias("value"))
 
 
-def _with_block_no(docs: DataFrame) -> DataFrame:
-    return docs if "block_no" in docs.columns else docs.withColumn("block_no", F.lit(0))
+def _write_rows(rows: DataFrame, uri: str) -> int:
+    """Write one file per document below ``doc_stem=…``; returns the row count.
 
-
-def _json_parts(table: DataFrame, block_pages: int) -> DataFrame:
-    """One JSON array per page block: ``doc_stem, block_no, value``."""
-    page = F.greatest(F.coalesce(F.col("page"), F.lit(0)) - 1, F.lit(0))
-    fields = F.struct(*[c for c in table.columns if c != "doc_stem"])
-    return (
-        table.withColumn("block_no", page_block(page, block_pages))
-        .groupBy(*_KEYS)
-        .agg(F.to_json(F.sort_array(F.collect_list(fields))).alias("value"))
-    )
-
-
-def _write_parts(parts: DataFrame, uri: str) -> int:
-    """Write one file per row below ``doc_stem=…/block_no=…``; returns the row count."""
+    Only the folders of these documents are replaced; others stay.
+    """
     seen = Observation()
-    counted = parts.select(*_KEYS, "value").observe(seen, F.count(F.lit(1)).alias("rows"))
-    counted.write.mode("overwrite").partitionBy(*_KEYS).text(uri)
+    counted = rows.select("doc_stem", "value").observe(seen, F.count(F.lit(1)).alias("rows"))
+    writer = counted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("doc_stem").text(uri)
     return seen.get["rows"]
 
 
-def write_results(
-    docs: DataFrame,
-    catalog: DataFrame,
-    det: DataFrame,
-    uri: str,
-    block_pages: int = BLOCK_PAGES,
-) -> dict[str, int]:
+def _written_before(spark, uri: str) -> DataFrame | None:
+    """``doc_stem`` of the documents that have a folder below ``uri``; file contents are not read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None
+    name = F.regexp_extract(F.replace("path", F.lit("+"), F.lit("%2B")), "/doc_stem=([^/]*)/", 1)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(uri)
+    # Both the folder name and the path that is reported are encoded.
+    return found.select(F.url_decode(F.url_decode(name)).alias("doc_stem")).distinct()
+
+
+def write_results(docs: DataFrame, catalog: DataFrame, det: DataFrame, uri: str) -> dict[str, int]:
     """Write Markdown, catalogue and detections of every document below ``uri``.
 
-    ``uri`` is any Hadoop path (``file:``, ``s3a:``, a mount). Every document gets a
-    catalogue, ``[]`` when it has no images; detections only if there are any.
-    Returns how many files of each kind were written.
+    ``uri`` is any Hadoop path (``file:``, ``s3a:``, a mount). Every document gets one
+    Markdown file and a catalogue, ``[]`` when it has no images; detections only if
+    there are any, or ``[]`` in place of earlier ones. Outputs of other documents stay.
+    Returns how many files of each kind were written, without replaced detections.
+
+    Files and folders are one per document; ``write_tables`` suits very many documents.
     """
-    rows = _with_block_no(docs)
+    rows = whole_documents(docs).select("doc_stem", "markdown")
     catalogs = (
-        rows.select(*_KEYS)
-        .join(_json_parts(catalog, block_pages), _KEYS, "full")
+        rows.select("doc_stem")
+        .join(_json_rows(catalog), "doc_stem", "full")
         .withColumn("value", F.coalesce("value", F.lit("[]")))
     )
-    return {
-        "markdown": _write_parts(rows.withColumnRenamed("markdown", "value"), f"{uri}/markdown"),
-        "images_metadata": _write_parts(catalogs, f"{uri}/images_metadata"),
-        "trash": _write_parts(_json_parts(det, block_pages), f"{uri}/trash"),
+    counts = {
+        "markdown": _write_rows(rows.withColumnRenamed("markdown", "value"), f"{uri}/markdown"),
+        "images_metadata": _write_rows(catalogs, f"{uri}/images_metadata"),
     }
+    found = _json_rows(det)
+    before = _written_before(docs.sparkSession, f"{uri}/trash")
+    counts["trash"] = _write_rows(found, f"{uri}/trash")
+    if before is not None:
+        stale = before.join(docs.select("doc_stem").distinct(), "doc_stem", "left_semi")
+        stale = stale.join(found.select("doc_stem"), "doc_stem", "left_anti")
+        _write_rows(stale.withColumn("value", F.lit("[]")), f"{uri}/trash")
+    return counts
 
 
 def write_tables(docs: DataFrame, catalog: DataFrame, det: DataFrame, uri: str) -> None:
@@ -93,22 +99,18 @@ def export_bundle(
     if base_url:
         chosen = image_groups_html(chosen, base_url)
     images = catalog.join(done, "doc_stem", "left_semi")
-    page = F.greatest(F.col("page") - 1, F.lit(0))
-    listed = (
-        images.withColumn("block_no", page_block(page))
-        .groupBy(*_KEYS)
-        .agg(F.array_join(F.sort_array(F.collect_list("image_file")), "\n").alias("value"))
-    )
-    rows = _with_block_no(chosen)
+    names = F.array_join(F.sort_array(F.collect_list("image_file")), "\n")
+    listed = images.groupBy("doc_stem").agg(names.alias("value"))
+    rows = whole_documents(chosen).select("doc_stem", "markdown")
     catalogs = (
-        rows.select(*_KEYS)
-        .join(_json_parts(images, BLOCK_PAGES), _KEYS, "full")
+        rows.select("doc_stem")
+        .join(_json_rows(images), "doc_stem", "full")
         .withColumn("value", F.coalesce("value", F.lit("[]")))
     )
     return {
-        "markdown": _write_parts(rows.withColumnRenamed("markdown", "value"), f"{uri}/markdown"),
-        "metadata": _write_parts(catalogs, f"{uri}/metadata"),
-        "images": _write_parts(listed, f"{uri}/images"),
+        "markdown": _write_rows(rows.withColumnRenamed("markdown", "value"), f"{uri}/markdown"),
+        "metadata": _write_rows(catalogs, f"{uri}/metadata"),
+        "images": _write_rows(listed, f"{uri}/images"),
     }
 
 
@@ -123,13 +125,10 @@ class Published:
 
 
 def markdown_files(docs: DataFrame) -> DataFrame:
-    """Files to publish from documents: ``name, content``."""
-    number = F.lpad(F.col("block_no").cast("string"), 5, "0") if "block_no" in docs.columns else None
-    name = F.concat(F.col("doc_stem"), F.lit(".md"))
-    if number is not None:
-        later = F.concat(F.col("doc_stem"), F.lit(".part"), number, F.lit(".md"))
-        name = F.when(F.col("block_no") == 0, name).otherwise(later)
-    return docs.select(name.alias("name"), F.col("markdown").cast("binary").alias("content"))
+    """Files to publish, one per document: ``name, content``."""
+    return whole_documents(docs).select(
+        F.concat("doc_stem", F.lit(".md")).alias("name"), F.col("markdown").cast("binary").alias("content")
+    )
 
 
 def publish_files(files: DataFrame, uri: str) -> Published:
@@ -140,14 +139,18 @@ def publish_files(files: DataFrame, uri: str) -> Published:
     others go on.
     """
 
+    # The scheme of the other sinks, by the name that the file systems used here have for it.
+    address = f"s3{uri[3:]}" if uri.startswith(("s3a:", "s3n:")) else uri
+
     def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        target, base = fs.FileSystem.from_uri(uri)
         for batch in batches:
             errors: list[str | None] = []
             for row in batch.to_pylist():
                 try:
+                    # A target that cannot be opened fails its rows, not the job.
+                    target, base = fs.FileSystem.from_uri(address)
                     path = f"{base}/{row['name']}"
                     target.create_dir(path.rsplit("/", 1)[0], recursive=True)
                     with target.open_output_stream(path) as out:
@@ -209,8 +212,9 @@ def publish_payloads(
     ``status`` and ``error`` are added.
     """
     path, body = _payload(target, ids)
-    source = image_groups_html(docs, image_base_url) if image_base_url else docs
-    keys = [c for c in _KEYS if c in docs.columns]
+    whole = whole_documents(docs)
+    source = image_groups_html(whole, image_base_url) if image_base_url else whole
+    keys = ["doc_stem"]
     requests = source.select(
         *keys, F.lit(base_url.rstrip("/") + path).alias("url"), F.to_json(body).alias("body")
     )

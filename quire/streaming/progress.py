@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from quire.functions import fixed
 from quire.operators import enrich
 from quire.plans import pipelines
-from quire.sources.files import FILES, MAX_FILE_BYTES, pdf_rows
+from quire.sources.files import FILES, pdf_rows
 from quire.sources.sinks import write_tables
 
 
@@ -136,8 +136,9 @@ def stream_ingest(
     extractor: Callable,
     checkpoint: str,
     language: str = "th",
-    max_bytes: int = MAX_FILE_BYTES,
+    max_bytes: int | None = None,
     max_files: int = 1000,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Process PDF files of a folder as they arrive, without a model.
 
@@ -165,6 +166,6 @@ def stream_ingest(
     return (
         files.writeStream.option("checkpointLocation", checkpoint)
         .foreachBatch(process)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )

@@ -39,12 +39,23 @@ def test_results_round_trip(spark, tables, tmp_path):
     assert not (tmp_path / "out/trash/doc_stem=007").exists()
 
 
-def test_rows_of_a_long_document_get_files_of_their_own(spark, tmp_path, tables):
+def test_rows_of_a_long_document_share_a_file(spark, tmp_path, tables):
     md = spark.createDataFrame([("d", 0, "one"), ("d", 1, "two")], schemas.MARKDOWN_DOCS)
     _, cat, det = tables
     sinks.write_results(md, cat, det, str(tmp_path / "o"))
-    again = files.read_results(spark, str(tmp_path / "o")).documents.where("doc_stem = 'd'").orderBy("block_no")
-    assert [(r.block_no, r.markdown) for r in again.collect()] == [(0, "one"), (1, "two")]
+    again = files.read_results(spark, str(tmp_path / "o")).documents.where("doc_stem = 'd'")
+    assert [r.markdown for r in again.collect()] == ["one\ntwo"]
+
+
+def test_a_second_run_keeps_other_documents(spark, docs, tables, tmp_path):
+    _, cat, det = tables
+    uri = str(tmp_path / "o")
+    sinks.write_results(docs({"b": "first", "k": "kept"}), cat, det, uri)
+    sinks.write_results(docs({"b": "second"}), cat.limit(0), det.limit(0), uri)
+    again = files.read_results(spark, uri)
+    assert {r.doc_stem: r.markdown for r in again.documents.collect()} == {"b": "second", "k": "kept"}
+    assert again.detections.where("doc_stem = 'b'").count() == 0
+    assert again.catalog.where("doc_stem = '007'").count() == 2
 
 
 def test_unusual_names_and_no_detections(spark, docs, tmp_path):
@@ -79,7 +90,11 @@ def test_ingest(spark, tmp_path):
     os.makedirs(tmp_path / "sub")
     (tmp_path / "sub/deep.pdf").write_bytes(b"x")
     found = files.ingest_files(spark, str(tmp_path), max_bytes=10)
-    assert sorted((r.doc_stem, len(r.content)) for r in found.collect()) == [("a", 5), ("b.c", 6)]
+    assert sorted((r.doc_stem, len(r.content or b""), r.error) for r in found.collect()) == [
+        ("a", 5, None), ("b.c", 6, None), ("big", 0, "file of 50 bytes is over the limit of 10")]
+    pages = enrich.pages_from_documents(found, lambda content: [content.decode()])
+    assert [(r.text, r.error) for r in pages.where("doc_stem = 'big'").collect()] == [("", "file of 50 bytes is over the limit of 10")]
+    assert {r.doc_stem for r in files.ingest_files(spark, str(tmp_path)).collect()} == {"a", "b.c", "big"}
     assert [r.doc_stem for r in files.ingest_files(spark, str(tmp_path / "a.pdf")).collect()] == ["a"]
 
 
@@ -105,14 +120,14 @@ def test_publish_files(spark, tables, tmp_path):
     more = spark.createDataFrame([("b", "tail", 1)], "doc_stem string, markdown string, block_no int")
     named = sinks.markdown_files(md.unionByName(more))
     good, bad = sinks.publish_all([(named, f"file://{tmp_path}/pub"), (named, "nowhere://x")])
-    assert (good.written, good.failed, good.error) == (4, 0, None)
+    assert (good.written, good.failed, good.error) == (3, 0, None)
     assert (tmp_path / "pub/007.md").read_text() == "# a\n\ntext\n"
-    assert (tmp_path / "pub/b.part00001.md").read_text() == "tail"
-    assert bad.written == 0 and bad.error
+    assert (tmp_path / "pub/b.md").read_text() == "# b\ntail"
+    assert (bad.written, bad.failed) == (0, 3) and bad.error
     (tmp_path / "pub2").mkdir()
     (tmp_path / "pub2/b.md").mkdir()
     partly = sinks.publish_files(named, f"file://{tmp_path}/pub2")
-    assert (partly.written, partly.failed) == (3, 1) and partly.error
+    assert (partly.written, partly.failed) == (2, 1) and partly.error
 
 
 def test_payloads(docs):
