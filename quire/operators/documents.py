@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.operators.keys import doc_keys, document_blocks, page_block, with_block
+from quire.operators.keys import document_blocks, whole_documents, with_block
 from quire.schemas import BLOCK_PAGES
 
 PAGE_LINE = r"(?:^|\n)## Page ([0-9]+)"
@@ -47,7 +47,7 @@ def assemble_documents(
 
     A document of at most ``block_pages`` pages is one row. A longer one goes on in
     further rows, each starting at a page header, and its text is its rows joined by
-    a newline; so no task ever holds a whole long document. ``head`` may use
+    a newline (``keys.whole_documents``). ``head`` may use
     ``doc_stem`` and ``pages``. ``pages`` is any table with the same page keys that
     is cheaper to count than ``bodies``.
     """
@@ -101,49 +101,29 @@ def document_stats(docs: DataFrame, catalog: DataFrame, det: DataFrame) -> DataF
     )
 
 
-def results_view(
-    jobs: DataFrame,
-    docs: DataFrame,
-    catalog: DataFrame,
-    det: DataFrame,
-    block_pages: int = BLOCK_PAGES,
-) -> DataFrame:
+def results_view(jobs: DataFrame, docs: DataFrame, catalog: DataFrame, det: DataFrame) -> DataFrame:
     """Completed jobs with Markdown, catalogue and detections nested beside them.
 
-    One row per job and page block (one row for an ordinary document). Missing
-    outputs are null and count zero. Jobs meet the narrow list of blocks first, so
-    texts and arrays are joined on ``doc_stem, block_no``.
+    One row per job. Missing outputs are null and count zero. Outputs of documents
+    without a job are left out before they are gathered.
     """
-    keys = ["doc_stem", "block_no"]
-    texts = docs if "block_no" in docs.columns else docs.withColumn("block_no", F.lit(0))
-    of_page = page_block(F.greatest(F.coalesce("page", F.lit(0)) - 1, F.lit(0)), block_pages)
+    done = jobs.where(F.col("status") == "completed").select(
+        F.col("id").alias("job_id"), F.regexp_replace("filename", r"\.pdf\z", "").alias("doc_stem")
+    )
+    named = done.select("doc_stem").distinct()
 
     def nested(table: DataFrame, out: str) -> DataFrame:
         fields = [c for c in table.columns if c != "doc_stem"]
-        return (
-            table.withColumn("block_no", of_page)
-            .groupBy(*keys)
-            .agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(out))
-        )
+        rows = F.sort_array(F.collect_list(F.struct(*fields)))
+        return table.join(named, "doc_stem", "left_semi").groupBy("doc_stem").agg(rows.alias(out))
 
-    images, found = nested(catalog, "metadata"), nested(det, "trash")
-    done = jobs.where(F.col("status") == "completed").select(
-        F.col("id").alias("job_id"), F.regexp_replace("filename", r"\.pdf\z", "").alias("doc_stem")
-    )
-    blocks = (
-        texts.select(*keys)
-        .union(catalog.select("doc_stem", of_page.alias("block_no")))
-        .union(det.select("doc_stem", of_page.alias("block_no")))
-        .distinct()
-    )
+    texts = whole_documents(docs.join(named, "doc_stem", "left_semi")).select("doc_stem", "markdown")
     return (
-        done.join(blocks, "doc_stem", "left")
-        .join(texts.select(*keys, "markdown"), keys, "left")
-        .join(images, keys, "left")
-        .join(found, keys, "left")
+        done.join(texts, "doc_stem", "left")
+        .join(nested(catalog, "metadata"), "doc_stem", "left")
+        .join(nested(det, "trash"), "doc_stem", "left")
         .select(
             "job_id",
-            F.coalesce("block_no", F.lit(0)).alias("block_no"),
             "markdown",
             "metadata",
             F.when(F.col("metadata").isNull(), 0).otherwise(F.size("metadata")).alias("image_count"),
@@ -157,8 +137,3 @@ def purge_documents(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, D
     """Every table without the rows of the documents in ``ids``."""
     gone = ids.select("doc_stem").distinct()
     return {name: table.join(gone, "doc_stem", "left_anti") for name, table in tables.items()}
-
-
-def document_rows(docs: DataFrame) -> DataFrame:
-    """Keys and text of a Markdown table, without other columns."""
-    return docs.select(*doc_keys(docs), "markdown")

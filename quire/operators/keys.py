@@ -51,6 +51,18 @@ def document_blocks(pages: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFra
     return blocks.drop("n").join(totals, "doc_stem")
 
 
+def whole_documents(docs: DataFrame) -> DataFrame:
+    """``doc_stem, markdown``: the rows of each document joined by a newline.
+
+    What counts or searches across a document starts from this, so that no result
+    depends on the size of the blocks in which the document was assembled.
+    """
+    if "block_no" not in docs.columns:
+        return docs
+    rows = F.sort_array(F.collect_list(F.struct("block_no", "markdown")))
+    return docs.groupBy("doc_stem").agg(F.array_join(rows["markdown"], "\n").alias("markdown"))
+
+
 def doc_keys(docs: DataFrame) -> list[str]:
     """Key columns of a Markdown table: with or without block numbers."""
     return [c for c in ("doc_stem", "block_no") if c in docs.columns]

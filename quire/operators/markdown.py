@@ -10,13 +10,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import fixed, text as tx
-from quire.operators.keys import doc_keys, matched_per_document
+from quire.operators.keys import doc_keys, matched_per_document, whole_documents
 
 # Section header of the review screen: at column 0, digits may be followed by more.
 _REVIEW_CUT = r"\n(?=## Page [0-9])"
+# A page number fits 32 bits: up to nine digits, or ten up to 4294967295.
+_LIMIT = "4294967295"
+_UP_TO_U32 = "|".join(
+    ["[0-9]{1,9}", _LIMIT]
+    + [f"{_LIMIT[:i]}[0-{int(d) - 1}][0-9]{{{9 - i}}}" for i, d in enumerate(_LIMIT) if d != "0" and i]
+    + ["[1-3][0-9]{9}"]
+)
 # Page header of the cleaner: trimmed, and nothing but the number after the words.
-# Numbers of more than nine digits are not page numbers here.
-_CLEAN_HEADER = rf"{fixed.WS_IN_LINE}*## Page {fixed.WS_IN_LINE}*\+?0*([0-9]{{1,9}}){fixed.WS_IN_LINE}*"
+_CLEAN_HEADER = rf"{fixed.WS_IN_LINE}*## Page {fixed.WS_IN_LINE}*\+?0*({_UP_TO_U32}){fixed.WS_IN_LINE}*"
 _CLEAN_CUT = rf"(?<=\n)(?={_CLEAN_HEADER}(?:\n|\z))"
 _CLEAN_START = rf"\A{_CLEAN_HEADER}(?:\n|\z)"
 
@@ -38,6 +44,7 @@ def _page_of_header(header: Column) -> Column:
 
 def split_sections(docs: DataFrame) -> DataFrame:
     """One row per section: head first (page 0), then one per ``## Page N`` header."""
+    docs = whole_documents(docs)
     keys = doc_keys(docs)
     cut = docs.select(*keys, F.posexplode(_review_sections(F.col("markdown"))).alias("section_no", "content"))
     headed = cut.withColumn("header", _header_line(F.col("content")))
@@ -82,6 +89,7 @@ def remove_pages(docs: DataFrame, removals: DataFrame, only_listed: bool = False
 
     With ``only_listed``, documents without a row in ``removals`` keep their text as it is.
     """
+    docs = whole_documents(docs)
     keys = doc_keys(docs)
     text = _clean_text(F.col("markdown"))
     sections = F.split(text, _CLEAN_CUT, -1)
@@ -103,18 +111,21 @@ def remove_pages(docs: DataFrame, removals: DataFrame, only_listed: bool = False
 
 
 def apply_section_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
-    """Apply a batch of section edits: ``doc_stem, page, action, content, new_pos``.
+    """Apply a batch of section edits: ``doc_stem, page, action, content, new_pos, seq``.
 
     Actions are delete, replace and move. All refer to the sections as they were
-    before the batch; ``new_pos`` is the 0-based place a section moves to. Sections
-    are joined by a newline.
+    before the batch; ``new_pos`` is the 0-based place a section moves to. Of several
+    edits of one kind on a page the one of the highest ``seq`` wins; a deleted page stays
+    deleted. Sections are joined by a newline.
     """
+    docs = whole_documents(docs)
     keys = doc_keys(docs)
     action = F.col("action")
+    seq = F.col("seq") if "seq" in edits.columns else F.lit(0)
     per_page = edits.groupBy("doc_stem", F.col("page").cast("bigint").alias("page")).agg(
         F.max(action == "delete").alias("gone"),
-        F.max(F.when(action == "replace", F.col("content"))).alias("text"),
-        F.max(F.when(action == "move", F.col("new_pos"))).alias("place"),
+        F.max_by("content", F.when(action == "replace", F.struct(seq, F.col("content")))).alias("text"),
+        F.max_by("new_pos", F.when(action == "move", F.struct(seq, F.col("new_pos")))).alias("place"),
     )
     sections = _review_sections(F.col("markdown"))
     numbers = F.transform(sections, lambda s: _page_of_header(_header_line(s)))
@@ -150,9 +161,10 @@ def apply_section_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
 def search_corpus(docs: DataFrame, query: str, case_sensitive: bool = False) -> DataFrame:
     """Every non-overlapping match of a literal: ``match_no, offset, length``.
 
-    Offsets count characters from the start of the document row. The text is cut at
+    Offsets count code points from the start of the document. The text is cut at
     the matches inside its row; only the lengths of the pieces are shuffled.
     """
+    docs = whole_documents(docs)
     keys = doc_keys(docs)
     if not query:
         return docs.select(
@@ -173,7 +185,8 @@ def search_corpus(docs: DataFrame, query: str, case_sensitive: bool = False) ->
 
 
 def count_matches(docs: DataFrame, query: str, case_sensitive: bool = False) -> DataFrame:
-    """Number of matches per document row; no shuffle."""
+    """Number of matches per document."""
+    docs = whole_documents(docs)
     pattern = F.lit(tx.literal_pattern(query, case_sensitive))
     return docs.select(*doc_keys(docs), F.regexp_count("markdown", pattern).alias("matches"))
 
@@ -182,6 +195,7 @@ def replace_corpus(
     docs: DataFrame, query: str, text: str, case_sensitive: bool = False
 ) -> DataFrame:
     """Replace every match of a literal by a literal in all documents."""
+    docs = whole_documents(docs)
     source = F.col("markdown")
     if not query:
         new = source
@@ -192,3 +206,30 @@ def replace_corpus(
             source, tx.literal_pattern(query, False), tx.escape_replacement(text)
         )
     return docs.select(*doc_keys(docs), new.alias("markdown"))
+
+
+def chunk_documents(docs: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:
+    """Chunks for an index: ``doc_stem, part_no, piece_no, content``.
+
+    A document is cut at its lines ``---``, which stand between pages, so that image tags stay
+    with the text around them. A longer part is cut into pieces of ``size`` characters,
+    each starting ``overlap`` before the end of the last. Blank parts are left out.
+    """
+    if not 0 <= overlap < size:
+        raise ValueError("overlap must be less than size")
+    docs = whole_documents(docs)
+    keys = doc_keys(docs)
+    text = F.concat(F.lit("\n"), "markdown", F.lit("\n"))
+    parts = docs.select(*keys, F.posexplode(F.split(text, "\n---\n", -1)).alias("part_no", "part"))
+    last = F.greatest(F.char_length("part") - overlap - 1, F.lit(0))
+    starts = F.sequence(F.lit(0), last, F.lit(size - overlap))
+    pieces = parts.where(F.col("part").rlike(r"[^\s]")).select(
+        *keys, "part_no", "part", F.posexplode(starts).alias("piece_no", "start")
+    )
+    content = F.substring(F.col("part"), F.col("start") + 1, F.lit(size))
+    return pieces.select(*keys, "part_no", "piece_no", content.alias("content"))
+
+
+def chunk_image_integrity(chunks: DataFrame) -> DataFrame:
+    """Chunks that end in an image tag, so that its description is not with it."""
+    return chunks.where(F.col("content").rlike(r"\[IMAGE:[^\]\n]*\]\s*\z"))

@@ -12,6 +12,11 @@ from quire.schemas import BLOCK_PAGES, CATALOG
 from quire.session import materialize, materialize_counted
 
 
+def readable(pages: DataFrame) -> DataFrame:
+    """Pages that were read. A failed page has no text, which says nothing about the page."""
+    return pages.where(F.col("error").isNull()) if "error" in pages.columns else pages
+
+
 @dataclass(frozen=True)
 class Outputs:
     """Tables a run produces, and counts taken while it ran."""
@@ -41,6 +46,7 @@ def text_only_pipeline(
     language: str = "th",
     block_pages: int = BLOCK_PAGES,
     keep_pages: bool = False,
+    detect_trash: bool = True,
 ) -> Outputs:
     """Clean, find and strip headers and footers, detect, assemble; no model.
 
@@ -57,7 +63,8 @@ def text_only_pipeline(
         pg.assemble_pages(stripped), documents.text_only_head(language), pages, block_pages
     )
     empty = pages.sparkSession.createDataFrame([], CATALOG)
-    return Outputs(docs, empty, detect.all_detections(stripped, hf))
+    found = detect.all_detections(readable(stripped), hf)
+    return Outputs(docs, empty, found if detect_trash else found.where(F.lit(False)))
 
 
 def vision_pipeline(
@@ -85,8 +92,8 @@ def vision_pipeline(
         pages=F.count(F.lit(1)),
         page_errors=F.count("error") if "error" in source else F.lit(0).cast("long"),
     )
-    readable = routed.where(F.col("error").isNull()) if "error" in source else routed
-    requests = enrich.description_requests(readable, objects, config, block_width)
+    read = readable(routed)
+    requests = enrich.description_requests(read, objects, config, block_width)
     answers = enrich.describe_images(requests, describer, config.max_retries, base_delay, prompts)
     described, image_counts = materialize_counted(
         enrich.settle_descriptions(answers),
@@ -102,9 +109,9 @@ def vision_pipeline(
     )
     catalog = images.catalog_rows(described, config.provider, config.model)
     if not config.detect_trash:
-        found = detect.detect_trash(routed).where(F.lit(False))
+        found = detect.detect_trash(read).where(F.lit(False))
     else:
-        found = detect.all_detections(routed, boilerplate.headers_footers(routed))
+        found = detect.all_detections(read, boilerplate.headers_footers(read, routed))
     return Outputs(docs, catalog, found, {**page_counts, **image_counts})
 
 

@@ -30,14 +30,7 @@ PROVIDERS = (
     "cost_per_image_usd double"
 )
 
-PROGRESS = (
-    "current_page int, total_pages int, images_processed int, phase string, message string"
-)
 
-JOB_RESULT = (
-    "markdown_path string, metadata_path string, image_count int, images_dir string, "
-    "trash_path string, trash_count int"
-)
 
 # One row of a document's Markdown. A document of at most `block_pages` pages is one row;
 # a longer one continues in rows of rising block_no, each starting at a page header.

@@ -84,5 +84,6 @@ def test_results(spark, docs):
     assert got["1"].markdown == "A" and [m.page for m in got["1"].metadata] == [1, 5, 9]
     assert (got["1"].image_count, got["1"].trash_count) == (3, 1)
     assert (got["3"].markdown, got["3"].metadata, got["3"].image_count) == (None, None, 0)
-    parts = documents.results_view(table, docs({"a": "A"}), cat, det, block_pages=4).where("job_id = '1'").orderBy("block_no").collect()
-    assert [(p.block_no, p.markdown, p.image_count) for p in parts] == [(0, "A", 1), (1, None, 1), (2, None, 1)]
+    parts = spark.createDataFrame([("a", 1, "second"), ("a", 0, "first")], "doc_stem string, block_no int, markdown string")
+    got = documents.results_view(table, parts, cat, det).where("job_id = '1'").collect()
+    assert [(r.markdown, r.image_count) for r in got] == [("first\nsecond", 3)]

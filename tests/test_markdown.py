@@ -1,9 +1,13 @@
 import random
 
 import expected
+import pytest
 from pyspark.sql import functions as F
-from quire.operators import images, markdown as md
+from quire.operators import documents, images, markdown as md
+from quire.operators.keys import whole_documents
 from quire.plans import pipelines
+from quire.sources import sinks
+from quire.sources.files import read_results
 
 PIECES = ["## Page 1\n", "## Page 2\n", " ## Page 3 \r\n", "## Page +4\n", "## Page x\n", "---\n", "\n", "text\n", "a",
           "[IMAGE:p.png]\n", "[IMAGE:q.png] tail\n", "see [IMAGE:p.png]\n", "# h\n", "  \n", "line\r\n", "[IMAGE:]\n"]
@@ -153,22 +157,56 @@ def test_delete_images(spark, docs):
     assert (row.deleted, row.failed, row.image_count) == (3, 2, 0)
 
 
-def test_rows_of_long_documents_are_edited_alike(spark, pages):
-    texts = [f"page {i}\n[IMAGE:d/{i}.png]\nabout {i}" for i in range(9)]
-    table = pages({"d": texts})
+def test_results_do_not_depend_on_the_block_size(spark, pages, tmp_path):
+    texts = [f"page {i} alpha\n[IMAGE:d/{i}.png]\nabout {i}\n" for i in range(9)]
+    table = pages({"d": texts, "e": ["alpha alone"]})
     removals = spark.createDataFrame([("d", 2), ("d", 8)], "doc_stem string, page int")
     deleted = spark.createDataFrame([("d", "d/3.png"), ("d", "d/8.png")], "doc_stem string, image_file string")
+    edits = spark.createDataFrame(
+        [("d", 7, "move", None, 2, 1), ("d", 3, "replace", "new", None, 1), ("d", 5, "delete", None, None, 1)],
+        "doc_stem string, page int, action string, content string, new_pos int, seq int",
+    )
+    jobs = spark.createDataFrame([("1", "d.pdf", "completed")], "id string, filename string, status string")
+    none = spark.createDataFrame([], "doc_stem string, page int, image_file string")
 
     def joined(df):
-        return "\n".join(r.markdown for r in df.orderBy("block_no").collect())
-
-    whole, parts = (pipelines.text_only_pipeline(table, block_pages=n).documents for n in (100, 2))
-    assert parts.count() == 5
-    assert joined(images.remove_image_blocks(parts, deleted)) == joined(images.remove_image_blocks(whole, deleted))
-    assert joined(images.image_groups_html(parts, "b")) == joined(images.image_groups_html(whole, "b"))
-    removed = md.remove_pages(parts, removals)
-    one = "".join(r.markdown for r in removed.orderBy("block_no").collect())
-    assert one == joined(md.remove_pages(whole, removals))
-    names = md.split_sections(parts).where("page_number > 0").select("page_number", "content")
-    assert sorted(names.collect()) == sorted(
-        md.split_sections(whole).where("page_number > 0").select("page_number", "content").collect())
+        return sorted(map(tuple, whole_documents(df).select("doc_stem", "markdown").collect()))
+
+    def everything(size):
+        docs = pipelines.text_only_pipeline(table, block_pages=size).documents
+        out = f"file://{tmp_path}/{size}"
+        sinks.write_results(docs, none, none, out)
+        back = read_results(spark, out).documents
+        rows = [
+            md.split_sections(docs), md.search_corpus(docs, "3\n\n\n---\n## Page 5", True), md.search_corpus(docs, "alpha"),
+            md.remove_pages(docs, removals), md.apply_section_edits(docs, edits), md.replace_corpus(docs, "---\n## page", "P"),
+            md.count_matches(docs, "page"), documents.results_view(jobs, docs, none, none), sinks.markdown_files(docs),
+            sinks.publish_payloads(docs, "flowise", store_id="s"), back.select("doc_stem", "markdown"),
+            documents.document_stats(docs, none, none),
+        ]
+        tables = [sorted(map(str, df.collect())) for df in rows]
+        return tables + [joined(images.remove_image_blocks(docs, deleted)), joined(images.image_groups_html(docs, "b"))]
+
+    whole = everything(512)
+    assert all(whole) and len(whole[2]) == 10
+    for size in (1, 2, 7):
+        assert everything(size) == whole, size
+
+
+def test_last_edit_of_a_page_wins(spark, docs):
+    text = "# d\n## Page 1\none\n## Page 2\ntwo\n## Page 3\nthree"
+    edits = spark.createDataFrame(
+        [("d", 1, "replace", "zzz first", None, 1), ("d", 1, "replace", "aaa last", None, 2),
+         ("d", 3, "move", None, 2, 1), ("d", 3, "move", None, 1, 2), ("d", 2, "delete", None, None, 1), ("d", 2, "replace", "x", None, 2)],
+        "doc_stem string, page int, action string, content string, new_pos int, seq int",
+    )
+    got = md.apply_section_edits(docs({"d": text}), edits).collect()[0].markdown
+    assert got == "# d\n## Page 3\nthree\n## Page 1\n---\naaa last"
+
+
+@pytest.mark.parametrize("number,header", [(3_000_000_000, True), (4_294_967_295, True), (4_294_967_296, False), (10**10, False)])
+def test_page_numbers_of_ten_digits(spark, docs, number, header):
+    text = f"head\n## Page {number}\nbody\n"
+    wanted = spark.createDataFrame([("d", number)], "doc_stem string, page bigint")
+    got = md.remove_pages(docs({"d": text}), wanted).collect()[0].markdown
+    assert got == ("head\n" if header else text)
