@@ -22,10 +22,16 @@ from quire.operators import (
     markdown,
     pages,
 )
-from quire.operators.enrich import describe_images, description_requests, settle_descriptions
+from quire.operators.enrich import (
+    describe_images,
+    description_requests,
+    pages_from_documents,
+    settle_descriptions,
+)
 from quire.plans import pipelines
 from quire.session import materialize, new_folder
 from quire.sources import sinks
+from quire.sources.files import read_results
 from quire.streaming import progress
 
 try:  # the operators of training-data pipelines may be left out of an installation
@@ -167,6 +173,71 @@ def _stream_terminal(v: Views) -> DataFrame:
     return v.spark.read.parquet(f"{base}/feed").drop("batch_id")
 
 
+def _long_documents(v: Views) -> DataFrame:
+    """The Markdown documents in rows of seven pages each, as a long document is assembled."""
+    parts = F.split("markdown", r"\n(?=---\n## Page (?:[0-9]*[27])\n)", -1)
+    return v.markdown_docs.select("doc_stem", F.posexplode(parts).alias("block_no", "markdown"))
+
+
+def _failed_pages(v: Views) -> DataFrame:
+    """Failed pages left in each document after its trash is stripped: all of them."""
+    failed = F.col("page_num") % 13 == 12
+    pages_ = v.page_texts.withColumns(
+        {"text": F.when(failed, "").otherwise(F.col("text")), "error": F.when(failed, "boom")}
+    )
+    run = pipelines.text_only_pipeline(pages_, keep_pages=True)
+    left = pipelines.strip_trash(run.documents, run.detections)
+    count = F.regexp_count("markdown", F.lit("Error: boom")).cast("long")
+    return left.select("doc_stem", count.alias("failed"))
+
+
+def _written(v: Views) -> DataFrame:
+    """Documents and catalogue written in two runs, and read back together."""
+    base = new_folder(v.spark, "results")
+    found = _detections(v)
+    for rest in (0, 1):
+        mine = F.crc32("doc_stem") % 2 == rest
+        sinks.write_results(
+            v.markdown_docs.where(mine), v.image_catalog.where(mine), found.where(mine), base
+        )
+    back = read_results(v.spark, base)
+    images_ = back.catalog.groupBy("doc_stem").agg(F.count(F.lit(1)).alias("images"))
+    trash = back.detections.groupBy("doc_stem").agg(F.count(F.lit(1)).alias("detections"))
+    joined = back.documents.join(images_, "doc_stem", "left").join(trash, "doc_stem", "left")
+    return joined.select("doc_stem", "markdown", F.coalesce("images", F.lit(0)).alias("images"), F.coalesce("detections", F.lit(0)).alias("detections"))
+
+
+def _exported(v: Views) -> DataFrame:
+    """The bundle's list of images, read back."""
+    base = new_folder(v.spark, "bundle")
+    sinks.export_bundle(v.markdown_docs, v.image_catalog, v.jobs, base)
+    found = v.spark.read.option("recursiveFileLookup", "true").text(f"{base}/images")
+    name = F.regexp_extract(F.col("_metadata.file_path"), "/doc_stem=([^/]*)/", 1)
+    return found.select(name.alias("doc_stem"), F.col("value").alias("image_file"))
+
+
+def _published(v: Views) -> DataFrame:
+    """Files of all documents, published and read back."""
+    base = new_folder(v.spark, "published")
+    target = base if ":" in base else f"file://{base}"
+    sinks.publish_files(sinks.markdown_files(v.markdown_docs), target)
+    found = v.spark.read.text(f"{base}/*.md", wholetext=True)
+    name = F.regexp_extract(F.col("_metadata.file_name"), r"(.*)\.md", 1)
+    return found.select(name.alias("doc_stem"), F.col("value").alias("markdown"))
+
+
+def _extracted(v: Views) -> DataFrame:
+    """Pages of each document's bytes, one per line break, from the second to the fourth."""
+    files = v.table("documents").select(
+        F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("doc_stem"), F.col("text").cast("binary").alias("content")
+    )
+
+    def lines(content: bytes):
+        yield from content.decode().split("\n")
+
+    return pages_from_documents(files, lines, 1, 4).select("doc_stem", "page_num", "text")
+
+
 _QUERIES: dict[str, Callable[[Views], DataFrame]] = {
     "page_range": lambda v: pages.page_range(v.page_texts, 5, 20),
     "cleanup_text": lambda v: pages.cleanup_text(v.page_texts),
@@ -214,6 +285,20 @@ _QUERIES: dict[str, Callable[[Views], DataFrame]] = {
     "replace_corpus": lambda v: markdown.replace_corpus(
         v.markdown_docs, "acme manual", "Guide $1 & co"
     ),
+    "chunk_documents": lambda v: markdown.chunk_documents(v.markdown_docs),
+    "chunk_image_integrity": lambda v: markdown.chunk_image_integrity(
+        markdown.chunk_documents(v.markdown_docs, 500, 100)
+    ),
+    "text_only_failed_pages": _failed_pages,
+    "long_documents": lambda v: markdown.split_sections(_long_documents(v)),
+    "edit_long_documents": lambda v: markdown.apply_section_edits(_long_documents(v), v.section_edits),
+    "publish_anythingllm": lambda v: sinks.publish_payloads(
+        v.markdown_docs, "anythingllm", base_url="http://host/", workspace="w1"
+    ),
+    "write_results": _written,
+    "export_bundle": _exported,
+    "publish_files": _published,
+    "pages_from_documents": _extracted,
     "publish_payloads": lambda v: sinks.publish_payloads(
         v.markdown_docs, "flowise", base_url="http://host/", store_id="s1"
     ),

@@ -243,8 +243,8 @@ converted AS (SELECT h.doc_stem, string_agg(line, {NL} ORDER BY n) || CASE WHEN
   FROM html h JOIN markdown_docs m ON h.doc_stem = m.doc_stem GROUP BY h.doc_stem)"""
 
 EDITED = f"""
-by_page AS (SELECT doc_stem, page, bool_or(action = 'delete') AS gone, max(CASE WHEN action = 'replace' THEN content END) AS txt,
-    max(CASE WHEN action = 'move' THEN new_pos END) AS pos FROM section_edits GROUP BY doc_stem, page),
+by_page AS (SELECT doc_stem, page, bool_or(action = 'delete') AS gone, arg_max(content, seq) FILTER (WHERE action = 'replace') AS txt,
+    arg_max(new_pos, seq) FILTER (WHERE action = 'move') AS pos FROM section_edits GROUP BY doc_stem, page),
 placed AS (SELECT s.doc_stem, s.section_no, CASE WHEN txt IS NOT NULL THEN CASE WHEN header <> '' THEN header || {NL} || '---' || {NL} ELSE '' END || txt ELSE content END AS content,
     CASE WHEN pos IS NULL OR pos = section_no THEN section_no WHEN pos > section_no THEN pos + 0.5 ELSE pos - 0.5 END AS place
   FROM sections s LEFT JOIN by_page e ON s.doc_stem = e.doc_stem AND s.page_number = e.page WHERE NOT coalesce(gone, false))
@@ -256,6 +256,14 @@ m AS (SELECT doc_stem, s, unnest(range(1, len(s))) AS k FROM pieces)
 SELECT doc_stem, CAST(k AS INT) AS match_no, CAST(list_sum(list_transform(s[1:k], lambda x: length(x))) + (k - 1) * 10 AS BIGINT) AS "offset", CAST(10 AS INT) AS length FROM m"""
 
 
+def chunks(size: int, overlap: int) -> str:
+    return f"""
+parts AS (SELECT doc_stem, unnest(string_split({NL} || markdown || {NL}, {NL} || '---' || {NL})) AS part,
+    unnest(range(len(string_split({NL} || markdown || {NL}, {NL} || '---' || {NL})))) AS part_no FROM markdown_docs),
+chunks AS (SELECT doc_stem, CAST(part_no AS INT) AS part_no, CAST(k AS INT) AS piece_no, substr(part, k * {size - overlap} + 1, {size}) AS content
+  FROM (SELECT *, unnest(range(1 + greatest(length(part) - {overlap} - 1, 0) // {size - overlap})) AS k FROM parts WHERE regexp_matches(part, '[^\\s]')))"""
+
+
 def _providers() -> str:
     return ", ".join(f"('{n}', '{m}', CAST({c} AS DOUBLE))" for n, _, m, _, c in fixed.PROVIDERS)
 
@@ -301,7 +309,7 @@ LEFT JOIN (SELECT doc_stem, count(*) AS detections FROM found GROUP BY doc_stem)
 RESULTS = """
 cat AS (SELECT doc_stem, CAST(to_json(list({'page': page, 'index': "index", 'image_file': image_file, 'type': type, 'width': width, 'height': height, 'description': description} ORDER BY page, "index")) AS VARCHAR) AS metadata, CAST(count(*) AS INT) AS image_count FROM image_catalog GROUP BY doc_stem),
 det AS (SELECT doc_stem, CAST(to_json(list({'page': page, 'trash_type': trash_type, 'confidence': confidence, 'reason': reason, 'preview': preview} ORDER BY page, trash_type)) AS VARCHAR) AS trash, CAST(count(*) AS INT) AS trash_count FROM found GROUP BY doc_stem)
-SELECT id AS job_id, CAST(0 AS INT) AS block_no, markdown, metadata, coalesce(image_count_, 0) AS image_count, trash, coalesce(trash_count, 0) AS trash_count
+SELECT id AS job_id, markdown, metadata, coalesce(image_count_, 0) AS image_count, trash, coalesce(trash_count, 0) AS trash_count
 FROM (SELECT id, replace(filename, '.pdf', '') AS doc_stem FROM jobs WHERE status = 'completed') j LEFT JOIN markdown_docs USING (doc_stem)
 LEFT JOIN (SELECT doc_stem, metadata, image_count AS image_count_ FROM cat) c USING (doc_stem) LEFT JOIN det USING (doc_stem)"""
 
@@ -356,6 +364,16 @@ def statements() -> dict[str, str]:
         "image_groups_html": f"{md},{IMAGES_HTML} SELECT * FROM converted",
         "search_corpus": f"{markdown}, md AS (SELECT * FROM markdown_docs),{SEARCH.replace('the manual', 'acme manua')}",
         "replace_corpus": f"{markdown} SELECT doc_stem, regexp_replace(markdown, 'acme manual', 'Guide $1 & co', 'gi') AS markdown FROM markdown_docs",
+        "chunk_documents": f"{markdown},{chunks(1000, 200)} SELECT * FROM chunks",
+        "chunk_image_integrity": f"{markdown},{chunks(500, 100)} SELECT * FROM chunks WHERE regexp_matches(content, '\\[IMAGE:[^\\]\\n]*\\]\\s*$')",
+        "text_only_failed_pages": f"{pages} SELECT doc_stem, count(*) FILTER (WHERE page_num % 13 = 12) AS failed FROM page_texts GROUP BY doc_stem",
+        "long_documents": f"{md},{SECTIONS} SELECT * FROM sections",
+        "edit_long_documents": f"{duckdb_views('markdown_docs', 'section_edits')},{MD_LINES},{SECTIONS},{EDITED}",
+        "publish_anythingllm": f"{markdown} SELECT doc_stem, 'http://host/api/v1/document/raw-text' AS url, CAST(json_object('textContent', markdown, 'metadata', json_object('title', doc_stem), 'addToWorkspaces', json_array('w1')) AS VARCHAR) AS body FROM markdown_docs",
+        "write_results": f"{both},{DETECTED} SELECT m.doc_stem, markdown, coalesce(images, 0) AS images, coalesce(detections, 0) AS detections FROM markdown_docs m LEFT JOIN (SELECT doc_stem, count(*) AS images FROM image_catalog GROUP BY doc_stem) c USING (doc_stem) LEFT JOIN (SELECT doc_stem, count(*) AS detections FROM found GROUP BY doc_stem) d USING (doc_stem)",
+        "export_bundle": f"{duckdb_views('jobs', 'image_catalog')} SELECT doc_stem, image_file FROM image_catalog WHERE doc_stem IN (SELECT replace(filename, '.pdf', '') FROM jobs WHERE status = 'completed')",
+        "publish_files": f"{markdown} SELECT doc_stem, markdown FROM markdown_docs",
+        "pages_from_documents": "SELECT 'f' || doc_id AS doc_stem, CAST(n AS INT) AS page_num, l[n + 1] AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) d, (SELECT unnest([1, 2, 3]) AS n) k WHERE n < len(l)",
         "publish_payloads": f"{markdown} SELECT doc_stem, 'http://host/api/v1/document-store/upsert/s1' AS url, CAST(json_object('docLoaders', json_array(json_object('loader', 'plainText', 'loaderConfig', json_object('text', markdown)))) AS VARCHAR) AS body FROM markdown_docs",
         "resolve_jobs": f"{ledger},{RESOLVED}",
         "latest_job_state": f"{duckdb_views('job_events')},{JOB_STATE}",

@@ -16,7 +16,8 @@ DOC_PAGES = 50
 SPARK = {"nl": "'\\n'", "str": "string", "q": "`"}
 DUCKDB = {"nl": "chr(10)", "str": "varchar", "q": '"'}
 
-# Pages of one document are DOC_PAGES consecutive documents of the source table.
+# Pages of one document are DOC_PAGES consecutive documents of the source table, each text
+# in full, and after them some pages with texts of their own.
 PAGE_TEXTS = """
 SELECT doc_stem, page_num,
   concat('ACME Manual ', doc_stem, {nl}, {nl},
@@ -24,14 +25,16 @@ SELECT doc_stem, page_num,
     CASE WHEN page_num % 11 = 4 THEN concat('1. A ... 1', {nl}, '2. B ... 2', {nl}, '3. C ... 3', {nl}, '4. D ... 4', {nl}, '5. E ... 5', {nl}, {nl}) ELSE '' END,
     CASE WHEN page_num % 11 = 5 THEN concat('Table of Contents', {nl}, {nl}) ELSE '' END,
     CASE WHEN page_num % 13 = 5 THEN concat('Copyright 2024. All rights reserved.', {nl}, {nl}) ELSE '' END,
-    CASE WHEN page_num % 13 = 6 THEN 'Terms of use apply to every page of this short notice.'
-         WHEN page_num % 17 = 7 THEN ''
-         WHEN page_num % 17 = 8 THEN 'This page intentionally left blank'
-         WHEN page_num % 17 = 9 THEN concat('id  name  qty', {nl}, {nl}, 'a  b  1', {nl}, {nl}, 'c  d  2', {nl}, {nl}, 'e  f  3')
-         ELSE text END,
-    {nl}, {nl}, 'Draft copy') AS text
+    text, {nl}, {nl}, 'Draft copy') AS text
 FROM (SELECT concat('doc', CAST(CAST(floor(doc_id / 50) AS bigint) AS {str})) AS doc_stem,
-        CAST(doc_id % 50 AS int) AS page_num, text FROM documents) d
+        CAST(doc_id % 50 AS int) AS page_num, text FROM documents
+      UNION ALL
+      SELECT concat('doc', CAST(CAST(floor(doc_id / 50) AS bigint) AS {str})) AS doc_stem, CAST(doc_id % 50 + 50 AS int) AS page_num,
+        CASE WHEN doc_id % 50 % 13 = 6 THEN 'Terms of use apply to every page of this short notice.'
+          WHEN doc_id % 50 % 17 = 7 THEN ''
+          WHEN doc_id % 50 % 17 = 8 THEN 'This page intentionally left blank'
+          ELSE concat('id  name  qty', {nl}, {nl}, 'a  b  1', {nl}, {nl}, 'c  d  2', {nl}, {nl}, 'e  f  3') END AS text
+      FROM documents WHERE doc_id % 50 % 13 = 6 OR doc_id % 50 % 17 IN (7, 8, 9)) d
 """
 
 _TAGS = """
@@ -118,8 +121,13 @@ SECTION_EDITS = """
 SELECT doc_stem, page_num + 1 AS page,
   CASE WHEN (page_num + 1) % 10 = 0 THEN 'delete' WHEN (page_num + 1) % 10 = 1 THEN 'replace' ELSE 'move' END AS action,
   CASE WHEN (page_num + 1) % 10 = 1 THEN concat('rewritten ', doc_stem) END AS content,
-  CASE WHEN page_num + 1 = 7 THEN CAST(3 AS int) WHEN page_num + 1 = 12 THEN CAST(20 AS int) END AS new_pos
+  CASE WHEN page_num + 1 = 7 THEN CAST(3 AS int) WHEN page_num + 1 = 12 THEN CAST(20 AS int) END AS new_pos,
+  CAST(2 AS int) AS seq
 FROM page_texts WHERE (page_num + 1) % 10 IN (0, 1) OR page_num + 1 IN (7, 12)
+UNION ALL
+SELECT doc_stem, page_num + 1 AS page, CASE WHEN page_num = 6 THEN 'move' ELSE 'replace' END AS action,
+  concat('zz earlier ', doc_stem) AS content, CAST(30 AS int) AS new_pos, CAST(1 AS int) AS seq
+FROM page_texts WHERE page_num IN (6, 10, 20)
 """
 
 _UNNEST = {

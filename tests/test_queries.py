@@ -2,6 +2,7 @@
 
 import datetime
 import math
+import re
 
 import duckdb
 import pytest
@@ -11,7 +12,9 @@ import __spark_entry__ as spark_entry
 FOLDER = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
-QUERIES, ORACLES = spark_entry.queries(), spark_entry.oracle_sql()
+# Those of the training-data operators have tests of their own.
+QUERIES = {n: q for n, q in spark_entry.queries().items() if not re.match(r"op\d+_|pipeline$", n)}
+ORACLES = spark_entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -34,7 +37,7 @@ def canonical(names, rows):
 
 
 def test_every_query_has_a_statement():
-    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(ORACLES)
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
