@@ -10,6 +10,10 @@ from quire.llm import queries
 from quire.session import materialize
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", queries.stage_toxicity),
+    ("near_duplicates", queries.stage_near_duplicates),
+    ("decontaminate", queries.stage_decontaminate),
+    ("personal_data", queries.stage_personal_data),
     ("byte_bpe", queries.stage_byte_bpe),
 ]
 

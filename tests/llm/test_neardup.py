@@ -1,0 +1,106 @@
+import random
+import re
+
+import numpy as np
+import pytest
+from quire.llm import neardup
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def shingles(text, n):
+    words = WORD.findall((text or "").translate(LOWER))
+    if len(words) < n:
+        return {tuple(words)} if words else set()
+    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
+
+
+def brute(rows, n, percent):
+    """component by id, from all pairs; of rows of one id the largest set counts."""
+    sets = {}
+    for i, text in rows:
+        if i is not None and len(s := shingles(text, n)) >= len(sets.get(i, ())):
+            sets[i] = s
+    label = {i: i for i in sets}
+
+    def top(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                x, y = top(a), top(b)
+                label[max(x, y)] = min(x, y)
+    return {i: top(i) for i in ids}
+
+
+def copies(rng, base, edits):
+    words = base.split()
+    for _ in range(edits):
+        words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+def corpus(seed, groups, size, words=120):
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(groups):
+        base = " ".join(f"w{rng.randrange(4000)}" for _ in range(words))
+        rows += [copies(rng, base, rng.choice([0, 0, 1, 2, 3, 6, 12])) for _ in range(size)]
+    rows += [f"alone {i} " + " ".join(f"w{rng.randrange(4000)}" for _ in range(30)) for i in range(20)]
+    rng.shuffle(rows)
+    return list(enumerate(rows, 1))
+
+
+@pytest.mark.parametrize("blocks", [(512, 1 << 19), (8, 1 << 19), (512, 600)])
+def test_all_links_are_found(spark, table, monkeypatch, blocks):
+    # Small blocks send every larger cluster the way of large ones.
+    monkeypatch.setattr(neardup, "BLOCK_DOCS", blocks[0])
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", blocks[1])
+    rows = corpus(blocks[0], 3, 30)
+    got = neardup.near_duplicates(table(rows), words=3, percent=85, bands=32, rows=8).collect()
+    want = brute(rows, 3, 85)
+    assert {r.doc_id: r.component_id for r in got} == want
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+    assert {r.doc_id: r.n_shingles for r in got} == {i: len(shingles(t, 3)) for i, t in rows}
+
+
+def test_common_counts_match_sets():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 300, n).astype(np.uint64)) for n in (0, 1, 50, 200, 300, 40)]
+    common = neardup.common_counts(sets)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            assert common[i, j] == len(np.intersect1d(a, b))
+
+
+def test_bands_estimate_similarity():
+    rng = np.random.default_rng(3)
+    hits = []
+    for _ in range(60):
+        pool = rng.integers(0, 1 << 63, 400).astype(np.uint64)
+        a, b = np.sort(pool[:300]), np.sort(pool[100:])  # similarity one half
+        keys = neardup.band_keys([a, b], 64, 2)
+        hits.append((keys[0] == keys[1]).mean())
+    assert abs(np.mean(hits) - 0.25) < 0.03
+
+
+def test_edges(edges, empty, table):
+    got = [tuple(r) for r in neardup.near_duplicates(edges).collect()]
+    assert sorted(got, key=str) == sorted(
+        [
+            (1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 1, 4, True), (6, 1, 6, True), (7, 1, 7, True),
+            (5, 6, 5, True), (5, 6, 5, True), (8, 1, 8, True), (None, 5, None, True),
+        ],
+        key=str,
+    )
+    assert neardup.near_duplicates(empty).count() == 0
+    rows = [(3, "a b c d e f"), (1, "a b c d e f"), (2, "A B C D E F"), (9, "a b"), (8, "A b"), (7, None)]
+    kept = neardup.drop_duplicates_of(table(rows))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 7, 8]
+    assert kept.columns == table(rows).columns
