@@ -30,8 +30,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm import bpe
 from quire.llm.common import fresh, open_store, slices, texts_of
@@ -242,12 +241,15 @@ def read_tokens(files: DataFrame, schema: str, of_document: Callable) -> DataFra
     """One row per document, in files of ``write_tokens``.
 
     ``of_document(start, ids)`` gives the values of ``schema`` after ``doc_id``; start
-    counts the ids of all documents before. Only the few rows of the table of files
-    meet in one task, for the ids before each file.
+    counts the ids of all documents before. Only the table of files, a row for each
+    writing task, passes through the driver, for the ids before each file.
     """
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    based = files.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
-    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark, before, rows = files.sparkSession, 0, []
+    for row in files.orderBy("shard").collect():  # a row a file, as many as the writing tasks
+        rows.append((row["path"], before))
+        before += row["n_ids"]
+    based = spark.createDataFrame(rows, "path string, base long")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
