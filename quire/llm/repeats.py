@@ -241,7 +241,7 @@ def merge_scan(new: list[bytes], levels: list[bytes]) -> tuple[bytes, dict[int,
     order = np.lexsort((place, block, doc, context, gram))
     many = many[order]
     gram, context = gram[order], context[order]
-    alike = np.r_[False, (gram[1:] == gram[:-1]) & (context[1:] == context[:-1])]
+    alike = np.r_[False, (gram[1:] == gram[:-1]) & (context[1:] == context[:-1])][: len(gram)]
     gone = many[alike & fresh[many]]
     firsts = many[~alike]
     own = group[firsts]
@@ -465,9 +465,9 @@ def _applied(blocks: DataFrame, gone: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """doc_id, n_bytes, spans (removed bytes: start, end), kept (the other bytes) of each document."""
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    bounds = rows.where(F.col("doc_id").isNotNull()).approxQuantile(
-        "doc_id", [i / batches for i in range(1, batches)], 0.01
-    )
+    shares = [i / batches for i in range(1, batches)]
+    known = rows.where(F.col("doc_id").isNotNull())
+    bounds = known.approxQuantile("doc_id", shares, 0.01) if shares else []
     batch = F.lit(0)
     for bound in bounds:
         batch = batch + F.coalesce(F.col("doc_id") > int(bound), F.lit(False)).cast("int")
