@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import lists, slices, texts_of
+from quire.llm.common import lists, slices, texts_of, tidy
 from quire.llm.graph import components
 from quire.llm.words import Hasher, mixed, windows
 from quire.session import materialize
@@ -99,7 +99,7 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(ascii_words=True)
-        for batch in batches:
+        for batch in tidy(batches):
             for part in slices(batch, BATCH_BYTES):
                 sets = shingle_sets(texts_of(part), words, hasher)
                 sizes, h1, h2 = set_hashes(sets)
@@ -122,21 +122,26 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """rep, shingles of the wanted documents (rep), one row each."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep")
+    """rep, shingles of the wanted documents (rep and the size and hashes of the set)."""
+    asked = wanted.select("rep", *[F.col(c).alias(f"want_{c}") for c in _SET])
+    # The wanted rows grow with the documents, so both sides are shuffled at every size.
+    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(asked.hint("merge"), "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(ascii_words=True)
-        for batch in batches:
+        for batch in tidy(batches):
             for part in slices(batch, BATCH_BYTES):
                 sets = shingle_sets(texts_of(part), words, hasher)
-                sizes, h1, h2 = set_hashes(sets)
-                shingles = lists(np.concatenate(sets).astype(np.int64), sizes)
-                rep = part.column(part.schema.get_field_index("rep"))
-                columns = [rep, pa.array(sizes), pa.array(h1), pa.array(h2), shingles]
-                yield pa.RecordBatch.from_arrays(columns, ["rep", *_SET, "shingles"])
+                # Rows of one id may differ; only the one that stands for it is wanted.
+                right = np.ones(len(sets), bool)
+                for name, own in zip(_SET, set_hashes(sets)):
+                    right &= np.asarray(part.column(part.schema.get_field_index(f"want_{name}"))) == own
+                some = [s for s, r in zip(sets, right) if r]
+                flat = np.concatenate(some).astype(np.int64) if some else np.zeros(0, np.int64)
+                rep = part.column(part.schema.get_field_index("rep")).filter(pa.array(right))
+                yield pa.RecordBatch.from_arrays([rep, lists(flat, np.array([len(s) for s in some], np.int64))], ["rep", "shingles"])
 
-    return rows.mapInArrow(run, "rep long, n_shingles long, h1 long, h2 long, shingles array<long>")
+    return rows.mapInArrow(run, "rep long, shingles array<long>")
 
 
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -194,7 +199,7 @@ def _verified(members: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, unit = None, []
-        for batch in batches:
+        for batch in tidy(batches):
             column = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: B023, E731
             units, sides, reps, sets = (column(n) for n in ("unit", "side", "rep", "shingles"))
             edges = []
@@ -264,23 +269,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     signed = materialize(signatures(docs, words, bands, rows), "signatures")
     known = signed.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     # Rows of one id are one document; its largest set stands for it.
-    largest = known.groupBy("doc_id").agg(F.max(F.struct("n_shingles", "h1", "h2", "keys")).alias("s"))
+    largest = known.groupBy("doc_id").agg(F.max(F.struct(*_SET)).alias("s"))
     known = largest.select("doc_id", "s.*")
-    classes = known.groupBy(*_SET).agg(F.min("doc_id").alias("rep"), F.min_by("keys", "doc_id").alias("keys"))
-    classes = materialize(classes, "classes")
-    keyed = classes.select("rep", F.explode("keys").alias("key"))
+    classes = materialize(known.groupBy(*_SET).agg(F.min("doc_id").alias("rep")), "classes")
+    first = signed.withColumnRenamed("doc_id", "rep").join(classes, ["rep", *_SET])
+    keyed = first.select("rep", F.explode(F.array_distinct("keys")).alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     near = keyed.join(buckets, "key").groupBy("rep", "first").agg(F.sum("n").alias("central"))
     near = materialize(near, "candidates")
     clusters = components(near.select(F.col("rep").alias("a"), F.col("first").alias("b")))
     central = near.groupBy("rep").agg(F.sum("central").alias("central"))
     clustered = central.join(clusters.select(F.col("id").alias("rep"), F.col("component").alias("cluster")), "rep")
-    clustered = materialize(clustered.join(classes.drop("keys"), "rep"), "clusters")
-    sets = _full_sets(docs, clustered.select("rep"), words).join(clustered.select("rep", *_SET), ["rep", *_SET])
-    sets = materialize(sets.select("rep", "shingles").dropDuplicates(["rep"]), "full-sets")
+    clustered = materialize(clustered.join(classes, "rep"), "clusters")
+    # Equal rows repeat here; they link with themselves, which changes nothing.
+    sets = materialize(_full_sets(docs, clustered, words), "full-sets")
     units, stars = _units(clustered, sets, percent)
     found = components(_verified(units.join(sets, "rep"), percent).unionByName(stars))
-    by_doc = known.select("doc_id", *_SET).join(classes.drop("keys"), _SET)
+    by_doc = known.select("doc_id", *_SET).join(classes, _SET)
     by_doc = by_doc.join(found.withColumnRenamed("id", "rep"), "rep", "left")
     by_doc = by_doc.select("doc_id", F.coalesce("component", "rep").alias("component"))
     joined = signed.select("doc_id", "n_shingles").join(by_doc, "doc_id", "left")
