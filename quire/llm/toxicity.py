@@ -108,28 +108,44 @@ class Model:
 
 
 def bags(docs: DataFrame) -> DataFrame:
-    """label, and the distinct buckets of a text as binary."""
+    """doc_id, label, and the distinct buckets of a text as binary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, BATCH_BYTES):
                 buckets, sizes = distinct_buckets(texts_of(part))
                 own = np.split(buckets.astype("<i4"), np.cumsum(sizes)[:-1])
-                columns = [part.column(part.schema.get_field_index("label")), pa.array([b.tobytes() for b in own])]
-                yield pa.RecordBatch.from_arrays(columns, ["label", "ids"])
+                place = part.schema.get_field_index
+                columns = [part.column(place(c)) for c in ("doc_id", "label")] + [pa.array([b.tobytes() for b in own])]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "label", "ids"])
 
-    return docs.select("label", "text").mapInArrow(run, "label int, ids binary")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "label", "text").mapInArrow(run, f"doc_id {kind}, label int, ids binary")
 
 
-def calibrate(design: np.ndarray, bias: float, labels: np.ndarray) -> np.ndarray:
-    """Factors of the columns that, with the bias, fit the labels best (Newton steps, slight ridge)."""
+def calibrate(design: np.ndarray, bias: float, labels: np.ndarray, ridge: float = 0.01) -> np.ndarray:
+    """Factors of the columns that, with the bias, fit the labels best.
+
+    Newton steps, halved until the loss falls: where the logits are far apart the curve is flat,
+    and a full step would leave the data behind.
+    """
     start = np.array([1.0, 0.0])
-    fit = start.copy()
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(design @ fit + bias, -30, 30)))
-        slope = design.T @ (p - labels) + 1e-3 * (fit - start)
-        curve = (design * (p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
-        fit = fit - np.linalg.solve(curve, slope)
+
+    def loss(fit: np.ndarray) -> float:
+        z = design @ fit + bias
+        return float(np.logaddexp(0, z).sum() - labels @ z + ridge / 2 * ((fit - start) ** 2).sum())
+
+    fit, now = start.copy(), loss(start)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(design @ fit + bias, -60, 60)))
+        slope = design.T @ (p - labels) + ridge * (fit - start)
+        curve = (design * (p * (1 - p))[:, None]).T @ design + ridge * np.eye(2)
+        step = np.linalg.solve(curve, slope)
+        while (new := loss(fit - step)) > now and np.abs(step).max() > 1e-9:
+            step = step / 2
+        if now - new < 1e-9:
+            break
+        fit, now = fit - step, new
     return fit
 
 
@@ -208,7 +224,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_on: Column, sample_rows: int =
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    got = bags(rows).toArrow()
+    # In a fixed order, so that the same rows always give the same model.
+    got = bags(rows).toArrow().sort_by([("doc_id", "ascending"), ("ids", "ascending")])
     ids = [np.frombuffer(b.as_py(), "<i4") for b in got["ids"]]
     return train(ids, np.clip(np.asarray(got["label"]), 0, 1))
 

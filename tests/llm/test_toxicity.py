@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from pyspark.sql import functions as F
 from quire.llm import toxicity
 
@@ -53,3 +55,25 @@ def test_sample_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "train", lambda bags, labels: seen.append(len(bags)))
     toxicity.fit(docs, labels, F.lit(True), sample_rows=25)
     assert seen == [25]
+
+
+def test_calibration_stays_with_the_data():
+    # Logits far apart: a full Newton step would leap to factors of millions.
+    rng = np.random.default_rng(1)
+    labels = (rng.random(800) < 0.1).astype(int)
+    sums = np.where(labels == 1, 8.0, -15.0) + rng.normal(0, 5, 800)
+    design = np.stack([sums, rng.uniform(0.3, 1, 800)], axis=1)
+    factor, shift = toxicity.calibrate(design, -2.2, labels)
+    p = 1 / (1 + np.exp(-(design @ [factor, shift] - 2.2)))
+    assert 0 < factor < 50 and abs(shift) < 50
+    assert abs(p.mean() - labels.mean()) < 0.02 and ((p >= 0.7) == labels).mean() > 0.97
+
+
+def test_most_of_a_corpus_is_kept(spark):
+    # A model that has gone astray rejects nearly everything, whatever its held-out score order.
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    for rest in (1, 2):
+        model = toxicity.fit(docs, labels, F.crc32(F.col("doc_id").cast("string")) % 3 != rest)
+        rejected = toxicity.score(docs, model).agg(F.avg((F.col("score") >= 0.7).cast("int"))).collect()[0][0]
+        assert 0.02 < rejected < 0.15
