@@ -23,7 +23,6 @@ by text; a null id comes first. An empty table gives no file. Other columns are
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -175,22 +174,28 @@ def library_classes() -> tuple[np.ndarray, np.ndarray]:
     return bpe.class_runs(members(r"[^\p{L}]+"), members(r"[^\p{N}]+"), members(r"\S+"))
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter by which the library's byte-level vocabulary writes each byte.
+
+    Printable Latin-1 characters stand for themselves; the other bytes, in order, for the
+    characters from 256 on.
+    """
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 def library_merger(tokenizer_file: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
-    """Ids of pieces from the library, many pieces a call."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    """Ids of pieces from the library's model, which takes a pre-token in its byte letters."""
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(tokenizer_file)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    model = Tokenizer.from_file(tokenizer_file).model
+    letters = byte_letters()
 
     def merge(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-        for at in range(0, len(pieces), 4096):
-            some = pieces[at : at + 4096]
-            done = tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
-            ids.append(np.array(done.ids, np.int32))
-            counts.append(np.bincount(np.array(done.word_ids, np.int64), minlength=len(some)))
-        return np.concatenate(ids), np.concatenate(counts)
+        found = [[t.id for t in model.tokenize(p.encode().decode("latin-1").translate(letters))] for p in pieces]
+        ids = np.fromiter((i for own in found for i in own), np.int32)
+        return ids, np.fromiter(map(len, found), np.int64, len(found))
 
     return merge
 

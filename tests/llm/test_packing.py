@@ -1,4 +1,5 @@
 import io
+import random
 import zlib
 
 import numpy as np
@@ -61,3 +62,17 @@ def test_edges(spark, edges, empty):
         start += len(ids)
     assert sorted(map(tuple, got), key=lambda r: r[1]) == want
     assert packing.packed_digests(spark, empty, PATH, 50_257).count() == 0
+
+
+def test_random_texts_match_the_library():
+    library = Tokenizer.from_file(PATH)
+    library.encode_special_tokens = True
+    table = packing.bpe.class_table(packing.library_classes())
+    cache = packing.bpe.PieceCache(packing.library_merger(PATH))
+    rng = random.Random(5)
+    letters = [*"aab'' 1\n\t  .!sdtmrevll\x00\x7f", "é", "中", "　", "\U0001f600", "²", "\x85", "\xad", "<|endoftext|>"]
+    for _ in range(400):
+        texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 14))) for _ in range(6)]
+        ids, counts = packing.bpe.encode_texts(texts, table, cache)
+        own = [part.tolist() for part in np.split(ids, np.cumsum(counts)[:-1])]
+        assert own == [library.encode(t, add_special_tokens=False).ids for t in texts]
