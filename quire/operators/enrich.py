@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 import pandas as pd
@@ -128,35 +129,43 @@ def describe_images(
     base_delay: float = 1.0,
     prompts: dict[str, str] | None = None,
     partitions: int | None = None,
+    concurrency: int = 5,
 ) -> DataFrame:
     """Ask the model about every request row; adds ``description, error, attempts``.
 
+    Image bytes and hints stay behind: they go to Python with a request, not back.
+
     ``describer`` gets the row as a dict, with ``prompt`` chosen from ``prompts`` by
     kind (``hq_hint`` with ``{hint_text}`` when a hint is there), and returns text or
     raises. A failing call is tried ``retries`` times, waiting ``base_delay * 2**n``
     seconds in between; after that the error is kept and the run goes on.
-    ``partitions`` bounds how many calls run at the same time.
+    Each of ``partitions`` tasks makes ``concurrency`` calls at the same time, and holds
+    the images of a few rounds of calls.
     """
     prompts = prompts or {}
+    kept = [f for f in requests.schema if f.name not in ("content", "hint")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            answers = [
-                _ask(describer, {**row, "prompt": _prompt(prompts, row)}, retries, base_delay)
-                for row in batch.to_pylist()
-            ]
-            columns = [
-                pa.array([a[0] for a in answers], pa.string()),
-                pa.array([a[1] for a in answers], pa.string()),
-                pa.array([a[2] for a in answers], pa.int32()),
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *columns],
-                names=[*batch.schema.names, "description", "error", "attempts"],
-            )
+        def ask(row: dict[str, Any]) -> tuple:
+            return _ask(describer, {**row, "prompt": _prompt(prompts, row)}, retries, base_delay)
+
+        with ThreadPoolExecutor(concurrency) as pool:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 4 * concurrency):
+                    part = batch.slice(at, 4 * concurrency)
+                    answers = list(pool.map(ask, part.to_pylist()))
+                    columns = [
+                        pa.array([a[0] for a in answers], pa.string()),
+                        pa.array([a[1] for a in answers], pa.string()),
+                        pa.array([a[2] for a in answers], pa.int32()),
+                    ]
+                    yield pa.RecordBatch.from_arrays(
+                        [*(part.column(f.name) for f in kept), *columns],
+                        names=[*(f.name for f in kept), "description", "error", "attempts"],
+                    )
 
     spread = requests.repartition(partitions) if partitions else requests
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     return spread.mapInArrow(run, f"{schema}, description string, error string, attempts int")
 
 

@@ -30,8 +30,6 @@ PROVIDERS = (
     "cost_per_image_usd double"
 )
 
-
-
 # One row of a document's Markdown. A document of at most `block_pages` pages is one row;
 # a longer one continues in rows of rising block_no, each starting at a page header.
 MARKDOWN_DOCS = "doc_stem string, block_no int, markdown string"
