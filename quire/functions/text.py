@@ -6,6 +6,7 @@ operators that use it stay narrow and never start a Python worker.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -104,7 +105,7 @@ def _tidy_line(trimmed: Column) -> Column:
 _JOINABLE_NEWLINE = (
     f"\n(?<![{fixed.SENTENCE_END_CHARS}\n]\n)"
     + "".join(f"(?<!{word}\n)" for word in fixed.SENTENCE_END_WORDS)
-    + "(?!\n|[-*•#>] |[0-9][^\n]*\\. )"
+    + "(?!\n|" + "|".join(re.escape(mark) for mark in fixed.LINE_START_MARKS) + "|[0-9][^\n]*\\. )"
 )
 
 

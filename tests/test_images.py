@@ -26,7 +26,7 @@ def img(path, width):
         ("\n".join(f"[IMAGE:{c}]" for c in "abcde"),
          "\n".join([WRAP, *[img(c, "calc(25% - 6px)") for c in "abcde"], "</div>"])),
         ("[IMAGE:a]\n\n[IMAGE:b]", img("a", "100%") + "\n\n" + img("b", "100%")),
-        ("Hello world\nNo images here.", "Hello world\nNo images here."),
+        ("Two plain lines\nwithout any tag", "Two plain lines\nwithout any tag"),
         ("[IMAGE:]", "[IMAGE:]"),
         ("see [IMAGE:a] here", "see [IMAGE:a] here"),
         ("[IMAGE:a]b]", img("a]b", "100%")),
