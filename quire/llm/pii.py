@@ -37,6 +37,7 @@ ROUNDS = 3
 SUPPORT = 3
 PATTERN_CONFIDENCE = 0.8
 ACCEPT = 0.9
+BROADCAST_SPANS = 100_000  # of at most 100 bytes each
 _CONTEXT = 40  # characters searched for the neighbouring word
 
 _LOCAL = "A-Za-z0-9._%+-"
@@ -225,7 +226,12 @@ def find(docs: DataFrame) -> DataFrame:
     # A collected list holds the spans of one text; rows of equal id and text give the same ones.
     added = new.groupBy("_row").agg(F.collect_set(F.struct("start", "rank", "end")).alias("_added"))
     based = kept.select("*", row.alias("_row"), plain(base_spans(text)).alias("base"))
-    joined = based.join(added.withColumnRenamed("_row", "_found"), F.col("_row").eqNullSafe(F.col("_found")), "left")
+    added = materialize(added.withColumnRenamed("_row", "_found"), "added-spans")
+    size = added.agg(F.count(F.lit(1)), F.sum(F.size("_added"))).collect()[0]
+    # Few texts gain spans: these go to the texts, unless they are many.
+    if size[0] + (size[1] or 0) <= BROADCAST_SPANS:
+        added = F.broadcast(added)
+    joined = based.join(added, F.col("_row").eqNullSafe(F.col("_found")), "left")
     none = F.array().cast("array<struct<start:int,rank:int,end:int>>")
     return joined.select(
         *kept.columns, "base", F.array_sort(F.concat("base", F.coalesce("_added", none))).alias("spans")
