@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import slices, texts_of
+from quire.llm.common import slices, texts_of, tidy
 from quire.llm.words import Hasher, windows
 
 # 1 selects a position.
@@ -161,7 +161,7 @@ def _mark(docs: DataFrame, items: list[tuple], keep: list[str] | None) -> DataFr
         hasher = Hasher(ascii_words=False)
         index = Index(items, hasher)
         fields = ("item_id", "doc_start", "item_start", "n_words", "n_matched")
-        for batch in batches:
+        for batch in tidy(batches):
             for part in slices(batch, BATCH_BYTES):
                 place = part.schema.get_field_index
                 found = leaks_of(texts_of(part), index, hasher)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import slices, texts_of
+from quire.llm.common import slices, texts_of, tidy
 
 PROFILE = 300
 UNKNOWN = "und"
@@ -108,7 +108,7 @@ def profiles(docs: DataFrame, train_on: Column) -> dict[str, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = letter_table(runs)
         held: dict[str, list] = {}
-        for batch in batches:
+        for batch in tidy(batches):
             for part in slices(batch, BATCH_BYTES):
                 langs = np.array(part.column(part.schema.get_field_index("lang")).to_pylist())
                 owners, grams, counts = gram_counts(texts_of(part), letters)
@@ -175,7 +175,7 @@ def identify(docs: DataFrame, known: dict[str, np.ndarray]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nearest = Identifier(known, letter_table(runs))
-        for batch in batches:
+        for batch in tidy(batches):
             for part in slices(batch, BATCH_BYTES):
                 names, scores = nearest(texts_of(part))
                 columns = [*part.columns, pa.array(names, pa.string()), pa.array(scores)]

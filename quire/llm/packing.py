@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm import bpe
-from quire.llm.common import fresh, open_store, slices, texts_of
+from quire.llm.common import fresh, open_store, slices, texts_of, tidy
 from quire.session import materialize, new_folder
 
 MAGIC = b"QIDS0001"
@@ -217,7 +217,7 @@ def write_tokens(
         cache = bpe.PieceCache(library_merger(tokenizer_file))
         shard = TaskContext.get().partitionId()
         writer, end = None, np.array([end_id], np.int32)
-        for batch in batches:
+        for batch in tidy(batches):
             for part in slices(batch, bpe.BATCH_BYTES):
                 if writer is None:
                     store, base = open_store(folder)

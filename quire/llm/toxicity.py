@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import slices, texts_of
+from quire.llm.common import slices, texts_of, tidy
 
 SIZES = (3, 4, 5)
 BUCKET_BITS = 18
@@ -111,7 +111,7 @@ def bags(docs: DataFrame) -> DataFrame:
     """doc_id, label, and the distinct buckets of a text as binary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             for part in slices(batch, BATCH_BYTES):
                 buckets, sizes = distinct_buckets(texts_of(part))
                 own = np.split(buckets.astype("<i4"), np.cumsum(sizes)[:-1])
@@ -235,7 +235,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     kept = docs.drop("score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             for part in slices(batch, BATCH_BYTES):
                 scores = pa.array(model.scores(texts_of(part)))
                 yield pa.RecordBatch.from_arrays([*part.columns, scores], [*part.schema.names, "score"])
