@@ -12,7 +12,8 @@ documents); last four int64: number of ids, of documents, of blocks, and the wid
 
 Texts are encoded by the tokenizers library. Its pre-tokens are found by array operations
 (``bpe``, with the character classes of that library); each distinct one is encoded
-by the library once while it stays in the cache.
+by the library once while it stays in the cache. A text that holds an added token of the
+file, which the library matches before it cuts pre-tokens, goes through the library whole.
 
 Files are written under names of their own by each attempt; the table of files lists
 those of finished tasks alone, so a repeated task leaves nothing wrong behind.
@@ -200,6 +201,27 @@ def library_merger(tokenizer_file: str) -> Callable[[list[str]], tuple[np.ndarra
     return merge
 
 
+class Encoder:
+    """Ids of texts as the library gives them at its default setting, without special tokens around."""
+
+    def __init__(self, tokenizer_file: str, runs: tuple[np.ndarray, np.ndarray]):
+        from tokenizers import Tokenizer
+
+        self.table = bpe.class_table(runs)
+        self.cache = bpe.PieceCache(library_merger(tokenizer_file))
+        self.library = Tokenizer.from_file(tokenizer_file)
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values() if t.content]
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        whole = {i for i, text in enumerate(texts) if any(content in text for content in self.added)}
+        plain = ["" if i in whole else text for i, text in enumerate(texts)]
+        ids, counts = bpe.encode_texts(plain, self.table, self.cache)
+        out = np.split(ids, np.cumsum(counts)[:-1])
+        for i in whole:
+            out[i] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, np.int32)
+        return out
+
+
 def write_tokens(
     docs: DataFrame, tokenizer_file: str, folder: str, vocabulary: int, end_id: int = 0
 ) -> DataFrame:
@@ -213,8 +235,7 @@ def write_tokens(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        table = bpe.class_table(runs)
-        cache = bpe.PieceCache(library_merger(tokenizer_file))
+        encode = Encoder(tokenizer_file, runs)
         shard = TaskContext.get().partitionId()
         writer, end = None, np.array([end_id], np.int32)
         for batch in tidy(batches):
@@ -224,9 +245,8 @@ def write_tokens(
                     store.create_dir(base, recursive=True)
                     name = fresh(f"{shard:06d}", "ids")
                     writer = Writer(store.open_output_stream(f"{base}/{name}"), width)
-                ids, counts = bpe.encode_texts(texts_of(part), table, cache)
                 keys = part.column(part.schema.get_field_index("doc_id")).to_pylist()
-                for key, own in zip(keys, np.split(ids, np.cumsum(counts)[:-1])):
+                for key, own in zip(keys, encode(texts_of(part))):
                     writer.add(key, np.concatenate([own, end]))
         if writer is not None:
             writer.close()

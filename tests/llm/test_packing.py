@@ -76,3 +76,19 @@ def test_random_texts_match_the_library():
         ids, counts = packing.bpe.encode_texts(texts, table, cache)
         own = [part.tolist() for part in np.split(ids, np.cumsum(counts)[:-1])]
         assert own == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_added_tokens_match_the_library_as_it_is(spark, table):
+    library = Tokenizer.from_file(PATH)
+    rng = random.Random(7)
+    letters = [*"ab' 1\n<|>", "é", "<|endoftext|>", "<|endoftext", "endoftext|>"]
+    rows = [(0, "hello <|endoftext|> world"), (1, "<|endoftext|>"), (2, "plain"), (3, None)]
+    rows += [(4 + i, "".join(rng.choice(letters) for _ in range(rng.randint(0, 12)))) for i in range(300)]
+    got = sorted(map(tuple, packing.packed_digests(spark, table(rows), PATH, 50_257).collect()))
+    start, want = 0, []
+    for doc, text in rows:
+        ids = [*library.encode(text or "", add_special_tokens=False).ids, 0]
+        want.append((doc, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert got == want
+    assert got[0][2] == 5  # four ids and the end
