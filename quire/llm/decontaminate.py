@@ -4,10 +4,9 @@ Method. Words are runs of letters and digits in lower case. Each mask of ``MASKS
 positions of a window of words and ignores the others, so that a substituted word hides a
 passage only from the windows that select it. The hashes of all windows of the benchmark
 form an index; windows of documents are looked up, through a bitmap first. A hit lays a
-benchmark item along the document; on this line the stretch of highest score (1 for an equal
-word, minus ``PENALTY`` for another) is the overlap. It counts if it holds at least
-``MIN_MATCHED`` equal words (all words of a shorter item: ``SIMILARITY`` of them) and
-``SIMILARITY`` of its words are equal.
+benchmark item along the document; on this line any stretch of which ``SIMILARITY`` of the
+words are equal, and at least ``MIN_MATCHED`` (of a shorter item: ``SIMILARITY`` of all its words),
+is an overlap. The one of most equal words is reported, from an equal word to an equal word.
 
 The index is sent to every task. Its size is bounded: a benchmark of more than
 ``INDEX_WINDOWS`` windows is split by item, and the documents pass through one index after
@@ -38,7 +37,7 @@ MASKS = ("11111", "110111", "1101011", "11010011", "101001011")
 MIN_MATCHED = 8
 SHORTEST = 5
 SIMILARITY = 0.8
-PENALTY = 3
+PENALTY = 4  # of another word, when an equal one counts 1: none is left over at SIMILARITY
 INDEX_WINDOWS = 2_000_000
 BITMAP_BITS = 23
 BATCH_BYTES = 1 << 20
@@ -99,15 +98,21 @@ def overlap(words: np.ndarray, item: np.ndarray, line: int) -> tuple[int, int, i
     """doc_start, item_start, n_words, n_matched of the best stretch of an item laid at ``line``."""
     a, b = max(0, line), min(len(words), line + len(item))
     same = words[a:b] == item[a - line : b - line]
-    sums = np.r_[0, np.cumsum(np.where(same, 1, -PENALTY))]
-    gain = sums - np.minimum.accumulate(sums)
-    end = int(gain.argmax())
-    start = int(np.flatnonzero(sums[: end + 1] == sums[: end + 1].min())[-1])
-    matched = int(same[start:end].sum())
     wanted = MIN_MATCHED if len(item) >= MIN_MATCHED else SIMILARITY * len(item)
-    if end == start or matched < wanted or matched < SIMILARITY * (end - start):
+    if same.sum() < wanted:
+        return None
+    sums = np.r_[0, np.cumsum(np.where(same, 1, -PENALTY))]
+    equal = np.r_[0, np.cumsum(same)]
+    # A stretch is similar enough if its sum is not negative. To each end belongs the first start
+    # whose sum is no larger: a longer stretch never holds fewer equal words.
+    low = np.minimum.accumulate(sums)
+    start = np.searchsorted(-low, -sums, side="left")
+    matched = equal - equal[start]
+    end = int(matched.argmax())  # of equal ones the first
+    if not matched[end] or matched[end] < wanted:
         return None
-    return a + start, a - line + start, end - start, matched
+    first = int(start[end]) + int(same[start[end] : end].argmax())
+    return a + first, a - line + first, end - first, int(matched[end])
 
 
 def leaks_of(texts: list[str], index: Index, hasher: Hasher) -> list[list[tuple]]:

@@ -68,3 +68,41 @@ def test_edges(spark, edges, empty):
     assert decontaminate.leaks(empty, known).count() == 0
     marked = decontaminate.mark(edges, known)
     assert marked.columns == [c for c in edges.columns if c != "leaks"] + ["leaks"]
+
+
+def plain_best(words, item):
+    """The overlap by trying every stretch of every line."""
+    best, n = None, len(item)
+    wanted = decontaminate.MIN_MATCHED if n >= decontaminate.MIN_MATCHED else 0.8 * n
+    for line in range(1 - n, len(words)):
+        a, b = max(0, line), min(len(words), line + n)
+        same = [words[k] == item[k - line] for k in range(a, b)]
+        for i in range(len(same)):
+            for j in range(i + 1, len(same) + 1):
+                m = sum(same[i:j])
+                if same[i] and same[j - 1] and m >= wanted and 5 * m >= 4 * (j - i):
+                    found = (a + i, a + i - line, j - i, m)
+                    if best is None or (-m, found) < (-best[3], best):
+                        best = found
+    return best
+
+
+def test_random_substitutions_agree_with_brute_force(spark, table):
+    rng = random.Random(9)
+    known = [(i, " ".join(f"w{i}x{k}" for k in range(n))) for i, n in enumerate([8, 10, 10, 11, 12, 15, 15, 20, 20, 25, 30])]
+    docs = []
+    for d in range(400):
+        i, text = rng.choice(known)
+        passage = text.split()
+        part = passage[rng.randint(0, 2) :]
+        for k in rng.sample(range(len(part)), rng.randint(len(part) // 10, -(-len(part) // 5))):
+            part[k] = f"changed{rng.randrange(10)}"
+        docs.append((d, " ".join(["before"] * rng.randint(0, 6) + part + ["after"] * rng.randint(0, 6))))
+    docs += [(1000 + k, " ".join("x" if p == k - 1 else f"w1x{p}" for p in range(10))) for k in (3, 4, 7, 8)]
+    want = set()
+    for d, text in docs:
+        for i, item in known:
+            if best := plain_best(text.split(), item.split()):
+                want.add((d, i, *best))
+    assert {d for d, *_ in want} >= {1003, 1004, 1007, 1008}
+    assert set(map(tuple, decontaminate.leaks(table(docs), bench(spark, known)).collect())) == want
