@@ -5,9 +5,10 @@ an address up to 255, the check digit of a card, the digits of a phone number. T
 written so that no text makes them slow: a run of characters is entered at its start or where
 the last match ended, and repeated groups do not backtrack.
 
-Method. Base spans are the seeds. A mention is a seed, or an identifier-like token that no
-seed overlaps (``MIN_DIGITS`` digits or an at sign, at most ``LONGEST`` characters). A pattern is
-a neighbouring word (left, right, or both) with the shape of the mention. Mentions with equal
+Method. Base spans are the seeds. A mention is a seed, or an identifier-like token (``MIN_DIGITS``
+digits or an at sign) or spaced digit groups (in the form of a card or phone number, unchecked and
+with or without the plus) that no seed overlaps. A pattern is a neighbouring word (left, right, or both)
+with the shape of the mention, which a leading plus does not change. Mentions with equal
 text are one instance. Patterns and instances form a graph, scored in ``ROUNDS``
 rounds: a pattern's confidence in a kind is the sum of its instances' scores over their number
 plus one, if at least ``SUPPORT`` instances carry the kind; an instance that is no seed gets one
@@ -32,7 +33,6 @@ from quire.session import materialize
 
 KINDS = ("email", "ip", "card", "phone")
 MIN_DIGITS = 4
-LONGEST = 64
 ROUNDS = 3
 SUPPORT = 3
 PATTERN_CONFIDENCE = 0.8
@@ -55,6 +55,7 @@ _HINTS = {
     "phone": lambda text: text.rlike(r"\+[0-9]"),
 }
 _TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+_GROUPS = (PATTERNS["card"], r"\+?[0-9][ ().0-9-]+[0-9]")
 _CORE = r"[0-9A-Za-z@+](?:.*[0-9A-Za-z])?"
 
 
@@ -148,18 +149,34 @@ def _tokens(text: Column) -> Column:
         )
 
     def likely(m: Column) -> Column:
-        enough = (F.char_length(_digits(m["value"])) >= MIN_DIGITS) | m["value"].contains("@")
-        return enough & (F.char_length(m["value"]) <= LONGEST)
+        return (F.char_length(_digits(m["value"])) >= MIN_DIGITS) | m["value"].contains("@")
 
     return F.filter(F.transform(matches(text, _TOKEN), trimmed), likely)
 
 
+def _groups(text: Column) -> Column:
+    """Digit groups with blanks between them, in the forms that base spans have."""
+
+    def spaced(m: Column) -> Column:
+        return m["value"].contains(" ") & (F.char_length(_digits(m["value"])) >= MIN_DIGITS)
+
+    def of_form(pattern: str) -> Column:
+        fields = lambda m: [m["start"].alias("start"), F.lit(-1).alias("rank"), m["end"].alias("end")]
+        found = F.filter(matches(text, pattern), spaced)
+        return F.transform(found, lambda m: F.struct(*fields(m), m["value"].alias("value")))
+
+    each = F.array_distinct(F.concat(*map(of_form, _GROUPS)))
+    return F.when(text.rlike("[0-9][).-]* "), each).otherwise(F.array().cast(_SPANS))
+
+
 def mentions(found: DataFrame) -> DataFrame:
     """One row per mention: _row, start, end, rank (-1: no seed), instance, patterns.
 
     ``found`` has _row, text and _base.
     """
-    near = found.where(F.col("text").rlike("[0-9@]")).withColumn("_token", _tokens(F.col("text")))
+    near = found.where(F.col("text").rlike("[0-9@]")).withColumn(
+        "_token", F.concat(_tokens(F.col("text")), _groups(F.col("text")))
+    )
     free = F.filter(
         "_token",
         lambda t: ~F.exists(F.col("_base"), lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])),
@@ -169,7 +186,8 @@ def mentions(found: DataFrame) -> DataFrame:
     after = F.substring(F.col("text"), F.col("m.end") + 1, F.lit(_CONTEXT))
     left = F.lower(F.regexp_extract(before, r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+$", 1))
     right = F.lower(F.regexp_extract(after, r"^[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)", 1))
-    shape = F.regexp_replace(F.lower("m.value"), r"(?<![0-9])[0-9]{1,3}(?![0-9])", "d")
+    plain = F.regexp_replace(F.lower("m.value"), r"^\+", "")
+    shape = F.regexp_replace(plain, r"(?<![0-9])[0-9]{1,3}(?![0-9])", "d")
     shape = F.regexp_replace(F.regexp_replace(shape, "[0-9]", "9"), r"\p{L}+", "a")
     each = each.select(
         "_row", "m.start", "m.end", "m.rank", F.lower("m.value").alias("instance"),

@@ -74,6 +74,39 @@ def test_contexts_discover_identifiers(table):
     assert got[101].spans == "" and got[102].spans == ""
 
 
+def test_contexts_discover_spaced_numbers(table):
+    spaced = lambda n: " ".join(n[k : k + 4] for k in range(0, 16, 4))
+    cards = [c + d for c in (f"41111111111{i:04d}" for i in range(400)) for d in "0123456789" if luhn(c + d)][:40]
+    rows = [(i, f"note {i} please charge card {spaced(c)} today") for i, c in enumerate(cards)]
+    rows += [(100 + i, f"you can call +1 (017) 555-{7000 + i} tomorrow") for i in range(40)]
+    odd = "4111 1111 1111 0001"
+    assert not luhn(odd)
+    new = [(500, f"please charge card {odd} today", "card", odd),
+           (501, "you can call 1 (017) 555-7713 tomorrow", "phone", "1 (017) 555-7713"),
+           (503, f"random {odd} number", "card", odd),
+           (504, "a table 1 (017) 555-7714 of 12 34 56", None, None)]
+    got = {r.doc_id: r for r in pii.report(table(rows + [n[:2] for n in new])).collect()}
+    for i, text in rows:
+        agrees(got[i], text)
+    for i, text, kind, value in new:
+        at = text.index(value) if kind else 0
+        assert got[i].spans == (f"{kind}:{at}:{at + len(value)}" if kind else ""), text
+        assert got[i].n_card == got[i].n_phone == 0
+    hidden = {r.doc_id: r.text for r in pii.redact(table(rows + [n[:2] for n in new])).collect()}
+    assert hidden[500] == "please charge card <CARD> today" and hidden[501] == "you can call <PHONE> tomorrow"
+
+
+def test_long_tokens_are_mentions(table):
+    got = pii.mentions(_found(table([(1, "see " + "1" * 100 + " there")]))).collect()
+    assert [(r.start, r.end, r.rank) for r in got] == [(4, 104, -1)]
+
+
+def _found(frame):
+    from pyspark.sql import functions as F
+
+    return frame.select(F.struct("doc_id").alias("_row"), "text", pii.base_spans(F.col("text")).alias("_base"))
+
+
 def test_redaction(table):
     rows = [(1, "mail a@b.de or call +1 (555) 123-4567!"), (2, "nothing"), (3, None), (4, "é 10.0.0.1")]
     frame = table(rows)
