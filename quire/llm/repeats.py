@@ -19,8 +19,11 @@ at their shard, and what is not the first of its kind is removed. This is linear
 contexts, however often one occurs; pairs are never listed.
 
 Documents are packed into blocks once; blocks and levels are bucketed tables, which later
-joins read in place. A shard's entries of one gram meet in one task; equal contexts are
-one entry by then.
+joins read in place. Of equal entries of a block only the first is sent; the others are
+removed where the block is. The entries of one gram meet in one task, unless the gram is hot
+(``HOT`` entries after that, counted in blocks where it has ``HOT_IN_BLOCK``). Those of hot
+grams skip the arrays: the hash of each window goes to a shard of its own hash, with the first
+place of each piece of a block, so that the work is dealt by window.
 
 Edge cases. A null or empty text has no bytes and keeps none. Texts shorter than ``LENGTH`` are
 kept whole. A null doc_id counts as smallest. Rows of equal id come in the order in
@@ -48,9 +51,13 @@ SLICE_BYTES = 1 << 19
 SEGMENT = 2 << 20  # window starts of a long document that are handled at once
 SHARD_BYTES = 8 << 20  # of text, for each shard
 COMPARED = 1 << 19  # bytes of contexts compared at once
+HOT = 4096
+HOT_IN_BLOCK = 4
+HOT_SHARD = 1 << 18  # windows for each shard
 _LOW = np.uint64((1 << 24) - 1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ENTRY = ("u8", "u8", "i8", "i8", "i8", "u1")  # gram, context, doc_id, block, place, windows
+_WINDOW = ("u8", "i8", "i8")  # hash, doc_id, place
 _PLACE = ("i8", "u4")  # document in its block and start (32 bits each), number of windows
 
 
@@ -184,34 +191,57 @@ def _pieces(lengths: list[int]) -> Iterator[tuple[int, int, np.ndarray, int]]:
         first = last
 
 
-def _requests(blocks: DataFrame, shards: int) -> DataFrame:
-    """shard, block and packed entries, sorted by gram."""
+def _entries(row: dict, data: np.ndarray, anchors: Anchors) -> tuple[np.ndarray, ...]:
+    """A block's entries by gram: gram, context, doc_id, place, windows, first of its kind in the block."""
+    starts = np.r_[0, np.cumsum(row["lengths"])]
+    found = []
+    for a, b, ends, _ in _pieces(row["lengths"]):
+        gram, context, start, windows = anchors.entries(data[a:b], ends)
+        found.append((gram, context, start + a, windows))
+    gram, context, start, windows = (np.concatenate(c) for c in zip(*found))
+    doc = np.searchsorted(starts, start, side="right") - 1
+    least = np.iinfo(np.int64).min
+    ids = np.array([least if i is None else i for i in row["doc_ids"]], np.int64)[doc]
+    place = (doc << 32) | (start - starts[doc])
+    order = np.lexsort((place, ids, context, gram))
+    gram, context, ids, place, windows = (c[order] for c in (gram, context, ids, place, windows))
+    first = np.r_[True, (gram[1:] != gram[:-1]) | (context[1:] != context[:-1])][: len(gram)]
+    return gram, context, ids, place, windows, first
+
+
+def _hot(blocks: DataFrame, in_block: int, least: int) -> tuple[np.ndarray, int]:
+    """Grams of many entries, sorted, and the number of their entries; at most one for ``least`` entries of all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = Anchors()
         for batch in tidy(batches):
             for row in _rows(batch):
-                data = np.frombuffer(_data(row), np.uint8)
-                starts = np.r_[0, np.cumsum(row["lengths"])]
-                found = []
-                for a, b, ends, _ in _pieces(row["lengths"]):
-                    gram, context, start, windows = anchors.entries(data[a:b], ends)
-                    found.append((gram, context, start + a, windows))
-                if not found:
-                    continue
-                gram, context, start, windows = (np.concatenate(c) for c in zip(*found))
-                order = np.argsort(gram)
-                gram, context, start, windows = gram[order], context[order], start[order], windows[order]
-                doc = np.searchsorted(starts, start, side="right") - 1
-                least = np.iinfo(np.int64).min
-                ids = np.array([least if i is None else i for i in row["doc_ids"]], np.int64)
-                place = (doc << 32) | (start - starts[doc])
+                gram, *_, first = _entries(row, np.frombuffer(_data(row), np.uint8), anchors)
+                own, counts = np.unique(gram[first], return_counts=True)
+                own, counts = own[counts >= in_block], counts[counts >= in_block]
+                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(counts)], ["gram", "n"])
+
+    wanted = blocks.select("block", "doc_ids", "lengths", "n_bytes", "texts")
+    counted = wanted.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    rows = counted.where(F.col("n") >= least).collect()
+    return np.sort(np.array([r["gram"] for r in rows], np.int64).view(np.uint64)), sum(r["n"] for r in rows)
+
+
+def _requests(blocks: DataFrame, shards: int, hot: np.ndarray) -> DataFrame:
+    """shard, block and packed entries, sorted by gram; without those of hot grams and repeats in a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        anchors = Anchors()
+        for batch in tidy(batches):
+            for row in _rows(batch):
+                *columns, first = _entries(row, np.frombuffer(_data(row), np.uint8), anchors)
+                gram, context, ids, place, windows = (c[first & ~np.isin(columns[0], hot)] for c in columns)
                 block = np.full(len(gram), row["block"], np.int64)
                 cuts = np.flatnonzero(np.diff(shard_of(gram, shards))) + 1
                 bounds = [0, *cuts.tolist(), len(gram)] if len(gram) else []
                 sent = []
                 for i, j in zip(bounds, bounds[1:]):
-                    packed = pack_columns(*(c[i:j] for c in (gram, context, ids[doc], block, place, windows)))
+                    packed = pack_columns(*(c[i:j] for c in (gram, context, ids, block, place, windows)))
                     sent.append((int(shard_of(gram[i : i + 1], shards)[0]), row["block"], packed))
                 if sent:
                     kinds = [pa.int32(), pa.int64(), pa.binary()]
@@ -222,6 +252,77 @@ def _requests(blocks: DataFrame, shards: int) -> DataFrame:
     return wanted.mapInArrow(run, "shard int, block long, entries binary")
 
 
+def _hot_windows(blocks: DataFrame, hot: np.ndarray, shards: int) -> DataFrame:
+    """Windows of hot grams: kind 0, the first of each piece of a block, by shard; kind 1, the others, as runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        anchors = Anchors()
+        for batch in tidy(batches):
+            for row in _rows(batch):
+                data = np.frombuffer(_data(row), np.uint8)
+                gram, _, ids, place, windows, first = _entries(row, data, anchors)
+                own = np.flatnonzero(first & np.isin(gram, hot))
+                ids, place, windows = ids[own], place[own], windows[own].astype(np.int64)
+                at = np.r_[0, np.cumsum(row["lengths"])][place >> 32] + (place & 0xFFFFFFFF)
+                total = np.cumsum(windows + LENGTH - 1)
+                i = 0
+                while i < len(own):
+                    j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + COMPARED, side="right")))
+                    yield _piece(row["block"], ids[i:j], place[i:j], windows[i:j], at[i:j], data, anchors)
+                    i = j
+
+    def _piece(block, ids, place, windows, at, data, anchors) -> pa.RecordBatch:
+        size = windows + LENGTH - 1
+        begin = np.r_[0, np.cumsum(size)][:-1]
+        sums = anchors.sums(data[np.repeat(at - begin, size) + np.arange(size.sum())])
+        step = np.arange(windows.sum()) - np.repeat(np.r_[0, np.cumsum(windows)][:-1], windows)
+        start = np.repeat(begin, windows) + step
+        hashes = mixed((sums[start + LENGTH] - sums[start]) * anchors.down[start])
+        ids, place = np.repeat(ids, windows), np.repeat(place, windows) + step
+        order = np.lexsort((place, ids, hashes))
+        fresh = np.r_[True, hashes[order][1:] != hashes[order][:-1]]
+        rest, order = order[~fresh], order[fresh]
+        columns = [c[order] for c in (hashes, ids, place)]
+        shard = shard_of(columns[0], shards)
+        bounds = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(order)]
+        out = [(0, int(shard[i]), block, pack_columns(*(c[i:j] for c in columns))) for i, j in zip(bounds, bounds[1:])]
+        gone = _runs_by_block(np.full(len(rest), block), place[rest])
+        out += [(1, None, block, packed) for packed in gone.values()]
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+        arrays = [pa.array(c, k) for c, k in zip(zip(*out), kinds)]
+        return pa.RecordBatch.from_arrays(arrays, ["kind", "shard", "block", "entries"])
+
+    wanted = blocks.select("block", "doc_ids", "lengths", "n_bytes", "texts")
+    return wanted.mapInArrow(run, _SCANNED)
+
+
+def _later_windows(windows: DataFrame) -> DataFrame:
+    """Of equal windows of a shard all but the first, as runs by block."""
+
+    def run(group: pa.Table) -> pa.Table:
+        parts = [unpack_columns(d, *_WINDOW) for d in group.column("entries").to_pylist()]
+        hashes, ids, place = (np.concatenate(c) for c in zip(*parts))
+        block = np.repeat(group.column("block").to_numpy(), [len(p[0]) for p in parts])
+        order = np.lexsort((place, block, ids, hashes))
+        later = order[np.r_[False, hashes[order][1:] == hashes[order][:-1]]]
+        found = _runs_by_block(block[later], place[later])
+        return pa.table(
+            [pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["block", "entries"]
+        )
+
+    return windows.groupBy("shard").applyInArrow(run, "block long, entries binary")
+
+
+def _runs_by_block(block: np.ndarray, place: np.ndarray) -> dict[int, bytes]:
+    """Packed runs of windows that follow each other."""
+    order = np.lexsort((place, block))
+    block, place = block[order], place[order]
+    begin = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (place[1:] != place[:-1] + 1)][: len(block)])
+    runs = np.diff(np.r_[begin, len(block)])
+    none = np.zeros(len(runs), np.int64)
+    return _by_block([none, none, none, block[begin], place[begin], runs], np.arange(len(runs)), False)
+
+
 def merge_scan(new: list[bytes], levels: list[bytes]) -> tuple[bytes, dict[int, bytes], dict[int, bytes]]:
     """A batch's entries of one shard against the levels.
 
@@ -420,16 +521,18 @@ def _resolved(contexts: DataFrame) -> DataFrame:
 
 def _applied(blocks: DataFrame, gone: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        anchors = Anchors()
         for batch in tidy(batches):
             for row in _rows(batch):
-                yield from _documents(row)
+                yield from _documents(row, anchors)
 
-    def _documents(row: dict) -> Iterator[pa.RecordBatch]:
+    def _documents(row: dict, anchors: Anchors) -> Iterator[pa.RecordBatch]:
         data = np.frombuffer(_data(row), np.uint8)
         starts = np.r_[0, np.cumsum(row["lengths"])]
         covered = np.zeros(len(data) + 1, np.int32)
-        for packed in row["gone"] or []:
-            place, windows = unpack_columns(packed, *_PLACE)
+        *_, place, windows, first = _entries(row, data, anchors)
+        repeated = (place[~first], windows[~first].astype(np.int64))
+        for place, windows in (repeated, *(unpack_columns(packed, *_PLACE) for packed in row["gone"] or [])):
             at = starts[place >> 32] + (place & 0xFFFFFFFF)
             np.add.at(covered, at, 1)
             np.add.at(covered, at + windows + LENGTH - 1, -1)
@@ -474,11 +577,17 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     blocks = bucketed(_blocks(rows.withColumn("batch", batch)), "repeat-blocks", "block", ["batch"])
     size = blocks.agg(F.sum("n_bytes")).collect()[0][0] or 0
     shards = max(8, -(-size // SHARD_BYTES))
+    hot, n_hot = _hot(blocks, HOT_IN_BLOCK, HOT)
     family, gone, open_ = Family(), [], []
     for i in range(len(bounds) + 1):
-        whole, aside = family.add(_requests(blocks.where(F.col("batch") == i), int(shards)))
+        whole, aside = family.add(_requests(blocks.where(F.col("batch") == i), int(shards), hot))
         gone.append(whole)
         open_.append(aside)
     union = lambda frames: frames[0] if len(frames) == 1 else union([frames[0].unionByName(frames[1]), *frames[2:]])
     resolved = materialize(_resolved(_contexts(blocks, union(open_), int(shards))), "repeat-windows")
+    if len(hot):
+        hot_shards = max(8, -(-n_hot * (LENGTH - GRAM + 1) // HOT_SHARD))
+        windows = materialize(_hot_windows(blocks, hot, hot_shards), "hot-windows")
+        gone.append(windows.where("kind = 1").select("block", "entries"))
+        gone.append(materialize(_later_windows(windows.where("kind = 0")), "later-windows"))
     return _applied(blocks, union([*gone, resolved]))

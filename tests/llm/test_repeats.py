@@ -85,3 +85,29 @@ def test_edges(table, empty):
     got = sorted(found(repeats.remove_repeats(twice)), key=lambda r: len(r[3]))
     assert [len(r[3]) for r in got] == [0, len(brute([(5, "a text of its own, " * 20)])[0][3])]
     assert repeats.remove_repeats(empty).count() == 0
+
+
+def test_hot_grams_are_dealt_by_window(table, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", 10)
+    monkeypatch.setattr(repeats, "HOT_IN_BLOCK", 2)
+    monkeypatch.setattr(repeats, "HOT_SHARD", 200)
+    rng = random.Random(4)
+    own = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    line = "the line of forty bytes that all texts have"
+    rows = [(i, own(120) + line + own(120)) for i in range(60)]
+    rows += [(60 + i, rows[i][1][60:250] + own(9)) for i in range(0, 30, 2)] + [(100 + i, text) for i, text in corpus(6, 30)]
+    hot, n = [], repeats._hot
+    monkeypatch.setattr(repeats, "_hot", lambda *a: (hot.append(n(*a)), hot[-1])[1])
+    assert sorted(found(repeats.remove_repeats(table(rows).repartition(2), 3))) == brute(rows)
+    assert len(hot[0][0]) and hot[0][1] >= 60
+    again = found(repeats.remove_repeats(table(rows).repartition(2), 1))
+    assert sorted(again) == brute(rows)
+
+
+def test_equal_entries_of_a_block_are_sent_once(table):
+    rows = [(i, "one and the same passage of over a hundred bytes that every text of the block holds, word for word, no change") for i in range(50)]
+    blocks = repeats._blocks(table(rows).coalesce(1).selectExpr("doc_id", "text", "0 as batch"))
+    sent = repeats._requests(blocks, 8, np.zeros(0, np.uint64)).collect()
+    grams = np.concatenate([repeats.unpack_columns(r.entries, *repeats._ENTRY)[0] for r in sent])
+    assert len(grams) == len(set(grams.tolist())) < 20
+    assert sorted(found(repeats.remove_repeats(table(rows)))) == brute(rows)
