@@ -1,4 +1,4 @@
-"""Long repeated passages, found by a logarithmic family of suffix arrays.
+"""Long repeated passages, found by logarithmically many levels of anchors sorted by hash.
 
 What is removed: every byte covered by a string of ``LENGTH`` bytes that also starts earlier,
 in a document of smaller id or further left in the same one. Overlaps count.
@@ -7,8 +7,8 @@ Method. Suffixes are indexed at content-defined places only. Each window of ``LE
 an anchor, the leftmost of its ``GRAM``-byte grams of smallest hash; equal windows have it at
 the same offset, so two equal windows meet at equal anchors. Windows in a row with one
 anchor make an entry: the gram's hash, a hash of the context (all bytes of its windows),
-place and number of windows. A suffix array holds the entries of a batch of documents in
-order of gram and context, in shards by ranges of the gram's hash.
+place and number of windows. An array holds the entries of a batch of documents in order
+of the gram's hash (not in suffix order), in shards by ranges of the gram's hash.
 
 Batches come in order of doc_id. A new batch's array is merge-scanned against the levels that
 exist: an entry whose context occurred earlier is removed whole; entries with the same gram
