@@ -6,12 +6,28 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import ann, bpe, decontaminate, language, lm, neardup, packing, pii, repeats, toxicity
+from quire.llm import (
+    align,
+    ann,
+    bpe,
+    decontaminate,
+    language,
+    lm,
+    neardup,
+    packing,
+    pii,
+    repeats,
+    toxicity,
+    variants,
+    wordbpe,
+)
 from quire.llm.common import fold, table
 
 JSON_50K = "byte_bpe_50k.json"
 RANKS_50K = "byte_bpe_50k.tiktoken"
 VOCABULARY_50K = 50_257
+WORDS_49K = "word_bpe_49k.json"
+PIECES_32K = "piece_bpe_32k.model"
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,6 +139,19 @@ def stage_byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return bpe.digests(docs, public_tokenizers.path(RANKS_50K))
 
 
+def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordbpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS_49K))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = public_tokenizers.path(JSON_50K), public_tokenizers.path(PIECES_32K)
+    return align.report(table(spark, sf_dir, "documents"), *files)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"), shortest=5, least=3, ratio=2, part=97)
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_nearest": op2_nearest,
@@ -134,6 +163,35 @@ QUERIES = {
     "op8_lm_scores": op8_lm_scores,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_personal_data": op10_personal_data,
+    "op11_word_bpe": op11_word_bpe,
+    "op12_alignment": op12_alignment,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+# The CRC of a run is folded over its bytes by the table of the reversed polynomial; near words share
+# what is left of them without one letter, or with a blank in its place.
+_OP13 = """
+WITH RECURSIVE bits AS (SELECT i, list_reduce([i::BIGINT] || range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END) AS v FROM range(256) r(i)),
+crc AS (SELECT list(v ORDER BY i) AS t FROM bits),
+runs AS (SELECT coalesce(doc_id::VARCHAR, '') AS id,
+    unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+counted AS (SELECT id, run, count(*) AS c, hex(encode(id || ':' || run)) AS h FROM runs WHERE length(run) >= 5 GROUP BY id, run),
+hashed AS (SELECT run, c, xor(4294967295, list_reduce([4294967295] || list_transform(range(length(h) // 2), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::BIGINT),
+    lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8))) AS h FROM counted, crc),
+altered AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, c FROM hashed),
+words AS (SELECT word, sum(c)::BIGINT AS n FROM altered WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+edits AS (SELECT word, n, substr(word, 1, i - 1) || '_' || substr(word, i + 1) AS blank, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM places),
+pairs AS (SELECT a.word, b.word AS near, b.n FROM edits a JOIN edits b ON a.blank = b.blank AND a.word <> b.word
+    UNION SELECT a.word, b.word, b.n FROM edits a JOIN words b ON a.less = b.word
+    UNION SELECT b.word, a.word, a.n FROM edits a JOIN words b ON a.less = b.word),
+best AS (SELECT word, count(*) AS n_near, max(n) AS near_n FROM pairs GROUP BY word),
+forms AS (SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.near_n >= 2 * w.n THEN b.near_n END AS form_n,
+    CASE WHEN b.near_n >= 2 * w.n THEN (SELECT min(p.near) FROM pairs p WHERE p.word = w.word AND p.n = b.near_n) END AS form
+    FROM words w LEFT JOIN best b ON w.word = b.word),
+chain AS (SELECT word, word AS root, form AS following FROM forms
+    UNION ALL SELECT c.word, f.word, f.form FROM chain c JOIN forms f ON c.following = f.word)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM forms f JOIN chain c ON f.word = c.word AND c.following IS NULL
+"""
+
+ORACLE_SQL: dict[str, str] = {"op13_spelling_variants": _OP13}
