@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from quire import schemas
 
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
+# A row holds less than 2 GiB. Larger files are read by their path (``extract.pages_in_ranges``).
+LARGEST = 2_000_000_000
 
 
 def file_stem(path) -> Column:
@@ -19,14 +21,12 @@ def file_stem(path) -> Column:
     return F.when(stem == "", F.lit("document")).otherwise(stem)
 
 
-def pdf_rows(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
+def pdf_rows(files: DataFrame, max_bytes: int = LARGEST) -> DataFrame:
     """File rows with their document name and ``error``.
 
-    With ``max_bytes``, a larger file is a row without content that says so.
+    A file of more than ``max_bytes`` is a row without content that says so.
     """
     columns = [file_stem(F.col("path")).alias("doc_stem"), "path", "modificationTime", "length"]
-    if max_bytes is None:
-        return files.select(*columns, "content", F.lit(None).cast("string").alias("error"))
     fits = F.col("length") <= max_bytes
     # Size is file metadata: with a filter on it alone, bytes of refused files are not read.
     taken = files.where(fits).select(*columns, "content", F.lit(None).cast("string").alias("error"))
@@ -35,10 +35,24 @@ def pdf_rows(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
     return taken.unionByName(refused)
 
 
-def ingest_files(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
-    """PDF files of a folder (not below it), or one file, with their bytes, whatever their size."""
+def _listed(spark: SparkSession, path: str) -> DataFrame:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "false")
-    return pdf_rows(reader.option("pathGlobFilter", "*.pdf").load(path), max_bytes)
+    return reader.option("pathGlobFilter", "*.pdf").load(path)
+
+
+def ingest_files(spark: SparkSession, path: str, max_bytes: int = LARGEST) -> DataFrame:
+    """PDF files of a folder (not below it), or one file, with their bytes.
+
+    A file of more than ``max_bytes`` is an error row and the others are read.
+    """
+    return pdf_rows(_listed(spark, path), max_bytes)
+
+
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """The same files without their bytes, of any size, to be opened by the tasks that read them."""
+    return _listed(spark, path).select(
+        file_stem(F.col("path")).alias("doc_stem"), "path", "modificationTime", "length"
+    )
 
 
 @dataclass(frozen=True)
