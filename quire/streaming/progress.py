@@ -11,8 +11,9 @@ from pyspark.sql.streaming import StreamingQuery
 from quire.functions import fixed
 from quire.operators import enrich
 from quire.plans import pipelines
-from quire.sources.files import FILES, pdf_rows
+from quire.sources.files import FILES, LARGEST, pdf_rows
 from quire.sources.sinks import write_tables
+from quire.streaming.folded import EVERY, Folded
 
 
 def progress_state(events: DataFrame) -> DataFrame:
@@ -20,41 +21,68 @@ def progress_state(events: DataFrame) -> DataFrame:
 
     All parts combine before the shuffle, so one busy job does not weigh on a task.
     """
-    fields = ["current_page", "total_pages", "phase"]
-    latest = F.max_by(F.struct("seq", *fields), "seq")
-    return events.groupBy("job_id").agg(
-        latest.alias("latest"), F.sum("new_images").alias("images_processed")
-    ).select("job_id", "latest.*", "images_processed")
+    return _progress_partials(events).drop("last_ts")
 
 
-def stream_progress(events: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Follow a progress stream and write changed job rows, one folder per batch.
+def _progress_partials(events: DataFrame) -> DataFrame:
+    """Progress of some events, with the time of the last one; null where events have none."""
+    time = (F.col("ts") if "ts" in events.columns else F.lit(None)).cast("timestamp")
+    latest = F.max_by(F.struct("seq", "current_page", "total_pages", "phase"), "seq")
+    parts = events.groupBy("job_id").agg(
+        latest.alias("latest"), F.sum("new_images").alias("images_processed"), F.max(time).alias("last_ts")
+    )
+    return parts.select("job_id", "latest.*", "images_processed", "last_ts")
+
+
+_PARTIAL = (
+    "job_id string, seq bigint, current_page int, total_pages int, phase string, images_processed bigint, last_ts timestamp"
+)
+
+
+def _merged_progress(partials: DataFrame) -> DataFrame:
+    fields = ["seq", "current_page", "total_pages", "phase"]
+    return partials.groupBy("job_id").agg(
+        F.max_by(F.struct(*fields), "seq").alias("latest"),
+        F.sum("images_processed").alias("images_processed"),
+        F.max("last_ts").alias("last_ts"),
+    ).select("job_id", "latest.*", "images_processed", "last_ts")
+
+
+def _progress_table(spark: SparkSession, out: str, every: int = EVERY, retention: str | None = None) -> Folded:
+    idle = (lambda newest: F.col("last_ts") < newest - F.expr(f"INTERVAL {retention}")) if retention else None
+    return Folded(spark, out, _PARTIAL, _merged_progress, every, "last_ts", idle)
+
+
+def stream_progress(
+    events: DataFrame,
+    out: str,
+    checkpoint: str,
+    trigger: dict | None = None,
+    every: int = EVERY,
+    retention: str | None = None,
+) -> StreamingQuery:
+    """Follow a progress stream; ``read_progress`` gives the state of each job.
 
-    A batch that is run again replaces its folder. ``read_progress`` gives the state.
+    The stream itself has no state: each batch writes the progress of its own rows, and these
+    are merged when read and, every so many batches, in a snapshot. With ``retention`` (an interval such as
+    ``1 DAY``), a job without a row for so long before the newest one (by ``ts``), ended or not, leaves the snapshot
+    for the archive. A later row of it is added to what the archive has.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        _progress_table(batch.sparkSession, out, every, retention).add(_progress_partials(batch), batch_id)
 
     return (
-        progress_state(events)
-        .writeStream.outputMode("update")
-        .option("checkpointLocation", checkpoint)
+        events.writeStream.option("checkpointLocation", checkpoint)
         .foreachBatch(save)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
 
-def read_progress(spark: SparkSession, out: str) -> DataFrame:
-    """Current row of each job from the folders that ``stream_progress`` wrote."""
-    rows = spark.read.parquet(out)
-    fields = [c for c in rows.columns if c not in ("job_id", "batch_id")]
-    return (
-        rows.groupBy("job_id")
-        .agg(F.max_by(F.struct(*fields), "batch_id").alias("s"))
-        .select("job_id", "s.*")
-    )
+def read_progress(spark: SparkSession, out: str, archived: bool = True) -> DataFrame:
+    """Current row of each job from what ``stream_progress`` wrote; without ``archived``, of those of late alone."""
+    return _progress_table(spark, out).read(settled=archived).drop("last_ts")
 
 
 def feed_until_terminal(events: DataFrame, ends: DataFrame) -> DataFrame:
@@ -67,22 +95,20 @@ def feed_until_terminal(events: DataFrame, ends: DataFrame) -> DataFrame:
 
 
 def first_terminal(events: DataFrame, terminal_phases: list[str]) -> DataFrame:
-    """``job_id, ended_seq``: the first terminal row of each job."""
+    """``job_id, ended_seq, ended_ts``: the first terminal row of each job; the time is null where events have none."""
+    time = (F.col("ts") if "ts" in events.columns else F.lit(None)).cast("timestamp")
     return (
         events.where(F.col("phase").isin(terminal_phases))
         .groupBy("job_id")
-        .agg(F.min("seq").alias("ended_seq"))
+        .agg(F.min("seq").alias("ended_seq"), F.min_by(time, "seq").alias("ended_ts"))
     )
 
 
-_ENDS = "job_id string, ended_seq bigint"
-# Every so many batches the ends of all jobs are written anew, so that a batch reads
-# at most this many folders.
-_SNAPSHOT_EVERY = 32
+_ENDS = "job_id string, ended_seq bigint, ended_ts timestamp"
 
 
 def _merged_ends(ends: DataFrame) -> DataFrame:
-    return ends.groupBy("job_id").agg(F.min("ended_seq").alias("ended_seq"))
+    return ends.groupBy("job_id").agg(F.min("ended_seq").alias("ended_seq"), F.max("ended_ts").alias("ended_ts"))
 
 
 def stream_terminal(
@@ -91,7 +117,8 @@ def stream_terminal(
     checkpoint: str,
     terminal_phases: list[str] | None = None,
     trigger: dict | None = None,
-    snapshot_every: int = _SNAPSHOT_EVERY,
+    snapshot_every: int = EVERY,
+    retention: str | None = None,
 ) -> StreamingQuery:
     """Feed of progress rows that ends, per job, at its first terminal row.
 
@@ -100,26 +127,23 @@ def stream_terminal(
     aggregates and joins, so the rows of one busy job are spread over tasks, and a
     batch that is run again replaces its own folders. Rows of a job that come after
     its end, in this or any later batch, are left out.
+
+    With ``retention``, an interval such as ``1 DAY``, the end of a job is forgotten when it is so much older (by
+    ``ts``) than the newest end, so the table stays as large as the ends of that time. Rows that come
+    later than that are let through.
     """
     phases = terminal_phases or fixed.TERMINAL_PHASES
-
-    def read_ends(session: SparkSession, first: int, last: int) -> DataFrame:
-        folders = [f"{out}/ends/batch_id={n}" for n in range(first, last + 1)]
-        return session.read.schema(_ENDS).parquet(*folders)
+    old = (lambda newest: F.col("ended_ts") < newest - F.expr(f"INTERVAL {retention}")) if retention else None
 
     def save(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        ends = first_terminal(batch, phases)
-        start = batch_id // snapshot_every * snapshot_every
-        if batch_id and start == batch_id:
-            # This batch's folder becomes the snapshot of everything before it.
-            earlier = read_ends(session, batch_id - snapshot_every, batch_id - 1)
-            ends = _merged_ends(earlier.unionByName(ends))
-        ends.write.mode("overwrite").parquet(f"{out}/ends/batch_id={batch_id}")
-        known = _merged_ends(read_ends(session, start, batch_id))
-        feed_until_terminal(batch, known).write.mode("overwrite").parquet(
-            f"{out}/feed/batch_id={batch_id}"
-        )
+        # The source is read once; the ends and the feed read what it gave.
+        batch.write.mode("overwrite").parquet(f"{out}/arrived")
+        arrived = session.read.schema(batch.schema).parquet(f"{out}/arrived")
+        table = Folded(session, f"{out}/ends", _ENDS, _merged_ends, snapshot_every, "ended_ts", old, keep=False)
+        table.add(first_terminal(arrived, phases), batch_id)
+        feed = feed_until_terminal(arrived, table.read().drop("ended_ts"))
+        feed.write.mode("overwrite").parquet(f"{out}/feed/batch_id={batch_id}")
 
     return (
         events.writeStream.option("checkpointLocation", checkpoint)
@@ -136,7 +160,7 @@ def stream_ingest(
     extractor: Callable,
     checkpoint: str,
     language: str = "th",
-    max_bytes: int | None = None,
+    max_bytes: int = LARGEST,
     max_files: int = 1000,
     trigger: dict | None = None,
 ) -> StreamingQuery:
