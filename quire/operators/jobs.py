@@ -9,6 +9,8 @@ from quire import schemas
 from quire.functions import fixed
 
 ISO_SECONDS = "yyyy-MM-dd'T'HH:mm:ss'Z'"
+# Statuses that a job does not leave.
+ENDED = ("completed", "failed", "cancelled")
 
 
 def provider_registry(spark: SparkSession) -> DataFrame:
@@ -81,7 +83,7 @@ def latest_job_state(events: DataFrame) -> DataFrame:
         hit = F.col("status").isin(*statuses)
         return F.max_by(F.when(hit, F.col("ts")), F.when(hit, seq))
 
-    state = events.groupBy("job_id").agg(
+    return ledger_row(events.groupBy("job_id").agg(
         last(F.col("status")).alias("status"),
         last(F.col("progress")).alias("progress"),
         last(F.col("result")).alias("result"),
@@ -89,9 +91,13 @@ def latest_job_state(events: DataFrame) -> DataFrame:
         F.min_by("ts", "seq").alias("created_at"),
         F.max_by("ts", "seq").alias("updated_at"),
         last_time("processing").alias("started_at"),
-        last_time("completed", "failed", "cancelled").alias("completed_at"),
-    )
-    known = ["pending", "processing", "completed", "failed", "cancelled"]
+        last_time(*ENDED).alias("completed_at"),
+    ))
+
+
+def ledger_row(state: DataFrame) -> DataFrame:
+    """A job's current row from the last value of each field: known statuses only, and its duration."""
+    known = ["pending", "processing", *ENDED]
     return state.withColumns(
         {
             "status": F.when(F.col("status").isin(known), F.col("status")).otherwise("failed"),

@@ -19,12 +19,16 @@ def readable(pages: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Outputs:
-    """Tables a run produces, and counts taken while it ran."""
+    """Tables a run produces, and counts taken while it ran.
+
+    ``described`` has a row an image that the model was asked about; None in a run without a model.
+    """
 
     documents: DataFrame
     catalog: DataFrame
     detections: DataFrame
     counts: dict[str, int] = field(default_factory=dict)
+    described: DataFrame | None = None
 
 
 def cleaned_by_block(pages: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFrame:
@@ -52,19 +56,23 @@ def text_only_pipeline(
 
     Documents and detections are separate lazy plans that start from the same pages.
     Where both are wanted, ``keep_pages`` writes the stripped pages to the shared
-    folder first, so that they are cleaned once for both.
+    folder first, so that they are cleaned once for both; ``counts`` then has the pages and those
+    that could not be read.
     """
     cleaned = cleaned_by_block(pages, block_pages)
     hf = boilerplate.headers_footers(cleaned, pages)
     stripped = boilerplate.strip_headers_footers(cleaned, hf, block_pages, pages)
+    counts: dict[str, int] = {}
     if keep_pages:
-        hf, stripped = materialize(hf, "headers"), materialize(stripped, "stripped")
+        failed = F.count("error") if "error" in pages.columns else F.lit(0).cast("long")
+        hf = materialize(hf, "headers")
+        stripped, counts = materialize_counted(stripped, "stripped", pages=F.count(F.lit(1)), page_errors=failed)
     docs = documents.assemble_documents(
         pg.assemble_pages(stripped), documents.text_only_head(language), pages, block_pages
     )
     empty = pages.sparkSession.createDataFrame([], CATALOG)
     found = detect.all_detections(readable(stripped), hf)
-    return Outputs(docs, empty, found if detect_trash else found.where(F.lit(False)))
+    return Outputs(docs, empty, found if detect_trash else found.where(F.lit(False)), counts)
 
 
 def vision_pipeline(
@@ -112,7 +120,7 @@ def vision_pipeline(
         found = detect.detect_trash(read).where(F.lit(False))
     else:
         found = detect.all_detections(read, boilerplate.headers_footers(read, routed))
-    return Outputs(docs, catalog, found, {**page_counts, **image_counts})
+    return Outputs(docs, catalog, found, {**page_counts, **image_counts}, described)
 
 
 def strip_trash(docs: DataFrame, det: DataFrame, aliases=None) -> DataFrame:
