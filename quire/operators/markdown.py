@@ -191,20 +191,21 @@ def count_matches(docs: DataFrame, query: str, case_sensitive: bool = False) ->
     return docs.select(*doc_keys(docs), F.regexp_count("markdown", pattern).alias("matches"))
 
 
+def replaced(source: Column, query: str, text: str, case_sensitive: bool = False) -> Column:
+    """A text with every match of a literal replaced by a literal."""
+    if not query:
+        return source
+    if case_sensitive:
+        return F.replace(source, F.lit(query), F.lit(text))
+    return F.regexp_replace(source, tx.literal_pattern(query, False), tx.escape_replacement(text))
+
+
 def replace_corpus(
     docs: DataFrame, query: str, text: str, case_sensitive: bool = False
 ) -> DataFrame:
     """Replace every match of a literal by a literal in all documents."""
     docs = whole_documents(docs)
-    source = F.col("markdown")
-    if not query:
-        new = source
-    elif case_sensitive:
-        new = F.replace(source, F.lit(query), F.lit(text))
-    else:
-        new = F.regexp_replace(
-            source, tx.literal_pattern(query, False), tx.escape_replacement(text)
-        )
+    new = replaced(F.col("markdown"), query, text, case_sensitive)
     return docs.select(*doc_keys(docs), new.alias("markdown"))
 
 
@@ -231,5 +232,8 @@ def chunk_documents(docs: DataFrame, size: int = 1000, overlap: int = 200) -> Da
 
 
 def chunk_image_integrity(chunks: DataFrame) -> DataFrame:
-    """Chunks that end in an image tag, so that its description is not with it."""
-    return chunks.where(F.col("content").rlike(r"\[IMAGE:[^\]\n]*\]\s*\z"))
+    """Chunks with an image tag that has no description in them.
+
+    After such a tag comes nothing, or another tag, or the chunk ends inside it.
+    """
+    return chunks.where(F.col("content").rlike(r"\[IMAGE:[^\]\n]*(?:\z|\]\s*(?:\z|\[IMAGE:))"))

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from quire.functions import text as tx
 from quire.operators.images import image_groups_html
 from quire.operators.keys import whole_documents
+from quire.sources.staged import delete_files, open_target, write_files
+
 
 def _json_rows(table: DataFrame) -> DataFrame:
     """One JSON array per document: ``doc_stem, value``."""
@@ -20,27 +22,18 @@ def _json_rows(table: DataFrame) -> DataFrame:
     return table.groupBy("doc_stem").agg(F.to_json(rows).alias("value"))
 
 
-def _write_rows(rows: DataFrame, uri: str) -> int:
-    """Write one file per document below ``doc_stem=…``; returns the row count.
-
-    Only the folders of these documents are replaced; others stay.
-    """
-    seen = Observation()
-    counted = rows.select("doc_stem", "value").observe(seen, F.count(F.lit(1)).alias("rows"))
-    writer = counted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy("doc_stem").text(uri)
-    return seen.get["rows"]
+def _kind(rows: DataFrame, folder: str, replacing: bool = False) -> DataFrame:
+    """``doc_stem, value`` rows as rows of the file sink."""
+    return rows.select(F.lit(folder).alias("folder"), "doc_stem", "value", F.lit(replacing).alias("replacing"))
 
 
-def _written_before(spark, uri: str) -> DataFrame | None:
-    """``doc_stem`` of the documents that have a folder below ``uri``; file contents are not read."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return None
-    name = F.regexp_extract(F.replace("path", F.lit("+"), F.lit("%2B")), "/doc_stem=([^/]*)/", 1)
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(uri)
-    # Both the folder name and the path that is reported are encoded.
-    return found.select(F.url_decode(F.url_decode(name)).alias("doc_stem")).distinct()
+def _write_kinds(rows: DataFrame, uri: str, *kinds: str) -> dict[str, int]:
+    """Write files of several kinds, all or none; returns how many of each, without those only replaced."""
+    seen = Observation()
+    own = ~F.col("replacing")
+    counts = [F.count_if(own & (F.col("folder") == k)).alias(k) for k in kinds]
+    write_files(rows.sparkSession, rows.observe(seen, *counts), uri)
+    return seen.get
 
 
 def write_results(docs: DataFrame, catalog: DataFrame, det: DataFrame, uri: str) -> dict[str, int]:
@@ -48,33 +41,39 @@ def write_results(docs: DataFrame, catalog: DataFrame, det: DataFrame, uri: str)
 
     ``uri`` is any Hadoop path (``file:``, ``s3a:``, a mount). Every document gets one
     Markdown file and a catalogue, ``[]`` when it has no images; detections only if
-    there are any, or ``[]`` in place of earlier ones. Outputs of other documents stay.
+    there are any, or ``[]`` in place of earlier ones. Outputs of other documents stay, and are not looked at.
+    All files of a write appear together: one that fails leaves what was there.
     Returns how many files of each kind were written, without replaced detections.
 
-    Files and folders are one per document; ``write_tables`` suits very many documents.
+    Files and folders are one per document; ``stored.save_documents`` suits very many documents.
     """
-    rows = whole_documents(docs).select("doc_stem", "markdown")
+    rows = whole_documents(docs).select("doc_stem", F.col("markdown").alias("value"))
     catalogs = (
         rows.select("doc_stem")
         .join(_json_rows(catalog), "doc_stem", "full")
         .withColumn("value", F.coalesce("value", F.lit("[]")))
     )
-    counts = {
-        "markdown": _write_rows(rows.withColumnRenamed("markdown", "value"), f"{uri}/markdown"),
-        "images_metadata": _write_rows(catalogs, f"{uri}/images_metadata"),
-    }
     found = _json_rows(det)
-    before = _written_before(docs.sparkSession, f"{uri}/trash")
-    counts["trash"] = _write_rows(found, f"{uri}/trash")
-    if before is not None:
-        stale = before.join(docs.select("doc_stem").distinct(), "doc_stem", "left_semi")
-        stale = stale.join(found.select("doc_stem"), "doc_stem", "left_anti")
-        _write_rows(stale.withColumn("value", F.lit("[]")), f"{uri}/trash")
-    return counts
+    without = rows.select("doc_stem").join(found.select("doc_stem"), "doc_stem", "left_anti")
+    files = (
+        _kind(rows, "markdown")
+        .unionByName(_kind(catalogs, "images_metadata"))
+        .unionByName(_kind(found, "trash"))
+        .unionByName(_kind(without.withColumn("value", F.lit("[]")), "trash", replacing=True))
+    )
+    return _write_kinds(files, uri, "markdown", "images_metadata", "trash")
+
+
+def purge_results(ids: DataFrame, uri: str) -> int:
+    """Remove the files that ``write_results`` wrote of the documents in ``ids``; returns how many."""
+    return delete_files(ids, uri, ["markdown", "images_metadata", "trash"])
 
 
 def write_tables(docs: DataFrame, catalog: DataFrame, det: DataFrame, uri: str) -> None:
-    """Write the same outputs as Parquet tables, for corpora of very many documents."""
+    """Write the same outputs as Parquet tables, in place of all that ``uri`` held.
+
+    ``stored.save_documents`` replaces only the documents at hand.
+    """
     for name, table in (("markdown", docs), ("images_metadata", catalog), ("trash", det)):
         table.write.mode("overwrite").parquet(f"{uri}/{name}")
 
@@ -86,7 +85,7 @@ def export_bundle(
     uri: str,
     base_url: str | None = None,
 ) -> dict[str, int]:
-    """Bundle of completed jobs: Markdown, catalogue and list of image files.
+    """Bundle of completed jobs: Markdown, catalogue and list of image files, all or none of them.
 
     With ``base_url``, image tags become HTML. The image list comes from the catalogue.
     """
@@ -101,17 +100,14 @@ def export_bundle(
     images = catalog.join(done, "doc_stem", "left_semi")
     names = F.array_join(F.sort_array(F.collect_list("image_file")), "\n")
     listed = images.groupBy("doc_stem").agg(names.alias("value"))
-    rows = whole_documents(chosen).select("doc_stem", "markdown")
+    rows = whole_documents(chosen).select("doc_stem", F.col("markdown").alias("value"))
     catalogs = (
         rows.select("doc_stem")
         .join(_json_rows(images), "doc_stem", "full")
         .withColumn("value", F.coalesce("value", F.lit("[]")))
     )
-    return {
-        "markdown": _write_rows(rows.withColumnRenamed("markdown", "value"), f"{uri}/markdown"),
-        "metadata": _write_rows(catalogs, f"{uri}/metadata"),
-        "images": _write_rows(listed, f"{uri}/images"),
-    }
+    files = _kind(rows, "markdown").unionByName(_kind(catalogs, "metadata")).unionByName(_kind(listed, "images"))
+    return _write_kinds(files, uri, "markdown", "metadata", "images")
 
 
 @dataclass(frozen=True)
@@ -139,25 +135,32 @@ def publish_files(files: DataFrame, uri: str) -> Published:
     others go on.
     """
 
-    # The scheme of the other sinks, by the name that the file systems used here have for it.
-    address = f"s3{uri[3:]}" if uri.startswith(("s3a:", "s3n:")) else uri
+    written, failed = (files.sparkSession.sparkContext.accumulator(0) for _ in range(2))
 
     def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
+        target, base, problem, folders = None, "", None, set()
+        try:
+            target, base = open_target(uri)  # once a task; one that cannot be opened fails its rows, not the job
+        except Exception as err:
+            problem = str(err)
         for batch in batches:
             errors: list[str | None] = []
-            for row in batch.to_pylist():
-                try:
-                    # A target that cannot be opened fails its rows, not the job.
-                    target, base = fs.FileSystem.from_uri(address)
-                    path = f"{base}/{row['name']}"
-                    target.create_dir(path.rsplit("/", 1)[0], recursive=True)
-                    with target.open_output_stream(path) as out:
-                        out.write(row["content"])
-                    errors.append(None)
-                except Exception as err:
-                    errors.append(str(err))
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist()):
+                wrong = problem
+                if wrong is None:
+                    try:
+                        path = f"{base}/{name}"
+                        folder = path.rsplit("/", 1)[0]
+                        if folder not in folders:
+                            target.create_dir(folder, recursive=True)
+                            folders.add(folder)
+                        with target.open_output_stream(path) as out:
+                            out.write(content)
+                    except Exception as err:
+                        wrong = str(err)
+                errors.append(wrong)
+            written.add(errors.count(None))
+            failed.add(len(errors) - errors.count(None))
             yield pa.RecordBatch.from_arrays([pa.array(errors, pa.string())], names=["error"])
 
     try:
@@ -168,7 +171,8 @@ def publish_files(files: DataFrame, uri: str) -> Published:
             F.max("error").alias("error"),
         ).first()
     except Exception as err:
-        return Published(uri, 0, 0, str(err))
+        # The job broke off; what the tasks that ended reported still counts.
+        return Published(uri, written.value, failed.value, str(err))
     return Published(uri, total["written"], total["failed"], total["error"])
 
 
