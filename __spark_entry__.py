@@ -12,11 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import oracle_queries
+from quire import schemas
 from quire.fixtures import OBJECT_RANGE, Views
 from quire.operators import (
+    answers,
     boilerplate,
     detect,
     documents,
+    extract,
     images,
     jobs,
     markdown,
@@ -28,11 +31,12 @@ from quire.operators.enrich import (
     pages_from_documents,
     settle_descriptions,
 )
-from quire.plans import pipelines
+from quire.operators.keys import whole_documents
+from quire.plans import pipelines, reported
 from quire.session import materialize, new_folder
-from quire.sources import sinks
-from quire.sources.files import read_results
-from quire.streaming import progress
+from quire.sources import indexed, sinks, stored
+from quire.sources.files import ingest_files, list_files, read_results
+from quire.streaming import keyed, ledger, progress
 
 try:  # the operators of training-data pipelines may be left out of an installation
     import corpus_pipeline
@@ -129,9 +133,12 @@ def _results(v: Views) -> DataFrame:
     return view.withColumns({"metadata": F.to_json("metadata"), "trash": F.to_json("trash")})
 
 
+def _to_purge(v: Views) -> DataFrame:
+    return v.page_texts.where((F.col("page_num") == 49) & (F.length("text") % 2 == 0)).select("doc_stem")
+
+
 def _purge(v: Views) -> DataFrame:
-    ids = v.page_texts.where((F.col("page_num") == 49) & (F.length("text") % 2 == 0))
-    return documents.purge_documents({"catalog": v.image_catalog}, ids)["catalog"]
+    return documents.purge_documents({"catalog": v.image_catalog}, _to_purge(v))["catalog"]
 
 
 def _label(v: Views) -> DataFrame:
@@ -201,19 +208,30 @@ def _written(v: Views) -> DataFrame:
             v.markdown_docs.where(mine), v.image_catalog.where(mine), found.where(mine), base
         )
     back = read_results(v.spark, base)
-    images_ = back.catalog.groupBy("doc_stem").agg(F.count(F.lit(1)).alias("images"))
-    trash = back.detections.groupBy("doc_stem").agg(F.count(F.lit(1)).alias("detections"))
-    joined = back.documents.join(images_, "doc_stem", "left").join(trash, "doc_stem", "left")
+    return _counted(back.documents, back.catalog, back.detections)
+
+
+def _counted(docs: DataFrame, catalog: DataFrame, found: DataFrame) -> DataFrame:
+    images_ = catalog.groupBy("doc_stem").agg(F.count(F.lit(1)).alias("images"))
+    trash = found.groupBy("doc_stem").agg(F.count(F.lit(1)).alias("detections"))
+    joined = docs.join(images_, "doc_stem", "left").join(trash, "doc_stem", "left")
     return joined.select("doc_stem", "markdown", F.coalesce("images", F.lit(0)).alias("images"), F.coalesce("detections", F.lit(0)).alias("detections"))
 
 
 def _exported(v: Views) -> DataFrame:
-    """The bundle's list of images, read back."""
+    """The bundle's three parts, read back: Markdown, number of catalogue rows, image files."""
     base = new_folder(v.spark, "bundle")
     sinks.export_bundle(v.markdown_docs, v.image_catalog, v.jobs, base)
-    found = v.spark.read.option("recursiveFileLookup", "true").text(f"{base}/images")
-    name = F.regexp_extract(F.col("_metadata.file_path"), "/doc_stem=([^/]*)/", 1)
-    return found.select(name.alias("doc_stem"), F.col("value").alias("image_file"))
+
+    def part(folder: str, value: str) -> DataFrame:
+        found = v.spark.read.option("recursiveFileLookup", "true").text(f"{base}/{folder}", wholetext=True)
+        name = F.regexp_extract(F.col("_metadata.file_path"), "/doc_stem=([^/]*)/", 1)
+        return found.select(name.alias("doc_stem"), F.regexp_replace("value", r"\n\z", "").alias(value))
+
+    joined = part("markdown", "markdown").join(part("metadata", "catalog"), "doc_stem", "full")
+    joined = joined.join(part("images", "files"), "doc_stem", "full")
+    rows = F.from_json("catalog", "array<struct<image_file:string>>")
+    return joined.select("doc_stem", "markdown", F.size(rows).alias("rows"), F.coalesce("files", F.lit("")).alias("files"))
 
 
 def _published(v: Views) -> DataFrame:
@@ -226,16 +244,172 @@ def _published(v: Views) -> DataFrame:
     return found.select(name.alias("doc_stem"), F.col("value").alias("markdown"))
 
 
-def _extracted(v: Views) -> DataFrame:
-    """Pages of each document's bytes, one per line break, from the second to the fourth."""
-    files = v.table("documents").select(
-        F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("doc_stem"), F.col("text").cast("binary").alias("content")
-    )
+def _files(v: Views) -> DataFrame:
+    """The texts as files, a page a line."""
+    name = F.concat(F.lit("f"), F.col("doc_id").cast("string"))
+    return v.table("documents").select(name.alias("doc_stem"), F.col("text").cast("binary").alias("content"))
+
 
+def _lines() -> Callable[[bytes], list[str]]:
     def lines(content: bytes):
         yield from content.decode().split("\n")
 
-    return pages_from_documents(files, lines, 1, 4).select("doc_stem", "page_num", "text")
+    return lines
+
+
+def _line_reader() -> extract.PageReader:
+    class Lines:
+        def count(self, content: bytes) -> int:
+            return content.count(b"\n") + 1
+
+        def read(self, content: bytes, first: int, stop: int):
+            return content.decode().split("\n")[first:stop]
+
+    return Lines()
+
+
+_PAGE = ["doc_stem", "page_num", "text"]
+
+
+def _in_box(v: Views) -> str:
+    """A folder with a file for each text."""
+    base = new_folder(v.spark, "in")
+    files = _files(v).select(F.concat("doc_stem", F.lit(".pdf")).alias("name"), "content")
+    sinks.publish_files(files, base if ":" in base else f"file://{base}")
+    return base
+
+
+def _listed_pages(v: Views) -> DataFrame:
+    listed = list_files(v.spark, _in_box(v))
+    return extract.pages_in_ranges(listed, _line_reader(), range_pages=8, opener=extract.open_file).select(*_PAGE)
+
+
+def _ingested(v: Views) -> DataFrame:
+    found = ingest_files(v.spark, _in_box(v))
+    return found.select("doc_stem", "length", F.sha2("content", 256).alias("sha256"), "error")
+
+
+def _stream_ingest(v: Views) -> DataFrame:
+    base = new_folder(v.spark, "ingest")
+    progress.stream_ingest(
+        v.spark, _in_box(v), f"{base}/out", _lines(), f"{base}/state", "en", max_files=500
+    ).awaitTermination()
+    docs = v.spark.read.schema(schemas.MARKDOWN_DOCS).parquet(f"{base}/out/batch_id=*/markdown")
+    return whole_documents(docs)
+
+
+def _stream_terminal_keyed(v: Views) -> DataFrame:
+    base = new_folder(v.spark, "feed")
+    events = _event_stream(v)
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    keyed.stream_terminal_keyed(timed, f"{base}/feed", f"{base}/state", delay="3650 days").awaitTermination()
+    found = v.spark.read.schema(timed.schema).parquet(f"{base}/feed")
+    return found.withColumn("ts", F.col("ts").cast(events.schema["ts"].dataType))
+
+
+def _reported(v: Views, process: Callable[[DataFrame], pipelines.Outputs]) -> DataFrame:
+    """Progress of each document as the events of a run tell it."""
+    base = new_folder(v.spark, "run")
+    reported.reported_run(v.page_texts, process, f"{base}/out", f"{base}/events", waves=3)
+    told = reported.stream_events(v.spark, f"{base}/events")
+    progress.stream_progress(told, f"{base}/progress", f"{base}/state").awaitTermination()
+    return progress.read_progress(v.spark, f"{base}/progress")
+
+
+def _reported_text(v: Views) -> DataFrame:
+    return _reported(v, lambda some: pipelines.text_only_pipeline(some, keep_pages=True))
+
+
+def _reported_vision(v: Views) -> DataFrame:
+    def process(some: DataFrame) -> pipelines.Outputs:
+        objects = v.text_page_objects.join(some.select("doc_stem").distinct(), "doc_stem", "left_semi")
+        return pipelines.vision_pipeline(some, objects, _describer(), base_delay=0.0)
+
+    return _reported(v, process)
+
+
+def _requests(v: Views) -> DataFrame:
+    return description_requests(materialize(_route(v), "routed"), v.text_page_objects)
+
+
+_ANSWER = ["doc_stem", "page_num", "kind", "index", "image_ref", "description", "error", "attempts"]
+
+
+def _described(v: Views) -> DataFrame:
+    return _as_text(describe_images(_requests(v), _describer(), base_delay=0.0).select(*_ANSWER), "index")
+
+
+def _described_once(v: Views) -> DataFrame:
+    """Answers of a second run, after a first one over every other page, by another model of the same name."""
+    store = new_folder(v.spark, "answers")
+    asked = _requests(v)
+    first = answers.describe_once(asked.where("page_num % 2 = 0"), _describer(), store, "m", base_delay=0.0)
+    first.write.format("noop").mode("overwrite").save()
+    plain = _describer()
+    found = answers.describe_once(asked, lambda row: "again " + plain(row), store, "m", base_delay=0.0)
+    return _as_text(found.select(*_ANSWER), "index")
+
+
+def _folded_ledger(v: Views) -> DataFrame:
+    base = new_folder(v.spark, "ledger")
+    part = F.crc32(F.concat("job_id", F.lit(":"), F.col("seq").cast("string"))) % 4
+    for number in range(4):
+        ledger.fold_updates(v.job_events.where(part == number), base, number, every=2)
+    return ledger.read_ledger(v.spark, base)
+
+
+def _indexed(v: Views) -> str:
+    base = new_folder(v.spark, "corpus")
+    indexed.index_corpus(v.markdown_docs, base, blocks=16)
+    return base
+
+
+def _replaced_indexed(v: Views) -> DataFrame:
+    base = _indexed(v)
+    indexed.replace_indexed(v.spark, base, "acme manual", "Guide $1 & co")
+    return indexed.read_indexed(v.spark, base)
+
+
+_STORED = {
+    "markdown": "doc_stem string, markdown string",
+    "images_metadata": "doc_stem string, page int, index int, image_file string, type string, width int, height int, description string",
+    "trash": schemas.DETECTIONS,
+}
+
+
+def _stored(v: Views) -> str:
+    """All documents saved, then half of them again with other contents, then that half as it was."""
+    base = new_folder(v.spark, "stored")
+    half = F.crc32("doc_stem") % 2 == 0
+    tables = {"markdown": v.markdown_docs, "images_metadata": v.image_catalog, "trash": _detections(v)}
+    stored.save_documents(tables, base, buckets=8)
+    other = v.markdown_docs.where(half).withColumn("markdown", F.lit("other"))
+    stored.save_documents(
+        {"markdown": other, "images_metadata": v.image_catalog.where(half & (F.col("page") < 9)), "trash": _detections(v).where("false")},
+        base,
+        buckets=8,
+    )
+    stored.save_documents({n: t.where(half) for n, t in tables.items()}, base, buckets=8)
+    return base
+
+
+def _saved(v: Views) -> DataFrame:
+    base = _stored(v)
+    of = lambda name: stored.read_stored(v.spark, base, name, _STORED[name])
+    return _counted(of("markdown"), of("images_metadata"), of("trash"))
+
+
+def _purged(v: Views) -> DataFrame:
+    base = _stored(v)
+    stored.purge_stored(v.spark, base, _STORED, _to_purge(v), buckets=8)
+    return stored.read_stored(v.spark, base, "images_metadata", _STORED["images_metadata"]).drop("bucket")
+
+
+def _purged_results(v: Views) -> DataFrame:
+    base = new_folder(v.spark, "results")
+    sinks.write_results(v.markdown_docs, v.image_catalog, _detections(v), base)
+    sinks.purge_results(_to_purge(v), base)
+    return read_results(v.spark, base).documents
 
 
 _QUERIES: dict[str, Callable[[Views], DataFrame]] = {
@@ -298,7 +472,23 @@ _QUERIES: dict[str, Callable[[Views], DataFrame]] = {
     "write_results": _written,
     "export_bundle": _exported,
     "publish_files": _published,
-    "pages_from_documents": _extracted,
+    "pages_from_documents": lambda v: pages_from_documents(_files(v), _lines()).select(*_PAGE),
+    "pages_from_documents_range": lambda v: pages_from_documents(_files(v), _lines(), 1, 4).select(*_PAGE),
+    "pages_in_ranges": lambda v: extract.pages_in_ranges(_files(v), _line_reader(), range_pages=8).select(*_PAGE),
+    "pages_of_listed_files": _listed_pages,
+    "ingest_files": _ingested,
+    "stream_ingest": _stream_ingest,
+    "describe_images": _described,
+    "describe_once": _described_once,
+    "reported_run": _reported_text,
+    "reported_vision_run": _reported_vision,
+    "fold_ledger": _folded_ledger,
+    "search_indexed": lambda v: indexed.search_indexed(v.spark, _indexed(v), "ACME manua"),
+    "replace_indexed": _replaced_indexed,
+    "save_documents": _saved,
+    "purge_stored": _purged,
+    "purge_results": _purged_results,
+    "stream_terminal_keyed": _stream_terminal_keyed,
     "publish_payloads": lambda v: sinks.publish_payloads(
         v.markdown_docs, "flowise", base_url="http://host/", store_id="s1"
     ),

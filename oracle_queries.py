@@ -264,6 +264,28 @@ chunks AS (SELECT doc_stem, CAST(part_no AS INT) AS part_no, CAST(k AS INT) AS p
   FROM (SELECT *, unnest(range(1 + greatest(length(part) - {overlap} - 1, 0) // {size - overlap})) AS k FROM parts WHERE regexp_matches(part, '[^\\s]')))"""
 
 
+def lines_of_texts(first: int = 0, stop: int | None = None) -> str:
+    """The lines of each text as pages."""
+    last = "len(l)" if stop is None else f"least(len(l), {stop})"
+    return f"""SELECT doc_stem, CAST(n AS INT) AS page_num, l[n + 1] AS text
+  FROM (SELECT doc_stem, l, unnest(range({first}, {last})) AS n FROM (SELECT 'f' || doc_id AS doc_stem, string_split(text, {NL}) AS l FROM documents))"""
+
+
+def answered(again: str) -> str:
+    """Answers to all requests; ``again`` is what an odd page's answer begins with, and whether stored ones count no attempt."""
+    failed = "ref LIKE '%13_%'"
+    tries = "CASE WHEN page_num % 2 = 0 THEN 0 ELSE 1 END" if again else "1"
+    start = f"CASE WHEN page_num % 2 = 0 THEN '' ELSE '{again}' END || " if again else ""
+    return f"""SELECT doc_stem, page_num, kind, CAST("index" AS VARCHAR) AS "index", ref AS image_ref,
+  CASE WHEN NOT {failed} THEN {start}'seen ' || ref END AS description, CASE WHEN {failed} THEN 'failed after 3 attempts: no answer' END AS error,
+  CAST(CASE WHEN {failed} THEN 3 ELSE {tries} END AS INT) AS attempts FROM refs"""
+
+
+REPORTED = """SELECT p.doc_stem AS job_id, CAST(3 * max(page_num) + 4 AS BIGINT) AS seq, CAST(0 AS INT) AS current_page, CAST(0 AS INT) AS total_pages,
+  'complete' AS phase, CAST(coalesce(any_value(images), 0) AS BIGINT) AS images_processed
+FROM page_texts p LEFT JOIN (SELECT doc_stem, count(*) AS images FROM {seen} GROUP BY doc_stem) i ON p.doc_stem = i.doc_stem GROUP BY p.doc_stem"""
+
+
 def _providers() -> str:
     return ", ".join(f"('{n}', '{m}', CAST({c} AS DOUBLE))" for n, _, m, _, c in fixed.PROVIDERS)
 
@@ -327,7 +349,11 @@ def statements() -> dict[str, str]:
     found = f"{pages}, {DETECTED}"
     pipeline = f"{pages},{cleaned()},{repeated('cleaned')},{stripped('cleaned')}"
     both = duckdb_views("markdown_docs", "image_catalog")
-    return {
+    found_again = {
+        "search_indexed": "search_corpus", "replace_indexed": "replace_corpus", "save_documents": "write_results",
+        "purge_stored": "purge_documents", "stream_terminal_keyed": "stream_terminal",
+    }
+    made = {
         "page_range": f"{pages} SELECT * FROM page_texts WHERE page_num >= 5 AND page_num < 20",
         "cleanup_text": f"{pages},{cleaned()} SELECT doc_stem, page_num, text FROM cleaned",
         "flag_table_pages": f"{pages},{TABLE_LINES.replace('TSRC', 'page_texts')} SELECT * FROM tflag",
@@ -365,18 +391,28 @@ def statements() -> dict[str, str]:
         "search_corpus": f"{markdown}, md AS (SELECT * FROM markdown_docs),{SEARCH.replace('the manual', 'acme manua')}",
         "replace_corpus": f"{markdown} SELECT doc_stem, regexp_replace(markdown, 'acme manual', 'Guide $1 & co', 'gi') AS markdown FROM markdown_docs",
         "chunk_documents": f"{markdown},{chunks(1000, 200)} SELECT * FROM chunks",
-        "chunk_image_integrity": f"{markdown},{chunks(500, 100)} SELECT * FROM chunks WHERE regexp_matches(content, '\\[IMAGE:[^\\]\\n]*\\]\\s*$')",
+        "chunk_image_integrity": f"{markdown},{chunks(500, 100)} SELECT * FROM chunks WHERE regexp_matches(content, '\\[IMAGE:[^\\]\\n]*(?:$|\\]\\s*(?:$|\\[IMAGE:))')",
         "text_only_failed_pages": f"{pages} SELECT doc_stem, count(*) FILTER (WHERE page_num % 13 = 12) AS failed FROM page_texts GROUP BY doc_stem",
         "long_documents": f"{md},{SECTIONS} SELECT * FROM sections",
         "edit_long_documents": f"{duckdb_views('markdown_docs', 'section_edits')},{MD_LINES},{SECTIONS},{EDITED}",
         "publish_anythingllm": f"{markdown} SELECT doc_stem, 'http://host/api/v1/document/raw-text' AS url, CAST(json_object('textContent', markdown, 'metadata', json_object('title', doc_stem), 'addToWorkspaces', json_array('w1')) AS VARCHAR) AS body FROM markdown_docs",
         "write_results": f"{both},{DETECTED} SELECT m.doc_stem, markdown, coalesce(images, 0) AS images, coalesce(detections, 0) AS detections FROM markdown_docs m LEFT JOIN (SELECT doc_stem, count(*) AS images FROM image_catalog GROUP BY doc_stem) c USING (doc_stem) LEFT JOIN (SELECT doc_stem, count(*) AS detections FROM found GROUP BY doc_stem) d USING (doc_stem)",
-        "export_bundle": f"{duckdb_views('jobs', 'image_catalog')} SELECT doc_stem, image_file FROM image_catalog WHERE doc_stem IN (SELECT replace(filename, '.pdf', '') FROM jobs WHERE status = 'completed')",
+        "export_bundle": f"{duckdb_views('jobs', 'markdown_docs', 'image_catalog')} SELECT m.doc_stem, markdown, CAST(coalesce(k, 0) AS INT) AS \"rows\", coalesce(files, '') AS files FROM markdown_docs m LEFT JOIN (SELECT doc_stem, count(*) AS k, string_agg(image_file, {NL} ORDER BY image_file) AS files FROM image_catalog GROUP BY doc_stem) c ON m.doc_stem = c.doc_stem WHERE m.doc_stem IN (SELECT replace(filename, '.pdf', '') FROM jobs WHERE status = 'completed')",
         "publish_files": f"{markdown} SELECT doc_stem, markdown FROM markdown_docs",
-        "pages_from_documents": "SELECT 'f' || doc_id AS doc_stem, CAST(n AS INT) AS page_num, l[n + 1] AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) d, (SELECT unnest([1, 2, 3]) AS n) k WHERE n < len(l)",
+        "pages_from_documents": lines_of_texts(),
+        "pages_from_documents_range": lines_of_texts(1, 4),
+        "pages_in_ranges": lines_of_texts(),
+        "pages_of_listed_files": lines_of_texts(),
+        "ingest_files": "SELECT 'f' || doc_id AS doc_stem, strlen(text) AS length, sha256(text) AS sha256, CAST(NULL AS VARCHAR) AS error FROM documents",
+        "stream_ingest": f"WITH page_texts AS ({lines_of_texts()}),{cleaned()},{repeated('cleaned')},{stripped('cleaned')} SELECT doc_stem, markdown FROM ({text_document('stripped', 'en')})",
+        "describe_images": f"{VISION_VIEWS} {answered('')}",
+        "describe_once": f"{VISION_VIEWS} {answered('again ')}",
+        "reported_run": f"{pages} {REPORTED.replace('{seen}', '(SELECT doc_stem FROM page_texts WHERE false)')}",
+        "reported_vision_run": f"{VISION_VIEWS} {REPORTED.replace('{seen}', '(SELECT doc_stem FROM refs WHERE ref NOT LIKE ' + repr('%13_%') + ')')}",
         "publish_payloads": f"{markdown} SELECT doc_stem, 'http://host/api/v1/document-store/upsert/s1' AS url, CAST(json_object('docLoaders', json_array(json_object('loader', 'plainText', 'loaderConfig', json_object('text', markdown)))) AS VARCHAR) AS body FROM markdown_docs",
         "resolve_jobs": f"{ledger},{RESOLVED}",
         "latest_job_state": f"{duckdb_views('job_events')},{JOB_STATE}",
+        "fold_ledger": f"{duckdb_views('job_events')},{JOB_STATE}",
         "job_dashboard": f"{ledger} SELECT count(*) AS total, count(*) FILTER (WHERE status = 'completed') AS completed, count(*) FILTER (WHERE status = 'processing') AS processing, count(*) FILTER (WHERE status = 'failed') AS failed, round(avg(duration_seconds), 6) AS avg_duration FROM jobs",
         "recent_jobs": f"{ledger} SELECT id, filename, status, created_at FROM jobs ORDER BY created_at DESC, id LIMIT 5",
         "notification_feed": f"{ledger} {NOTICES}",
@@ -385,3 +421,5 @@ def statements() -> dict[str, str]:
         "stream_progress": f"{duckdb_views('progress_events')} SELECT job_id, max(seq) AS seq, arg_max(current_page, seq) AS current_page, arg_max(total_pages, seq) AS total_pages, arg_max(phase, seq) AS phase, CAST(sum(new_images) AS BIGINT) AS images_processed FROM progress_events GROUP BY job_id",
         "stream_terminal": f"{duckdb_views('progress_events')} SELECT p.* FROM progress_events p LEFT JOIN (SELECT job_id, min(seq) AS e FROM progress_events WHERE phase IN ('complete', 'error', 'cancelled') GROUP BY job_id) t USING (job_id) WHERE e IS NULL OR seq <= e",
     }
+    made["purge_results"] = f"{duckdb_views('markdown_docs')} SELECT * FROM markdown_docs WHERE doc_stem NOT IN (SELECT doc_stem FROM page_texts WHERE page_num = 49 AND length(text) % 2 = 0)"
+    return made | {name: made[same] for name, same in found_again.items()}

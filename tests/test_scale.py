@@ -33,7 +33,9 @@ def no_broadcast(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
-STREAMS = {"stream_progress", "stream_terminal"}
+STREAMS = {"stream_progress", "stream_terminal", "stream_terminal_keyed", "stream_ingest"}
+# Sides with a stated bound: the six providers, one row a block of a stored corpus.
+BOUNDED = {"resolve_jobs", "search_indexed"}
 CORE = {n for n in spark_entry.queries() if not re.match(r"op\d+_|pipeline$", n)}
 
 
@@ -42,7 +44,7 @@ def test_no_query_pairs_all_rows(no_broadcast, name):
     text = plan(spark_entry.queries()[name](no_broadcast, FOLDER))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     assert "SinglePartition" not in text or name in ("job_dashboard", "recent_jobs")
-    if name != "resolve_jobs":
+    if name not in BOUNDED:
         assert "BroadcastHashJoin" not in text
 
 
