@@ -28,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ from quire.session import materialize
 
 BATCH_BYTES = 1 << 19
 BLOCK_BYTES = 8 << 20
-CACHE_PIECES = 1 << 17
+CACHE_PIECES = 1 << 18
 LONGEST_REMEMBERED = 64
 # Before the cut stands no white space of any reading, so that a run of it is never cut; a last space
 # stays with its piece, since B would give nothing for it alone.
@@ -124,27 +125,47 @@ class Pieces:
         self.known: dict[str, int] = {}
         self.ids = [np.zeros(0, np.int32), np.zeros(0, np.int32)]
         self.ends = [np.zeros(1, np.int64), np.zeros(1, np.int64)]
-        self.right = np.zeros(0, bool)
+        self.right, self.uses = np.zeros(0, bool), np.zeros(0, np.int64)
+
+    def _thin(self) -> None:
+        """Keep the pieces that came most often, at most half as many as may be kept."""
+        order = np.argsort(-self.uses, kind="stable")[: CACHE_PIECES // 2]
+        kept = np.sort(order[self.uses[order] > 1])
+        names = list(self.known)
+        self.known = {names[k]: i for i, k in enumerate(kept.tolist())}
+        for side in (0, 1):
+            starts, sizes = self.ends[side][kept], np.diff(self.ends[side])[kept]
+            ends = np.cumsum(sizes)
+            self.ids[side] = self.ids[side][np.repeat(starts - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
+            self.ends[side] = np.r_[0, ends]
+        self.right, self.uses = self.right[kept], self.uses[kept] // 2
 
     def _learn(self, pieces: list[str]) -> None:
-        a = [e.ids for e in self.a.encode_batch_fast(pieces, add_special_tokens=False)]
-        b = self.b.encode([p[1:] for p in pieces], num_threads=1)
-        right = [
-            b"".join(map(self.a_bytes.__getitem__, x)) == b"".join(map(self.b_bytes.__getitem__, y)) == p.encode()
-            for p, x, y in zip(pieces, a, b)
+        found = [
+            [e.ids for e in self.a.encode_batch_fast(pieces, add_special_tokens=False)],
+            self.b.encode([p[1:] for p in pieces], num_threads=1),
         ]
-        self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces))))
-        self.right = np.concatenate([self.right, right])
-        for side, own in enumerate((a, b)):
-            flat = np.fromiter((i for ids in own for i in ids), np.int32)
+        raw = [p.encode() for p in pieces]
+        sizes, joined = np.fromiter(map(len, raw), np.int64, len(raw)), b"".join(raw)
+        right = np.ones(len(pieces), bool)
+        for side, own in enumerate(found):
+            names = (self.a_bytes, self.b_bytes)[side]
             counts = np.fromiter(map(len, own), np.int64, len(own))
+            ends = np.cumsum(counts)
+            flat = np.fromiter(chain.from_iterable(own), np.int32, int(counts.sum()))
+            lengths = np.diff(np.r_[0, np.cumsum(self.lengths[side][flat])][np.r_[0, ends]])
+            if (lengths != sizes).any() or b"".join(map(names.__getitem__, flat.tolist())) != joined:
+                right &= [b"".join(map(names.__getitem__, ids)) == r for ids, r in zip(own, raw)]
             self.ids[side] = np.concatenate([self.ids[side], flat])
-            self.ends[side] = np.concatenate([self.ends[side], self.ends[side][-1] + np.cumsum(counts)])
+            self.ends[side] = np.concatenate([self.ends[side], self.ends[side][-1] + ends])
+        self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces))))
+        self.right = np.concatenate([self.right, right])
+        self.uses = np.concatenate([self.uses, np.zeros(len(pieces), np.int64)])
 
     def __call__(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of all texts and the number of each text, for A and for B; none for a text not given back."""
         if len(self.known) > CACHE_PIECES:
-            self._forget()
+            self._thin()
         cut = (lambda t: [t]) if self.whole else _CUT.split
         parts = [cut(" " + t) if t else [] for t in texts]
         flat = [p for own in parts for p in own]
@@ -152,6 +173,7 @@ class Pieces:
         if new:
             self._learn(new)
         place = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        self.uses += np.bincount(place, minlength=len(self.uses))
         owner = np.repeat(np.arange(len(texts)), np.fromiter(map(len, parts), np.int64, len(parts)))
         bad = np.bincount(owner, ~self.right[place], len(texts)) > 0
         place, owner = place[~bad[owner]], owner[~bad[owner]]

@@ -145,3 +145,15 @@ def test_query(spark, brute):
             r = got[i]
             assert (r.n_a, r.n_b, r.n_links) == (len(a), len(b), len(links))
             assert r.groups_sha256 == (hashlib.sha256(groups.encode()).hexdigest() if groups else "")
+
+
+def test_pieces_may_be_dropped_and_met_again(pieces, monkeypatch):
+    fresh = align.Pieces(A_FILE, B_FILE)
+    monkeypatch.setattr(align, "CACHE_PIECES", 8)
+    rng = random.Random(4)
+    for _ in range(12):
+        texts = [" ".join(rng.choices(["the", "and", "one,", "x▁y", "zeta", "Ωmega"], k=6)) + f" {rng.random()}" for _ in range(3)]
+        want, got = pieces(texts), fresh(texts)
+        for side in (0, 1):
+            assert got[0][side].tolist() == want[0][side].tolist() and got[1][side].tolist() == want[1][side].tolist()
+        assert len(fresh.known) == len(fresh.right) == len(fresh.uses) == len(fresh.ends[0]) - 1
