@@ -13,8 +13,8 @@ bounded size. A block sends each of its distinct pairs once, with the number of
 gets the corpus' count back once, however often the pair stands in it. The links themselves wait in
 a written table, as numbers of pairs within their block.
 
-Encoding. A text is cut before a space that follows something else than white space; neither tokenizer merges
-over such a place, and pieces met before are remembered. Tokenizer A, of the tokenizers library, reads a space and the
+Encoding. A text is cut where neither tokenizer merges over the place (``piece_pattern``), and pieces met before are
+remembered. Tokenizer A, of the tokenizers library, reads a space and the
 text; B, of sentencepiece, puts that space itself. B's pieces may hold a space at their start alone;
 for a model with others, texts are encoded whole.
 
@@ -41,11 +41,25 @@ from quire.session import materialize
 
 BATCH_BYTES = 1 << 19
 BLOCK_BYTES = 8 << 20
-CACHE_PIECES = 1 << 18
+CACHE_PIECES = 1 << 17
 LONGEST_REMEMBERED = 64
-# Before the cut stands no white space of any reading, so that a run of it is never cut; a last space
-# stays with its piece, since B would give nothing for it alone.
-_CUT = re.compile(r"(?<=[^\s\u180e])(?= .)", re.S)
+_LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"  # letters by every version of Unicode
+_ENDS = ",.;:!?|\n"  # what may stand after a word
+_WORD = re.compile(f" ?[{_LATIN}]+")
+
+
+def piece_pattern(ends: str) -> re.Pattern:
+    """Pieces of a text, from cut to cut: a word and what is no plain word up to the next cut.
+
+    A cut is before a space that is not the last character and follows something else than white space, and between a
+    letter and one of ``ends``. Before the first kind stands no white space of any reading, so that a run of it is never
+    cut; a last space stays with its piece, since B would give nothing for it alone.
+    """
+    between = f"(?<=[{_LATIN}])[{re.escape(ends)}]" if ends else "(?!)"
+    after = f"[{re.escape(ends)}]| .|\\Z" if ends else " .|\\Z"
+    return re.compile(
+        f" ?[{_LATIN}]+(?={after})|.(?:(?!(?<=[^\\s\u180e]) .|{between}).)*", re.S
+    )
 
 
 def gallop(short: np.ndarray, long: np.ndarray) -> np.ndarray:
@@ -118,6 +132,12 @@ class Pieces:
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)
         ]
         self.whole = any("▁" in p.lstrip("▁") for p in names)
+        # Cut only where no piece of B spans the cut.
+        inside = "\n".join(names) if not self.whole else ""
+        ends = "".join(c for c in _ENDS if not re.search(f"[{_LATIN}]{re.escape(c)}.", inside.replace("\n", "\n\n")))
+        self.pieces = piece_pattern(ends).findall
+        self.model, self.letters = self.a.model, byte_letters()
+        self.carrier = len(self.b.encode("a"))
         self.lengths = [np.array([len(b) for b in own], np.int64) for own in (self.a_bytes, self.b_bytes)]
         self._forget()
 
@@ -141,10 +161,18 @@ class Pieces:
         self.right, self.uses = self.right[kept], self.uses[kept] // 2
 
     def _learn(self, pieces: list[str]) -> None:
-        found = [
-            [e.ids for e in self.a.encode_batch_fast(pieces, add_special_tokens=False)],
-            self.b.encode([p[1:] for p in pieces], num_threads=1),
+        # A plain word is one pre-token of A, which its model takes in byte letters.
+        plain = [_WORD.fullmatch(p) is not None for p in pieces]
+        other = iter(self.a.encode_batch_fast([p for p, w in zip(pieces, plain) if not w], add_special_tokens=False))
+        letters, tokenize = self.letters, self.model.tokenize
+        a = [
+            [t.id for t in tokenize(p.encode().decode("latin-1").translate(letters))] if w else next(other).ids
+            for p, w in zip(pieces, plain)
         ]
+        # B puts a space before what it is given; a piece without one comes behind a letter, which it does not join.
+        spaced = [p[0] == " " for p in pieces]
+        b = self.b.encode([p[1:] if s else "a" + p for p, s in zip(pieces, spaced)], num_threads=1)
+        found = [a, [ids if s else ids[self.carrier :] for ids, s in zip(b, spaced)]]
         raw = [p.encode() for p in pieces]
         sizes, joined = np.fromiter(map(len, raw), np.int64, len(raw)), b"".join(raw)
         right = np.ones(len(pieces), bool)
@@ -166,13 +194,15 @@ class Pieces:
         """Ids of all texts and the number of each text, for A and for B; none for a text not given back."""
         if len(self.known) > CACHE_PIECES:
             self._thin()
-        cut = (lambda t: [t]) if self.whole else _CUT.split
+        cut = (lambda t: [t]) if self.whole else self.pieces
         parts = [cut(" " + t) if t else [] for t in texts]
-        flat = [p for own in parts for p in own]
-        new = list({p for p in flat if p not in self.known})
+        flat = list(chain.from_iterable(parts))
+        found = list(map(self.known.get, flat))
+        new = list({p for p, i in zip(flat, found) if i is None})
         if new:
             self._learn(new)
-        place = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+            found = [self.known[p] if i is None else i for p, i in zip(flat, found)]
+        place = np.array(found, np.int64)
         self.uses += np.bincount(place, minlength=len(self.uses))
         owner = np.repeat(np.arange(len(texts)), np.fromiter(map(len, parts), np.int64, len(parts)))
         bad = np.bincount(owner, ~self.right[place], len(texts)) > 0

@@ -157,3 +157,16 @@ def test_pieces_may_be_dropped_and_met_again(pieces, monkeypatch):
         for side in (0, 1):
             assert got[0][side].tolist() == want[0][side].tolist() and got[1][side].tolist() == want[1][side].tolist()
         assert len(fresh.known) == len(fresh.right) == len(fresh.uses) == len(fresh.ends[0]) - 1
+
+
+def test_pieces_end_where_they_may():
+    import re
+
+    ends, letters = ",.;:!?|\n", align._LATIN
+    pattern = align.piece_pattern(ends)
+    cut = re.compile(rf"(?<=[^\s᠎])(?= .)|(?<=[{letters}])(?=[{re.escape(ends)}])", re.S)
+    rng = random.Random(2)
+    pool = list("abé, .\n|;1²'\t　᠎!?-") + ["  ", "word", " word", ", "]
+    for _ in range(3000):
+        text = " " + "".join(rng.choices(pool, k=rng.randrange(1, 25)))
+        assert pattern.findall(text) == cut.split(text)
