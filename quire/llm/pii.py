@@ -3,7 +3,8 @@
 Base. Four forms (``KINDS``), leftmost and not overlapping within a kind, then checked: parts of
 an address up to 255, the check digit of a card, the digits of a phone number. The patterns are
 written so that no text makes them slow: a run of characters is entered at its start or where
-the last match ended, and repeated groups do not backtrack.
+the last match ended, and repeated groups do not backtrack. Places, neighbours and overlaps come from
+running sums and maxima over a text's matches, so time grows with the text, whatever it holds.
 
 Method. Base spans are the seeds. A mention is a seed, or an identifier-like token (``MIN_DIGITS``
 digits or an at sign) or spaced digit groups (in the form of a card or phone number, unchecked and
@@ -26,6 +27,8 @@ Columns pass through; those named like an output are replaced.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +41,9 @@ SUPPORT = 3
 PATTERN_CONFIDENCE = 0.8
 ACCEPT = 0.9
 BROADCAST_SPANS = 100_000  # of at most 100 bytes each
-_CONTEXT = 40  # characters searched for the neighbouring word
+_STEP = 256  # values that are added up together
+_MANY = 64  # spans of a text that is redacted by its characters
+_FAR = 1 << 30
 
 _LOCAL = "A-Za-z0-9._%+-"
 PATTERNS = {
@@ -54,28 +59,110 @@ _HINTS = {
     "card": lambda text: text.rlike(r"[0-9](?:[ -]?[0-9]){13}"),
     "phone": lambda text: text.rlike(r"\+[0-9]"),
 }
+_WHITE = r"[\x20\x09-\x0D]"
 _TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 _GROUPS = (PATTERNS["card"], r"\+?[0-9][ ().0-9-]+[0-9]")
 _CORE = r"[0-9A-Za-z@+](?:.*[0-9A-Za-z])?"
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """Array of (start, end, value) of all matches, in code points."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    parts = F.transform(
-        found, lambda value, i: F.struct(F.char_length(gaps[i]).alias("gap"), value.alias("value"))
-    )
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once; in array functions it would be for each element."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def prefixes(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """For each of an array's whole numbers, what it and all before it combine to (sums, maxima).
+
+    An array grows by copying, so runs of ``_STEP`` values are done apart and joined by what each comes to.
+    """
+    empty = F.array().cast("array<int>")
+
+    def grown(done: Column, value: Column, kept: Column) -> Column:
+        return F.struct(value.cast("int").alias("last"), F.concat(done["all"], F.array(kept.cast("int"))).alias("all"))
+
+    def run(part: Column) -> Column:
+        first = F.struct(F.lit(None).cast("int").alias("last"), empty.alias("all"))
+
+        def step(done: Column, value: Column) -> Column:
+            now = F.coalesce(combine(done["last"], value), value)
+            return grown(done, now, now)
+
+        return F.aggregate(part, first, step)
+
+    def joined(runs: Column) -> Column:
+        first = F.struct(F.lit(None).cast("int").alias("last"), empty.alias("all"))
+
+        def step(done: Column, part: Column) -> Column:
+            return grown(done, F.coalesce(combine(done["last"], part["last"]), part["last"]), done["last"])
+
+        before = F.aggregate(runs, first, step, lambda done: done["all"])
+        return F.flatten(
+            F.zip_with(runs, before, lambda r, at: F.transform(r["all"], lambda v: F.coalesce(combine(at, v), v)))
+        )
+
+    def whole(v: Column) -> Column:
+        last = F.greatest(F.ceil(F.size(v) / F.lit(_STEP)).cast("int") - 1, F.lit(0))
+        parts = F.transform(F.sequence(F.lit(0), last), lambda c: F.slice(v, c * _STEP + 1, F.lit(_STEP)))
+        return let(F.transform(parts, run), joined)
+
+    return let(values, whole)
+
+
+def _sum(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def _largest(a: Column, b: Column) -> Column:
+    return F.when(a >= b, a).when(b > a, b)  # null if either is
+
 
-    def step(done: Column, part: Column) -> Column:
-        start = done["at"] + part["gap"]
-        end = start + F.char_length(part["value"])
-        span = F.struct(start.alias("start"), end.alias("end"), part["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(done["spans"], F.array(span)).alias("spans"))
+_MATCHES = "array<struct<start:int,end:int,value:string,left:string,right:string>>"
 
-    start = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
-    return F.aggregate(parts, start, step, lambda done: done["spans"])
+
+def matches(text: Column, pattern: str, context: bool = False) -> Column:
+    """Array of (start, end, value, left, right) of all matches, in code points.
+
+    With ``context``, ``left`` and ``right`` are the words beside a match that white space sets apart from it; else null.
+    """
+    runs = lambda piece: F.regexp_count(piece, F.lit(_WHITE + "+"))
+
+    def placed(found: Column, gaps: Column) -> Column:
+        pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, v: F.array(F.char_length(g), F.char_length(v)))
+
+        def spans(at: Column, words: Column | None, seen: Column | None) -> Column:
+            def one(value: Column, i: Column) -> Column:
+                none = F.lit(None).cast("string")
+                left = right = none
+                if words is not None:
+                    # White space before a match tells how many words are before it.
+                    left = F.when(F.get(gaps, i).rlike(_WHITE + r"\z"), F.get(words, F.get(seen, i * 2) - 1))
+                    right = F.when(F.get(gaps, i + 1).rlike(r"\A" + _WHITE), F.get(words, F.get(seen, i * 2 + 1) + 1))
+                return F.struct(
+                    F.get(at, i * 2).alias("start"),
+                    F.get(at, i * 2 + 1).alias("end"),
+                    value.alias("value"),
+                    F.lower(left).alias("left"),
+                    F.lower(right).alias("right"),
+                )
+
+            return F.transform(found, one)
+
+        at = prefixes(F.flatten(pairs), _sum)
+        if not context:
+            return let(at, lambda p: spans(p, None, None))
+        white = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, v: F.array(runs(g), runs(v)))
+        seen = prefixes(F.flatten(white), _sum)
+        words = F.split(text, _WHITE + "+", -1)
+        return let(at, lambda p: let(words, lambda w: let(seen, lambda n: spans(p, w, n))))
+
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    # The text is cut at the matches only where there are any.
+    return let(
+        found,
+        lambda f: F.when(F.size(f) > 0, let(F.split(text, pattern, -1), lambda g: placed(f, g))).otherwise(
+            F.array().cast(_MATCHES)
+        ),
+    )
 
 
 def _digits(value: Column) -> Column:
@@ -110,16 +197,20 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-_SPANS = "array<struct<start:int,rank:int,end:int,value:string>>"
+_SPANS = "array<struct<start:int,rank:int,end:int,value:string,left:string,right:string>>"
 
 
-def base_spans(text: Column) -> Column:
-    """All base spans as (start, rank of the kind, end, value), in that order."""
+def _span(m: Column, rank: int) -> Column:
+    fields = [m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end")]
+    return F.struct(*fields, *[m[c].alias(c) for c in ("value", "left", "right")])
+
+
+def base_spans(text: Column, context: bool = False) -> Column:
+    """All base spans as (start, rank of the kind, end, value, left, right), in that order."""
 
     def of_kind(rank: int, kind: str) -> Column:
-        found = F.filter(matches(text, PATTERNS[kind]), lambda m: _valid(kind, m["value"]))
-        fields = lambda m: [m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end")]
-        ranked = F.transform(found, lambda m: F.struct(*fields(m), m["value"].alias("value")))
+        found = F.filter(matches(text, PATTERNS[kind], context), lambda m: _valid(kind, m["value"]))
+        ranked = F.transform(found, lambda m: _span(m, rank))
         return F.when(_HINTS[kind](text), ranked).otherwise(F.array().cast(_SPANS))
 
     by_kind = [of_kind(rank, kind) for rank, kind in enumerate(KINDS)]
@@ -140,18 +231,22 @@ def _tokens(text: Column) -> Column:
 
     def trimmed(m: Column) -> Column:
         core = F.regexp_extract(m["value"], _CORE, 0)
-        start = m["start"] + F.instr(m["value"], core) - 1
+        skipped = F.instr(m["value"], core) - 1
+        start = m["start"] + skipped
+        end = start + F.char_length(core)
         return F.struct(
             start.cast("int").alias("start"),
             F.lit(-1).alias("rank"),
-            (start + F.char_length(core)).cast("int").alias("end"),
+            end.cast("int").alias("end"),
             core.alias("value"),
+            F.when(skipped == 0, m["left"]).alias("left"),
+            F.when(end == m["end"], m["right"]).alias("right"),
         )
 
     def likely(m: Column) -> Column:
         return (F.char_length(_digits(m["value"])) >= MIN_DIGITS) | m["value"].contains("@")
 
-    return F.filter(F.transform(matches(text, _TOKEN), trimmed), likely)
+    return F.filter(F.transform(matches(text, _TOKEN, context=True), trimmed), likely)
 
 
 def _groups(text: Column) -> Column:
@@ -161,12 +256,33 @@ def _groups(text: Column) -> Column:
         return m["value"].contains(" ") & (F.char_length(_digits(m["value"])) >= MIN_DIGITS)
 
     def of_form(pattern: str) -> Column:
-        fields = lambda m: [m["start"].alias("start"), F.lit(-1).alias("rank"), m["end"].alias("end")]
-        found = F.filter(matches(text, pattern), spaced)
-        return F.transform(found, lambda m: F.struct(*fields(m), m["value"].alias("value")))
+        return F.transform(F.filter(matches(text, pattern, context=True), spaced), lambda m: _span(m, -1))
+
+    each = F.array_sort(F.concat(*map(of_form, _GROUPS)))
+    once = let(each, lambda e: F.filter(e, lambda m, i: (i == 0) | ~m.eqNullSafe(F.get(e, i - 1))))
+    return F.when(text.rlike("[0-9][).-]* "), once).otherwise(F.array().cast(_SPANS))
+
+
+def _free(tokens: Column, base: Column) -> Column:
+    """Tokens that no base span overlaps, by one sweep over both in order."""
 
-    each = F.array_distinct(F.concat(*map(of_form, _GROUPS)))
-    return F.when(text.rlike("[0-9][).-]* "), each).otherwise(F.array().cast(_SPANS))
+    def swept(both: Column) -> Column:
+        # At one place a base span, of higher rank, comes first.
+        ends = prefixes(F.transform(both, lambda m: F.when(m["rank"] >= 0, m["end"]).otherwise(0)), _largest)
+        starts = F.transform(F.reverse(both), lambda m: F.when(m["rank"] >= 0, -m["start"]).otherwise(-_FAR))
+        following = F.reverse(prefixes(starts, _largest))
+
+        def alone(m: Column, i: Column, e: Column, n: Column) -> Column:
+            return (m["rank"] < 0) & (F.get(e, i) <= m["start"]) & (-F.get(n, i) >= m["end"])
+
+        return let(ends, lambda e: let(following, lambda n: F.filter(both, lambda m, i: alone(m, i, e, n))))
+
+    def order(a: Column, b: Column) -> Column:
+        key = lambda m: F.struct(m["start"], -m["rank"], m["end"], m["value"])
+        return F.when(key(a) < key(b), -1).when(key(a) > key(b), 1).otherwise(0)
+
+    both = F.array_sort(F.concat(tokens, base), order)
+    return F.when(F.size(base) == 0, tokens).otherwise(let(both, swept))
 
 
 def mentions(found: DataFrame) -> DataFrame:
@@ -174,24 +290,17 @@ def mentions(found: DataFrame) -> DataFrame:
 
     ``found`` has _row, text and _base.
     """
-    near = found.where(F.col("text").rlike("[0-9@]")).withColumn(
-        "_token", F.concat(_tokens(F.col("text")), _groups(F.col("text")))
-    )
-    free = F.filter(
-        "_token",
-        lambda t: ~F.exists(F.col("_base"), lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])),
+    near = found.where(F.col("text").rlike("[0-9@]"))
+    tokens = F.concat(_tokens(F.col("text")), _groups(F.col("text")))
+    each = near.withColumn("_token", tokens).select(
+        "_row", F.explode(F.concat("_base", _free(F.col("_token"), F.col("_base")))).alias("m")
     )
-    each = near.select("_row", "text", F.explode(F.concat("_base", free)).alias("m"))
-    before = F.substring(F.col("text"), F.greatest(F.lit(1), F.col("m.start") + 1 - _CONTEXT), F.least(F.col("m.start"), F.lit(_CONTEXT)))
-    after = F.substring(F.col("text"), F.col("m.end") + 1, F.lit(_CONTEXT))
-    left = F.lower(F.regexp_extract(before, r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+$", 1))
-    right = F.lower(F.regexp_extract(after, r"^[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)", 1))
     plain = F.regexp_replace(F.lower("m.value"), r"^\+", "")
     shape = F.regexp_replace(plain, r"(?<![0-9])[0-9]{1,3}(?![0-9])", "d")
     shape = F.regexp_replace(F.regexp_replace(shape, "[0-9]", "9"), r"\p{L}+", "a")
     each = each.select(
         "_row", "m.start", "m.end", "m.rank", F.lower("m.value").alias("instance"),
-        left.alias("l"), right.alias("r"), shape.alias("s"),
+        F.coalesce("m.left", F.lit("")).alias("l"), F.coalesce("m.right", F.lit("")).alias("r"), shape.alias("s"),
     )
     made = F.array(
         F.when(F.col("l") != "", F.concat_ws("\t", F.lit("l"), "l", "s")),
@@ -238,7 +347,7 @@ def find(docs: DataFrame) -> DataFrame:
         spans, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"))
     )
     row = F.struct("doc_id", F.xxhash64(text), F.char_length(text))
-    found = kept.select(row.alias("_row"), text.alias("text"), base_spans(text).alias("_base"))
+    found = kept.select(row.alias("_row"), text.alias("text"), base_spans(text, context=True).alias("_base"))
     mentioned = materialize(mentions(found), "mentions")
     new = mentioned.where("rank < 0").drop("rank").join(bootstrap(mentioned), "instance")
     # A collected list holds the spans of one text; rows of equal id and text give the same ones.
@@ -284,5 +393,23 @@ def redact(docs: DataFrame) -> DataFrame:
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     rest = lambda done: F.concat(done["out"], F.substring(F.col("text"), done["at"] + 1, F.char_length("text")))
-    text = F.when(F.size("spans") > 0, F.aggregate("spans", start, step, rest)).otherwise(F.col("text"))
+    few = F.aggregate("spans", start, step, rest)
+
+    def by_characters(chars: Column, ends: Column) -> Column:
+        """The same for many spans: what is copied is cut from the characters."""
+
+        def piece(first: Column, stop: Column) -> Column:
+            return F.array_join(F.slice(chars, first + 1, F.greatest(stop - first, F.lit(0))), "")
+
+        def hidden(span: Column, i: Column) -> Column:
+            at = F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1))
+            fresh = span["start"] >= at
+            return F.when(fresh, F.concat(piece(at, span["start"]), names[span["rank"]])).otherwise("")
+
+        return F.concat(F.array_join(F.transform("spans", hidden), ""), piece(F.array_max(ends), F.size(chars)))
+
+    reached = prefixes(F.transform("spans", lambda span: span["end"]), _largest)
+    many = let(F.split("text", ""), lambda chars: let(reached, lambda ends: by_characters(chars, ends)))
+    hidden_text = F.when(F.size("spans") > _MANY, many).otherwise(few)
+    text = F.when(F.size("spans") > 0, hidden_text).otherwise(F.col("text"))
     return found.withColumn("text", text).select(*docs.columns)
