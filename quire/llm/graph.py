@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.session import materialize
+from quire.session import discard, materialize
 
 
 def _checksum(edges: DataFrame) -> tuple:
@@ -32,7 +32,10 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.where("a <> b").unionByName(least.withColumnRenamed("m", "b")).distinct()
-        edges = materialize(small, "component-edges")
+        older, edges = edges, materialize(small, "component-edges")
+        discard(older)
     stars = edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
     centres = edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
-    return stars.unionByName(centres)
+    found = stars.unionByName(centres)
+    found._quire_folder = edges._quire_folder  # what to discard when it is no more read
+    return found

@@ -7,7 +7,11 @@ estimate it with lower variance than two independent minima. ``rows`` values in
 a band; documents that agree on a band are candidates.
 
 Documents with equal sets are one class, represented by its smallest id, before anything is
-compared. Candidates that hang together form a cluster. Within a cluster similarity is
+compared. Documents of a block that agree on a band are tied to the first of them where they are, so of each key a
+block sends one row, however many documents share it. Candidates that hang together form a cluster. The
+sets of members are made where their texts are read: a filter of bounded size (Bloom's; ``FILTER_BITS``
+bits at most, some 1 % of other documents pass while it has ten for each member) leaves out most others, and
+the exact join that follows the rest, so no text is shuffled. Within a cluster similarity is
 counted exactly on the full sets, block against block, as sums of 0/1 matrix products; pairs
 are never listed, only what links each block together. A large cluster is first compared
 with its most central member; what links to it need not be compared with each other, and
@@ -28,18 +32,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import lists, slices, texts_of, tidy
 from quire.llm.graph import components
 from quire.llm.words import Hasher, mixed, windows
-from quire.session import materialize
+from quire.session import discard, materialize
 
 BATCH_BYTES = 1 << 20
 BLOCK_DOCS = 512
 BLOCK_SHINGLES = 1 << 19
+TIED_KEYS = 1 << 18  # band keys of a block
+SALTS = 32  # parts of a large cluster that meet its central member
+FILTER_BITS = 1 << 28
+FILTER_HASHES = 5
+_PAGE_BITS = 1 << 15  # of one of Spark's bitmaps
 _SET = ["n_shingles", "h1", "h2"]
+_OWN = ["rep", *_SET]
 _COLUMNS = 4096  # of a matrix at a time
 
 
@@ -121,27 +131,102 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     )
 
 
+def _filter_places(ids: np.ndarray, bits: int) -> np.ndarray:
+    """The places of each id in a filter of so many bits, a row a hash."""
+    values = ids.astype(np.int64).view(np.uint64)
+    rows = [mixed(values + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(bits) for k in range(1, FILTER_HASHES + 1)]
+    return np.stack(rows).astype(np.int64)
+
+
+def id_filter(ids: DataFrame, column: str) -> tuple[int, bytes]:
+    """Bits of a Bloom filter of the ids, and how many they are: ten an id, ``FILTER_BITS`` at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = _filter_places(np.asarray(batch.column(0)), bits)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(places))], ["place"])
+
+    bits = _PAGE_BITS
+    wanted = 10 * ids.count()
+    while bits < min(wanted, FILTER_BITS):
+        bits *= 2
+    places = ids.select(column).mapInArrow(run, "place long")
+    pages = places.groupBy(F.expr(f"place div {_PAGE_BITS}").alias("page")).agg(
+        F.bitmap_construct_agg(F.expr(f"place % {_PAGE_BITS}")).alias("bitmap")
+    )
+    whole = bytearray(bits // 8)
+    for row in pages.collect():  # as many pages of 4 KB as the filter has, its size bounds them
+        at = row["page"] * (_PAGE_BITS // 8)
+        whole[at : at + len(row["bitmap"])] = row["bitmap"]
+    return bits, bytes(whole)
+
+
+def may_hold(ids: np.ndarray, bits: int, data: bytes) -> np.ndarray:
+    """Whether the filter may hold each id; true for all that it was made of."""
+    flags = np.frombuffer(data, np.uint8)
+    places = _filter_places(ids, bits)
+    return ((flags[places >> 3] >> (places & 7).astype(np.uint8)) & 1).all(axis=0)
+
+
 def _full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """rep, shingles of the wanted documents (rep and the size and hashes of the set)."""
-    asked = wanted.select("rep", *[F.col(c).alias(f"want_{c}") for c in _SET])
-    # The wanted rows grow with the documents, so both sides are shuffled at every size.
-    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(asked.hint("merge"), "rep")
+    """rep, size and hashes of its set, and the set, of the wanted documents and a few others.
+
+    Rows of one id may differ: size and hashes tell which one stands for it.
+    """
+    bits, data = id_filter(wanted, "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(ascii_words=True)
         for batch in tidy(batches):
+            batch = batch.filter(pa.compute.is_valid(batch.column(0)))
+            batch = batch.filter(pa.array(may_hold(np.asarray(batch.column(0)), bits, data), pa.bool_()))
             for part in slices(batch, BATCH_BYTES):
                 sets = shingle_sets(texts_of(part), words, hasher)
-                # Rows of one id may differ; only the one that stands for it is wanted.
-                right = np.ones(len(sets), bool)
-                for name, own in zip(_SET, set_hashes(sets)):
-                    right &= np.asarray(part.column(part.schema.get_field_index(f"want_{name}"))) == own
-                some = [s for s, r in zip(sets, right) if r]
-                flat = np.concatenate(some).astype(np.int64) if some else np.zeros(0, np.int64)
-                rep = part.column(part.schema.get_field_index("rep")).filter(pa.array(right))
-                yield pa.RecordBatch.from_arrays([rep, lists(flat, np.array([len(s) for s in some], np.int64))], ["rep", "shingles"])
+                sizes, h1, h2 = set_hashes(sets)
+                flat = np.concatenate(sets).astype(np.int64) if sets else np.zeros(0, np.int64)
+                columns = [part.column(0), *(pa.array(c) for c in (sizes, h1, h2)), lists(flat, sizes)]
+                yield pa.RecordBatch.from_arrays(columns, ["rep", *_SET, "shingles"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("rep"), "text").mapInArrow(
+        run, "rep long, n_shingles long, h1 long, h2 long, shingles array<long>"
+    )
+
 
-    return rows.mapInArrow(run, "rep long, shingles array<long>")
+def _tied(first: DataFrame) -> DataFrame:
+    """key, rep, first: per block of rows, the first document of each key (rep null), and what ties the
+    others of a key to it (key null)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        rows = 0
+        for batch in batches:
+            reps = np.asarray(batch.column("rep"))
+            counts = np.asarray(pa.compute.list_value_length(batch.column("keys"))).astype(np.int64)
+            held.append((np.repeat(reps, counts), np.asarray(batch.column("keys").flatten())))
+            rows += int(counts.sum())
+            if rows >= TIED_KEYS:
+                yield _ties(held)
+                held, rows = [], 0
+        if held:
+            yield _ties(held)
+
+    def _ties(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        reps, keys = (np.concatenate(c) for c in zip(*held))
+        order = np.lexsort((reps, keys))
+        reps, keys = reps[order], keys[order]
+        opens = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.zeros(0, bool)
+        at = np.flatnonzero(opens)
+        least = reps[at][np.cumsum(opens) - 1]
+        others = np.unique(np.stack([reps, least])[:, reps != least], axis=1)
+        none = lambda n: pa.nulls(n, pa.int64())
+        columns = [
+            pa.concat_arrays([pa.array(keys[at]), none(others.shape[1])]),
+            pa.concat_arrays([none(len(at)), pa.array(others[0])]),
+            pa.concat_arrays([pa.array(reps[at]), pa.array(others[1])]),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["key", "rep", "first"])
+
+    return first.select("rep", "keys").mapInArrow(run, "key long, rep long, first long")
 
 
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -220,7 +305,7 @@ def _verified(members: DataFrame, percent: int) -> DataFrame:
 
 
 def _units(clustered: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Members by unit of comparison, and the links of large clusters to their central member."""
+    """Members by unit of comparison, and how those of large clusters stand to their central member."""
     sizes = clustered.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("docs"),
         F.sum("n_shingles").alias("shingles_in"),
@@ -229,17 +314,19 @@ def _units(clustered: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFra
     small = (F.col("docs") <= BLOCK_DOCS) & (F.col("shingles_in") <= BLOCK_SHINGLES)
     placed = clustered.join(sizes, "cluster")
     name = lambda *parts: F.concat_ws(":", *[F.col(p).cast("string") if isinstance(p, str) else p for p in parts])
-    few = placed.where(small).select("rep", F.lit(0).alias("side"), F.col("cluster").cast("string").alias("unit"))
+    few = placed.where(small).select(*_OWN, F.lit(0).alias("side"), F.col("cluster").cast("string").alias("unit"))
 
     many = placed.where(~small)
-    centre = many.select("pivot").distinct().join(sets.withColumnRenamed("shingles", "core"), F.col("pivot") == F.col("rep"))
-    centre = centre.select("pivot", "core")
-    met = many.join(sets, "rep").join(centre, "pivot")
+    centre = many.where(F.col("rep") == F.col("pivot")).join(sets.withColumnRenamed("shingles", "core"), _OWN)
+    # A large cluster meets its central member in several tasks.
+    centre = centre.select("pivot", "core", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = many.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
+    met = salted.join(sets, _OWN).join(centre, ["pivot", "salt"])
     common = F.size(F.array_intersect("shingles", "core"))
     union = F.size("shingles") + F.size("core") - common
-    met = met.select("rep", "cluster", "pivot", "n_shingles", (100 * common >= percent * union).alias("linked"))
+    met = met.select(*_OWN, "cluster", "pivot", (100 * common >= percent * union).alias("linked"))
     met = materialize(met, "cluster-stars")
-    stars = met.where(F.col("linked") & (F.col("rep") != F.col("pivot"))).select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
+    compared = met
     half_docs, half_shingles = BLOCK_DOCS // 2, BLOCK_SHINGLES // 2
     blocks = lambda flag: F.greatest(
         F.ceil(F.count(F.when(F.col("linked") == flag, 1)) / half_docs),
@@ -251,17 +338,17 @@ def _units(clustered: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFra
     met = met.withColumn("own", own.cast("int"))
     upto = lambda column: F.sequence(F.lit(0), F.col(column) - 1)
     done = met.where("linked").select("*", F.explode(upto("open_blocks")).alias("other"))
-    done = done.select("rep", F.lit(1).alias("side"), name("cluster", F.lit("d"), "other", "own").alias("unit"))
+    done = done.select(*_OWN, F.lit(1).alias("side"), name("cluster", F.lit("d"), "other", "own").alias("unit"))
     open_ = met.where("not linked")
     with_done = open_.where("done_blocks > 0").select("*", F.explode(upto("done_blocks")).alias("other"))
-    with_done = with_done.select("rep", F.lit(0).alias("side"), name("cluster", F.lit("d"), "own", "other").alias("unit"))
+    with_done = with_done.select(*_OWN, F.lit(0).alias("side"), name("cluster", F.lit("d"), "own", "other").alias("unit"))
     with_open = open_.select("*", F.explode(upto("open_blocks")).alias("other"))
     with_open = with_open.select(
-        "rep",
+        *_OWN,
         F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"),
         name("cluster", F.lit("o"), F.least("own", "other"), F.greatest("own", "other")).alias("unit"),
     )
-    return few.unionByName(done).unionByName(with_done).unionByName(with_open), stars
+    return few.unionByName(done).unionByName(with_done).unionByName(with_open), compared
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 36, rows: int = 7) -> DataFrame:
@@ -271,20 +358,35 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     # Rows of one id are one document; its largest set stands for it.
     largest = known.groupBy("doc_id").agg(F.max(F.struct(*_SET)).alias("s"))
     known = largest.select("doc_id", "s.*")
-    classes = materialize(known.groupBy(*_SET).agg(F.min("doc_id").alias("rep")), "classes")
-    first = signed.withColumnRenamed("doc_id", "rep").join(classes, ["rep", *_SET])
-    keyed = first.select("rep", F.explode(F.array_distinct("keys")).alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    near = keyed.join(buckets, "key").groupBy("rep", "first").agg(F.sum("n").alias("central"))
-    near = materialize(near, "candidates")
-    clusters = components(near.select(F.col("rep").alias("a"), F.col("first").alias("b")))
-    central = near.groupBy("rep").agg(F.sum("central").alias("central"))
+    classes = known.groupBy(*_SET).agg(F.min("doc_id").alias("rep"))
+    # Equal sets have equal keys, and both sides are dealt by the set.
+    full = signed.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
+    keys = full.groupBy(*_SET).agg(F.first("keys").alias("keys"))
+    alike = materialize(classes.join(keys, _SET), "classes")
+    classes = alike.drop("keys")
+    # One exchange: a key has a row a block there, and its rows look at each other where they are.
+    tied = _tied(alike).withColumns({"at": F.coalesce("key", "rep"), "local": F.col("key").isNull()})
+    least = F.min("first").over(Window.partitionBy("at", "local"))
+    ties = tied.select(
+        F.when(F.col("local"), F.col("rep")).otherwise(F.col("first")).alias("a"),
+        F.when(F.col("local"), F.col("first")).otherwise(least).alias("b"),
+    ).where("a <> b")
+    near = materialize(ties.groupBy("a", "b").agg(F.count(F.lit(1)).alias("bands")), "candidates")
+    clusters = components(near)
+    ends = near.select(F.explode(F.array("a", "b")).alias("rep"), "bands")
+    central = ends.groupBy("rep").agg(F.sum("bands").alias("central"))
     clustered = central.join(clusters.select(F.col("id").alias("rep"), F.col("component").alias("cluster")), "rep")
     clustered = materialize(clustered.join(classes, "rep"), "clusters")
+    discard(near)
+    discard(clusters)
     # Equal rows repeat here; they link with themselves, which changes nothing.
     sets = materialize(_full_sets(docs, clustered, words), "full-sets")
-    units, stars = _units(clustered, sets, percent)
-    found = components(_verified(units.join(sets, "rep"), percent).unionByName(stars))
+    units, compared = _units(clustered, sets, percent)
+    stars = compared.where(F.col("linked") & (F.col("rep") != F.col("pivot")))
+    stars = stars.select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
+    found = components(_verified(units.join(sets, _OWN), percent).unionByName(stars))
+    for table in (clustered, sets, compared):
+        discard(table)
     by_doc = known.select("doc_id", *_SET).join(classes, _SET)
     by_doc = by_doc.join(found.withColumnRenamed("id", "rep"), "rep", "left")
     by_doc = by_doc.select("doc_id", F.coalesce("component", "rep").alias("component"))

@@ -104,3 +104,40 @@ def test_edges(edges, empty, table):
     kept = neardup.drop_duplicates_of(table(rows))
     assert sorted(r.doc_id for r in kept.collect()) == [1, 7, 8]
     assert kept.columns == table(rows).columns
+
+
+def test_the_filter_holds_all_it_was_made_of(spark, monkeypatch):
+    for limit in (1 << 28, 1 << 15):  # also where it is too small for its ids
+        monkeypatch.setattr(neardup, "FILTER_BITS", limit)
+        ids = np.random.default_rng(limit).integers(-(1 << 62), 1 << 62, 9000)
+        bits, data = neardup.id_filter(spark.createDataFrame([(int(i),) for i in ids], "rep long"), "rep")
+        assert bits <= limit and len(data) == bits // 8
+        assert neardup.may_hold(ids, bits, data).all()
+        others = np.random.default_rng(5).integers(-(1 << 62), 1 << 62, 50_000)
+        if limit > 1 << 20:
+            assert neardup.may_hold(others, bits, data).mean() < 0.03
+    rows = corpus(4, 3, 20)
+    monkeypatch.setattr(neardup, "FILTER_BITS", 1 << 15)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = neardup.near_duplicates(frame, words=3, percent=85, bands=32, rows=8).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute(rows, 3, 85)
+
+
+def test_ties_of_blocks_meet(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "TIED_KEYS", 64)  # a few documents a block
+    rows = corpus(7, 4, 25)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = neardup.near_duplicates(frame, words=3, percent=85, bands=32, rows=8).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute(rows, 3, 85)
+
+
+def test_tables_on_the_way_are_removed(spark, table):
+    import os
+
+    from quire.session import shared_dir
+
+    base = shared_dir(spark)
+    before = set(os.listdir(base))
+    neardup.near_duplicates(table(corpus(2, 2, 10)), words=3, percent=85, bands=32, rows=8).collect()
+    left = {n.rsplit("-", 1)[0] for n in set(os.listdir(base)) - before}
+    assert left == {"signatures", "classes", "component-edges"}  # what the result reads
