@@ -70,14 +70,18 @@ def _read_pages(extractor, content: bytes) -> Iterator[tuple[int, str, str | Non
 
 
 def description_requests(
-    routed: DataFrame, objects: DataFrame, config: Config = Config(), block_width: int = 1024
+    routed: DataFrame,
+    objects: DataFrame,
+    config: Config = Config(),
+    block_width: int = 1024,
+    page_images: DataFrame | None = None,
 ) -> DataFrame:
     """Images to describe: one per rendered page or table, one per large image.
 
     Columns: ``doc_stem, page_num, kind, index, width, height, image_ref, hint``,
     ``fallback`` (the page text that replaces a failed high-quality answer) and
-    ``content`` (bytes from ``page_image`` of the pages or ``content`` of the objects,
-    where given). Images of a page are only asked about when it is routed as mixed.
+    ``content`` (bytes from ``page_image`` of ``page_images``, or else of the pages, and ``content`` of the
+    objects, where given). Images of a page are only asked about when it is routed as mixed.
     """
     strategy = F.col("strategy")
     kind = (
@@ -102,6 +106,11 @@ def description_requests(
             (F.col("page_image") if "page_image" in routed.columns else none.cast("binary")).alias("content"),
         )
     )
+    if page_images is not None:
+        # Pictures meet the pages that are asked about, and take no part in what is done with texts.
+        pictures = page_images.select("doc_stem", "page_num", F.col("page_image").alias("content"))
+        wide = page_level.drop("content").join(pictures, ["doc_stem", "page_num"], "left")
+        page_level = wide.select(*page_level.columns)
     requests = page_level
     if config.quality.lower() != "high":
         mixed = routed.where(strategy == "mixed").select("doc_stem", "page_num")

@@ -51,6 +51,28 @@ def document_blocks(pages: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFra
     return blocks.drop("n").join(totals, "doc_stem")
 
 
+def facts_by_block(facts: DataFrame, out: str, block_pages: int = BLOCK_PAGES) -> DataFrame:
+    """Rows of pages (one a page) as a map by page number: ``doc_stem, block_no`` and the map ``out``.
+
+    Joined to pages that are spread by block, it moves none of their texts. A map has at most a block's pages.
+    """
+    fields = [c for c in facts.columns if c not in ("doc_stem", "page_num", "block_no")]
+    entry = F.struct("page_num", F.struct(*fields))
+    numbered = with_block(facts.where(F.col("page_num").isNotNull()), block_pages)
+    grouped = numbered.groupBy("doc_stem", "block_no")
+    return grouped.agg(F.map_from_entries(F.collect_list(entry)).alias(out))
+
+
+def joined_facts(pages: DataFrame, facts: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFrame:
+    """``pages`` with the columns of ``facts`` (one row a page, or none: then null)."""
+    fields = [c for c in facts.columns if c not in ("doc_stem", "page_num", "block_no")]
+    if "block_no" not in pages.columns:
+        return pages.join(facts.drop("block_no"), ["doc_stem", "page_num"], "left")
+    met = pages.join(facts_by_block(facts, "_facts", block_pages), ["doc_stem", "block_no"], "left")
+    own = F.try_element_at("_facts", F.col("page_num"))
+    return met.withColumn("_own", own).select(*pages.columns, *[F.col(f"_own.{f}").alias(f) for f in fields])
+
+
 def whole_documents(docs: DataFrame) -> DataFrame:
     """``doc_stem, markdown``: the rows of each document joined by a newline.
 

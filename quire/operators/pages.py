@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import fixed, text as tx
+from quire.operators.keys import joined_facts
+from quire.schemas import BLOCK_PAGES
 
 
 @dataclass(frozen=True)
@@ -84,10 +86,13 @@ def flag_table_pages(pages: DataFrame) -> DataFrame:
     return pages.withColumn("is_table", looks_like_table(F.col("text")))
 
 
-def route_pages(pages: DataFrame, coverage: DataFrame, config: Config = Config()) -> DataFrame:
+def route_pages(
+    pages: DataFrame, coverage: DataFrame, config: Config = Config(), block_pages: int = BLOCK_PAGES
+) -> DataFrame:
     """Add ``strategy`` and ``table_candidate`` to cleaned pages.
 
-    ``coverage`` has ``doc_stem, page_num, coverage``; a page without a row has none.
+    ``coverage`` has ``doc_stem, page_num, coverage``; a page without a row has none. Pages with
+    ``block_no``, in blocks of ``block_pages``, are joined by block.
     """
     if config.quality.lower() == "high":
         return pages.withColumns(
@@ -104,7 +109,7 @@ def route_pages(pages: DataFrame, coverage: DataFrame, config: Config = Config()
         else F.lit(False)
     )
     return (
-        pages.join(coverage.select("doc_stem", "page_num", "coverage"), ["doc_stem", "page_num"], "left")
+        joined_facts(pages, coverage.select("doc_stem", "page_num", "coverage"), block_pages)
         .withColumns(
             {
                 "strategy": F.when(is_full, "full_page").otherwise("mixed"),
@@ -132,7 +137,9 @@ def failed_text(kind: str, error: Column) -> Column:
     return F.concat(F.lit(fixed.FAILED_TEXT[kind]), error, F.lit("]"))
 
 
-def assemble_pages(pages: DataFrame, descriptions: DataFrame | None = None) -> DataFrame:
+def assemble_pages(
+    pages: DataFrame, descriptions: DataFrame | None = None, block_pages: int = BLOCK_PAGES
+) -> DataFrame:
     """Body of each page: ``doc_stem, page_num, content``.
 
     ``pages`` are routed pages (or plain pages when ``descriptions`` is None, which
@@ -143,7 +150,7 @@ def assemble_pages(pages: DataFrame, descriptions: DataFrame | None = None) -> D
         content = text_body(F.col("text"))
         joined = pages
     else:
-        joined = pages.join(_page_descriptions(descriptions), ["doc_stem", "page_num"], "left")
+        joined = joined_facts(pages, _page_descriptions(descriptions), block_pages)
         content = _described_body()
     if "error" in pages.columns:
         failed = F.concat(page_heading(), F.lit("[Error: "), F.col("error"), F.lit("]\n"))

@@ -87,21 +87,24 @@ def vision_pipeline(
 ) -> Outputs:
     """Route, describe, assemble, catalogue and detect; headers are only reported.
 
-    Cleaned and routed pages are written to the shared folder once, because requests,
-    bodies and detections all read them, each with columns of its own. Answers of the
+    Texts are spread by page block once. Coverage and answers come to them as one map a block. Cleaned and routed
+    pages are written to the shared folder, in buckets by block, because requests,
+    bodies and detections all read them, each with columns of its own; page pictures are not among these. Answers of the
     model are written before anything uses them, so that the documents and the
     catalogue agree and a lost executor does not cause the calls to be made again.
     """
-    source = [c for c in ("doc_stem", "page_num", "text", "error", "page_image") if c in pages.columns]
-    cleaned = pg.cleanup_text(pages.select(*source))
+    source = [c for c in ("doc_stem", "page_num", "text", "error") if c in pages.columns]
+    spread = keys.with_block(pg.cleanup_text(pages.select(*source)), block_pages).repartition("doc_stem", "block_no")
     routed, page_counts = materialize_counted(
-        pg.route_pages(cleaned, images.image_coverage(objects), config),
+        pg.route_pages(spread, images.image_coverage(objects), config, block_pages),
         "routed",
+        by=["doc_stem", "block_no"],
         pages=F.count(F.lit(1)),
         page_errors=F.count("error") if "error" in source else F.lit(0).cast("long"),
     )
     read = readable(routed)
-    requests = enrich.description_requests(read, objects, config, block_width)
+    pictures = pages.select("doc_stem", "page_num", "page_image") if "page_image" in pages.columns else None
+    requests = enrich.description_requests(read, objects, config, block_width, pictures)
     answers = enrich.describe_images(requests, describer, config.max_retries, base_delay, prompts)
     described, image_counts = materialize_counted(
         enrich.settle_descriptions(answers),
@@ -110,7 +113,7 @@ def vision_pipeline(
         image_errors=F.count("error"),
     )
     docs = documents.assemble_documents(
-        pg.assemble_pages(routed, described),
+        pg.assemble_pages(routed, described, block_pages),
         documents.vision_head(config.provider, config.model, config.quality),
         pages,
         block_pages,

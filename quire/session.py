@@ -58,15 +58,22 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
     Used where rows must not be computed twice, such as answers of a model. The
-    table survives the loss of executors, and reads of it are column-pruned.
+    table survives the loss of executors, and reads of it are column-pruned. With ``by``, it is
+    written in as many buckets as there are shuffle partitions, so joins and groups on these columns do not move it.
     """
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, new_folder(df.sparkSession, name)
+    if by:
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        listed = f"quire_{uuid.uuid4().hex}"
+        df.write.format("parquet").bucketBy(buckets, *by).option("path", path).saveAsTable(listed)
+        table = spark.table(listed)
+    else:
+        df.write.parquet(path)
+        table = spark.read.schema(df.schema).parquet(path)
     table._quire_folder = path
     return table
 
@@ -78,8 +85,10 @@ def discard(table: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialize_counted(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict]:
+def materialize_counted(
+    df: DataFrame, name: str, by: list[str] | None = None, **metrics: Column
+) -> tuple[DataFrame, dict]:
     """``materialize``, with aggregates observed while the table is written."""
     seen = Observation()
     named = [column.alias(key) for key, column in metrics.items()]
-    return materialize(df.observe(seen, *named), name), seen.get
+    return materialize(df.observe(seen, *named), name, by), seen.get

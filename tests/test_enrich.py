@@ -104,3 +104,41 @@ def test_vision_run_in_high_quality(spark, pages):
     assert "## Page 2\n\n[IMAGE:d/d_page_002_hq.png]\n\n" + "x" * 300 in text
     assert {len(r.description) for r in run.catalog.where("page % 2 = 0").collect()} == {200}
     assert run.detections.count() == 0
+
+
+def test_page_pictures_stay_out_of_the_texts(spark, pages, monkeypatch):
+    table, objects = inputs(spark, pages)
+    table = table.withColumn("page_image", F.concat(F.lit("picture "), F.col("page_num").cast("string")).cast("binary"))
+    seen = []
+    whole = pipelines.materialize_counted
+    monkeypatch.setattr(pipelines, "materialize_counted", lambda df, name, **more: seen.append(df.columns) or whole(df, name, **more))
+
+    def told(row):
+        return bytes(row["content"] or b"none").decode()
+
+    run = pipelines.vision_pipeline(table, objects, told, base_delay=0.0)
+    text = run.documents.first().markdown
+    assert "[IMAGE:d/d_page_002_table.png]\n\npicture 1" in text and "[IMAGE:d/d_page_003_full.png]\n\npicture 2" in text
+    assert seen and all("page_image" not in columns for columns in seen)
+
+
+def test_texts_of_the_vision_run_move_once(spark, pages):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        table, objects = inputs(spark, pages)
+        run = pipelines.vision_pipeline(table, objects, name, base_delay=0.0)
+        plan = run.documents._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = plan.splitlines()
+    [scan] = [i for i, line in enumerate(lines) if "FileScan" in line and "strategy" in line and "text" in line]
+    assert "Bucketed: true" in lines[scan]
+    # Between the scan of the texts and the gathering by block there is no exchange.
+    depth = lambda line: len(line) - len(line.lstrip(" :|+-*()0123456789"))
+    above = [line for line in lines[:scan] if depth(line) < depth(lines[scan])]
+    path, least = [], depth(lines[scan])
+    for line in reversed(above):
+        if depth(line) < least:
+            path.append(line)
+            least = depth(line)
+    assert not [line for line in path if "Exchange" in line]
