@@ -34,6 +34,12 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+# The stages take any frame with doc_id and text, and return its columns. A null or empty text is kept as it is, by
+# every stage; a null doc_id is a document of its own. Rows of one id share what is decided of it. Long texts are
+# taken whole. An empty frame gives an empty one. Other columns pass through; one named like an output of the
+# stage's operator (``score``, ``leaks``, ``base``, ``spans``) comes back as that output.
+
+
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark passage."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))

@@ -2,6 +2,8 @@ import corpus_pipeline
 import pytest
 from quire.llm import queries
 
+from .conftest import EDGES
+
 SMALL = "/root/testdata/sf0.001"
 
 
@@ -50,5 +52,47 @@ def test_every_operator_is_registered():
 
     names = __spark_entry__.queries()
     assert "pipeline" in names
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert set(queries.QUERIES) <= set(names) and set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+
+
+def documents(spark, rows):
+    from pyspark.sql import functions as F
+
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    return made.select("*", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.char_length("text").cast("int").alias("n_chars"))
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_edges_of_each_stage(spark, name, stage):
+    docs = documents(spark, EDGES)
+    found = stage(spark, docs, SMALL)
+    rows = found.collect()
+    key = lambda r: str(r.doc_id)
+    # None of these is toxic, a near copy of another, from the benchmark or personal data.
+    assert sorted(map(key, rows)) == sorted(str(i) for i, _ in EDGES)
+    if name == "byte_bpe":
+        assert {r.doc_id: r.n_tokens for r in rows if r.doc_id in (1, 2)} == {1: 0, 2: 0}
+    else:
+        assert found.dtypes == docs.dtypes
+        assert sorted(map(str, rows)) == sorted(map(str, docs.collect()))
+    assert stage(spark, documents(spark, []), SMALL).count() == 0
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES[:-1])
+def test_clashing_columns_of_each_stage(spark, table, name, stage):
+    frame = table([(1, "plain words of a text"), (2, None), (2, "")]).drop("decoded")
+    found = stage(spark, frame, SMALL)
+    assert found.columns == frame.columns and found.count() == 3
+    own = {"toxicity": {"score"}, "personal_data": {"spans"}}.get(name, set())
+    for r in found.collect():
+        assert all(r[c] == v for c, v in {"ids": 1, "keys": 2, "kept": 5, "rep": "z", "unit": "u"}.items() if c not in own)
+
+
+def test_repeated_rows_share_a_decision(spark):
+    text = "one two three four five six seven eight nine ten eleven"
+    rows = [(7, text), (7, text), (3, text), (9, None), (9, None)]
+    kept = queries.stage_near_duplicates(spark, documents(spark, rows), SMALL)
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["3", "9", "9"]
+    hidden = queries.stage_personal_data(spark, documents(spark, [(1, "at 10.0.0.1"), (1, "at 10.0.0.1")]), SMALL)
+    assert [(r.text, r.n_chars) for r in hidden.collect()] == [("at <IP>", 7)] * 2
