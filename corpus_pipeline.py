@@ -1,4 +1,9 @@
-"""A corpus run: each stage applies one operator to what the stage before it kept."""
+"""A corpus run: each stage applies one operator to what the stage before it kept.
+
+Stages take any frame with ``doc_id`` and ``text``; all but the last return its columns. Null and empty texts and null
+ids are kept, rows of one id share a decision, long texts are taken whole, and an empty table gives an empty one.
+Each stage's rows are a table in the shared folder, so a lost executor costs one stage's tasks.
+"""
 
 from __future__ import annotations
 
