@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as tx
 from quire.operators.images import image_groups_html
 from quire.operators.keys import whole_documents
-from quire.sources.staged import delete_files, open_target, write_files
+from quire.sources.staged import delete_files, delete_paths, open_target, write_files
 
 
 def _json_rows(table: DataFrame) -> DataFrame:
@@ -69,6 +69,22 @@ def purge_results(ids: DataFrame, uri: str) -> int:
     return delete_files(ids, uri, ["markdown", "images_metadata", "trash"])
 
 
+def purge_jobs(jobs: DataFrame, uploads: str, uri: str) -> dict[str, int]:
+    """Remove what jobs (``id, filename``) left behind; returns how many of each kind there were.
+
+    These are the uploaded file ``<id>.pdf`` below ``uploads``, and below ``uri`` the results of the document and its
+    pictures in ``images/<name>``. Names that would lead elsewhere are passed over.
+    """
+    stem = F.regexp_replace("filename", r"\.pdf\z", "")
+    ids = jobs.select(stem.alias("doc_stem")).distinct()
+    single = ~F.contains(stem, F.lit("/")) & (stem != "")  # never the folder of all pictures
+    return {
+        "uploads": delete_paths(jobs.select(F.concat("id", F.lit(".pdf")).alias("path")), uploads),
+        "results": purge_results(ids, uri),
+        "images": delete_paths(jobs.where(single).select(F.concat(F.lit("images/"), stem).alias("path")), uri),
+    }
+
+
 def write_tables(docs: DataFrame, catalog: DataFrame, det: DataFrame, uri: str) -> None:
     """Write the same outputs as Parquet tables, in place of all that ``uri`` held.
 

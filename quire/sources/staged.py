@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 FORMAT = "quire_files"
@@ -156,21 +157,35 @@ def write_files(spark: SparkSession, rows: DataFrame, uri: str) -> None:
     rows.select(*columns).write.format(FORMAT).option("path", uri).mode("append").save()
 
 
-def delete_files(documents: DataFrame, uri: str, folders: list[str]) -> int:
-    """Remove the files of documents (``doc_stem``) below the folders, in tasks; returns how many there were."""
+def delete_paths(paths: DataFrame, uri: str) -> int:
+    """Remove files and folders by their ``path`` below ``uri``, in tasks; returns how many there were.
+
+    A path with ``..`` or a backslash, or one that begins at the root, is passed over.
+    """
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
         store, base = open_target(uri)
         for batch in batches:
             removed = 0
-            for stem in batch.column("doc_stem").to_pylist():
-                for place in (f"{base}/{document_folder(f, stem)}" for f in folders):
-                    if _exists(store, place):
-                        store.delete_dir(place)
-                        removed += 1
+            for path in batch.column("path").to_pylist():
+                if not path or ".." in path or "\\" in path or path.startswith("/"):
+                    continue
+                kind = store.get_file_info(f"{base}/{path}").type
+                if kind == fs.FileType.Directory:
+                    store.delete_dir(f"{base}/{path}")
+                elif kind == fs.FileType.File:
+                    store.delete_file(f"{base}/{path}")
+                removed += kind in (fs.FileType.Directory, fs.FileType.File)
             yield pa.RecordBatch.from_arrays([pa.array([removed], pa.int64())], ["removed"])
 
-    from pyspark.sql import functions as F
-
-    done = documents.select("doc_stem").distinct().mapInArrow(remove, "removed bigint")
+    done = paths.select("path").distinct().mapInArrow(remove, "removed bigint")
     return done.agg(F.coalesce(F.sum("removed"), F.lit(0))).first()[0]
+
+
+def delete_files(documents: DataFrame, uri: str, folders: list[str]) -> int:
+    """Remove the files of documents (``doc_stem``) below the folders; returns how many there were."""
+    place = F.udf(document_folder, "string")
+    each = documents.select("doc_stem").distinct().select("doc_stem", F.explode(F.array(*map(F.lit, folders))).alias("folder"))
+    return delete_paths(each.select(place("folder", "doc_stem").alias("path")), uri)

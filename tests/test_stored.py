@@ -99,6 +99,23 @@ def test_purged_results(spark, docs, tmp_path):
     assert sinks.purge_results(ids, uri) == 0
 
 
+def test_purged_jobs(spark, docs, tmp_path):
+    uri = str(tmp_path / "out")
+    sinks.write_results(docs({"a": "x", "b": "y"}), catalog(spark, ["a"]), detections(spark, ["b"]), uri)
+    for stem in ("a", "b"):
+        (tmp_path / "out/images" / stem).mkdir(parents=True)
+        (tmp_path / "out/images" / stem / "p.png").write_bytes(b"x")
+    (tmp_path / "up").mkdir()
+    for name in ("j1", "j2"):
+        (tmp_path / "up" / f"{name}.pdf").write_bytes(b"x")
+    (tmp_path / "secret").mkdir()
+    jobs = spark.createDataFrame([("j1", "a.pdf"), ("j9", "none.pdf"), ("../secret", "../../secret"), ("j8", ".pdf")], "id string, filename string")
+    assert sinks.purge_jobs(jobs, str(tmp_path / "up"), uri) == {"uploads": 1, "results": 2, "images": 1}
+    assert contents(spark, uri) == ({"b": "y"}, [], ["b"])
+    assert [p.name for p in (tmp_path / "up").iterdir()] == ["j2.pdf"] and (tmp_path / "secret").exists()
+    assert [p.name for p in (tmp_path / "out/images").iterdir()] == ["b"]
+
+
 SCHEMAS = {"markdown": "doc_stem string, markdown string", "images_metadata": schemas.CATALOG, "trash": schemas.DETECTIONS}
 
 
