@@ -134,7 +134,8 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
 def _filter_places(ids: np.ndarray, bits: int) -> np.ndarray:
     """The places of each id in a filter of so many bits, a row a hash."""
     values = ids.astype(np.int64).view(np.uint64)
-    rows = [mixed(values + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(bits) for k in range(1, FILTER_HASHES + 1)]
+    shifts = [np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) for k in range(1, FILTER_HASHES + 1)]
+    rows = [mixed(values + shift) % np.uint64(bits) for shift in shifts]
     return np.stack(rows).astype(np.int64)
 
 
@@ -304,6 +305,16 @@ def _verified(members: DataFrame, percent: int) -> DataFrame:
     return spread.mapInArrow(run, "a long, b long")
 
 
+def _with_sets(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members with their sets, by the same plan at every size; of an id's rows the one whose set it is."""
+    named = sets.select("rep", *[F.col(c).alias(f"set_{c}") for c in _SET], "shingles").hint("merge")
+    met = members.join(named, "rep")
+    for c in _SET:
+        # Written so that it is no key of the join, which would then deal the sets anew.
+        met = met.where((F.col(c) <= F.col(f"set_{c}")) & (F.col(c) >= F.col(f"set_{c}"))).drop(f"set_{c}")
+    return met
+
+
 def _units(clustered: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Members by unit of comparison, and how those of large clusters stand to their central member."""
     sizes = clustered.groupBy("cluster").agg(
@@ -317,11 +328,11 @@ def _units(clustered: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFra
     few = placed.where(small).select(*_OWN, F.lit(0).alias("side"), F.col("cluster").cast("string").alias("unit"))
 
     many = placed.where(~small)
-    centre = many.where(F.col("rep") == F.col("pivot")).join(sets.withColumnRenamed("shingles", "core"), _OWN)
+    centre = _with_sets(many.where(F.col("rep") == F.col("pivot")), sets).withColumnRenamed("shingles", "core")
     # A large cluster meets its central member in several tasks.
     centre = centre.select("pivot", "core", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salted = many.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
-    met = salted.join(sets, _OWN).join(centre, ["pivot", "salt"])
+    met = _with_sets(salted, sets).join(centre, ["pivot", "salt"])
     common = F.size(F.array_intersect("shingles", "core"))
     union = F.size("shingles") + F.size("core") - common
     met = met.select(*_OWN, "cluster", "pivot", (100 * common >= percent * union).alias("linked"))
@@ -380,11 +391,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     discard(near)
     discard(clusters)
     # Equal rows repeat here; they link with themselves, which changes nothing.
-    sets = materialize(_full_sets(docs, clustered, words), "full-sets")
+    # Dealt by document once; what meets them there moves to them.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    made = _full_sets(docs, clustered, words).repartition(tasks, "rep")
+    sets = materialize(made, "full-sets", by=["rep"])
     units, compared = _units(clustered, sets, percent)
     stars = compared.where(F.col("linked") & (F.col("rep") != F.col("pivot")))
     stars = stars.select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
-    found = components(_verified(units.join(sets, _OWN), percent).unionByName(stars))
+    found = components(_verified(_with_sets(units, sets), percent).unionByName(stars))
     for table in (clustered, sets, compared):
         discard(table)
     by_doc = known.select("doc_id", *_SET).join(classes, _SET)
