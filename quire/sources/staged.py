@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -157,11 +157,8 @@ def write_files(spark: SparkSession, rows: DataFrame, uri: str) -> None:
     rows.select(*columns).write.format(FORMAT).option("path", uri).mode("append").save()
 
 
-def delete_paths(paths: DataFrame, uri: str) -> int:
-    """Remove files and folders by their ``path`` below ``uri``, in tasks; returns how many there were.
-
-    A path with ``..`` or a backslash, or one that begins at the root, is passed over.
-    """
+def _delete(rows: DataFrame, uri: str, path_of: Callable[..., str]) -> int:
+    """Remove in tasks what the paths made from rows name; returns how many there were."""
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -169,8 +166,9 @@ def delete_paths(paths: DataFrame, uri: str) -> int:
         store, base = open_target(uri)
         for batch in batches:
             removed = 0
-            for path in batch.column("path").to_pylist():
-                if not path or ".." in path or "\\" in path or path.startswith("/"):
+            for row in batch.to_pylist():
+                path = path_of(**row)
+                if not path or ".." in path.split("/") or "\\" in path or path.startswith("/"):
                     continue
                 kind = store.get_file_info(f"{base}/{path}").type
                 if kind == fs.FileType.Directory:
@@ -180,12 +178,19 @@ def delete_paths(paths: DataFrame, uri: str) -> int:
                 removed += kind in (fs.FileType.Directory, fs.FileType.File)
             yield pa.RecordBatch.from_arrays([pa.array([removed], pa.int64())], ["removed"])
 
-    done = paths.select("path").distinct().mapInArrow(remove, "removed bigint")
+    done = rows.mapInArrow(remove, "removed bigint")
     return done.agg(F.coalesce(F.sum("removed"), F.lit(0))).first()[0]
 
 
+def delete_paths(paths: DataFrame, uri: str) -> int:
+    """Remove files and folders by their ``path`` below ``uri``; returns how many there were.
+
+    A path with ``..`` or a backslash, or one that begins at the root, is passed over.
+    """
+    return _delete(paths.select("path").distinct(), uri, lambda path: path)
+
+
 def delete_files(documents: DataFrame, uri: str, folders: list[str]) -> int:
     """Remove the files of documents (``doc_stem``) below the folders; returns how many there were."""
-    place = F.udf(document_folder, "string")
-    each = documents.select("doc_stem").distinct().select("doc_stem", F.explode(F.array(*map(F.lit, folders))).alias("folder"))
-    return delete_paths(each.select(place("folder", "doc_stem").alias("path")), uri)
+    each = F.explode(F.array(*map(F.lit, folders))).alias("folder")
+    return _delete(documents.select("doc_stem").distinct().select("doc_stem", each), uri, document_folder)

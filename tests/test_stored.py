@@ -92,9 +92,9 @@ def test_a_write_looks_at_no_other_document(spark, docs, tmp_path, monkeypatch):
 
 def test_purged_results(spark, docs, tmp_path):
     uri = f"file://{tmp_path}/out"
-    sinks.write_results(docs({"a": "x", "b/c%": "y"}), catalog(spark, ["a"]), detections(spark, ["b/c%"]), uri)
-    ids = spark.createDataFrame([("b/c%",), ("none",), ("b/c%",)], "doc_stem string")
-    assert sinks.purge_results(ids, uri) == 3
+    sinks.write_results(docs({"a": "x", "b/c%": "y", "v1..2": "z", "..": "w"}), catalog(spark, ["a"]), detections(spark, ["b/c%"]), uri)
+    ids = spark.createDataFrame([("b/c%",), ("none",), ("b/c%",), ("v1..2",), ("..",)], "doc_stem string")
+    assert sinks.purge_results(ids, uri) == 7
     assert contents(spark, uri) == ({"a": "x"}, ["a"], [])
     assert sinks.purge_results(ids, uri) == 0
 
