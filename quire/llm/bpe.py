@@ -550,15 +550,31 @@ def digests(docs: DataFrame, ranks_path: str, keep: list[str] | None = None) ->
     """
     keep = keep if keep is not None else ["doc_id"]
     columns = list(dict.fromkeys([*keep, "text"]))
-    encoded = encode(docs.select(*columns), ranks_path)
-    hashed = encoded.select(
+    source = docs.select(*columns)
+    fields = [T.StructField("ids", _INTS), T.StructField("decoded", T.BinaryType())]
+    schema = T.StructType([*source.select(*keep).schema, *fields])
+    runs = tiktoken_classes()
+    pairs = mergeable_pairs(read_ranks(ranks_path))
+
+    # Both ways in one pass: a second Python stage behind the first would double the workers.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = read_ranks(ranks_path)
+        table, cache, words = class_table(runs), PieceCache(PairMerger(ranks, pairs)), Vocabulary(ranks)
+        for batch in tidy(batches):
+            for part in slices(batch, BATCH_BYTES):
+                ids, counts = encode_texts(texts_of(part), table, cache)
+                bounds = np.r_[0, np.cumsum(counts)]
+                decoded = []
+                for first, last in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                    own = ids[first:last]
+                    decoded.append(words.decode(own, np.cumsum(words.lengths[own])).tobytes())
+                kept = [part.column(part.schema.get_field_index(c)) for c in keep]
+                arrays = [*kept, lists(ids, counts), pa.array(decoded, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, [*keep, "ids", "decoded"])
+
+    return source.mapInArrow(run, schema).select(
         *keep,
-        "ids",
-        "ends",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-    )
-    back = decode(hashed, ranks_path, [*keep, "n_tokens", "ids_sha256"])
-    return back.select(
-        *keep, "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256")
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
