@@ -32,7 +32,7 @@ def _write_kinds(rows: DataFrame, uri: str, *kinds: str) -> dict[str, int]:
     seen = Observation()
     own = ~F.col("replacing")
     counts = [F.count_if(own & (F.col("folder") == k)).alias(k) for k in kinds]
-    write_files(rows.sparkSession, rows.observe(seen, *counts), uri)
+    write_files(rows.sparkSession, rows.observe(seen, *counts), uri, kinds)
     return seen.get
 
 

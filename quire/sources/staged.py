@@ -149,9 +149,15 @@ def finish(uri: str) -> int:
     return len(marked)
 
 
-def write_files(spark: SparkSession, rows: DataFrame, uri: str) -> None:
-    """Write ``folder, doc_stem, value, replacing`` rows below ``uri``, all of them or none."""
+def write_files(spark: SparkSession, rows: DataFrame, uri: str, folders: tuple[str, ...] = ()) -> None:
+    """Write ``folder, doc_stem, value, replacing`` rows below ``uri``, all of them or none.
+
+    ``folders`` are there afterwards even if no row is for them.
+    """
     finish(uri)
+    store, base = open_target(uri)
+    for folder in folders:
+        store.create_dir(f"{base}/{folder}", recursive=True)
     spark.dataSource.register(StagedFiles)
     columns = [c.strip().split(" ")[0] for c in SCHEMA.split(",")]
     rows.select(*columns).write.format(FORMAT).option("path", uri).mode("append").save()
