@@ -86,3 +86,20 @@ def test_ingest(spark, tmp_path):
     got = {r.doc_stem: r.markdown for r in docs.collect()}
     assert set(got) == {"a", "b"} and docs.count() == 2
     assert got["b"].endswith("## Page 1\n\nonly page")
+
+
+def test_ingest_of_many_small_files_takes_few_tasks_and_jobs(spark, tmp_path):
+    box = tmp_path / "many"
+    box.mkdir()
+    for n in range(40):  # more paths than Spark looks up by itself at the driver
+        (box / f"f{n}.pdf").write_bytes(b"one")
+    lines = lambda content: [content.decode()]
+    query = progress.stream_ingest(spark, str(box), f"{tmp_path}/out", lines, f"{tmp_path}/cp", "en")
+    query.awaitTermination()
+    docs = spark.read.parquet(f"{tmp_path}/out/batch_id=*/markdown")
+    assert docs.select("doc_stem").distinct().count() == docs.count() == 40
+    told = spark.sparkContext.statusTracker()
+    jobs = told.getJobIdsForGroup(str(query.runId))
+    stages = [told.getStageInfo(s) for j in jobs for s in told.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) < 40
+    assert len(jobs) < 24  # headers are found once, not for their table and again for the stripped pages
