@@ -7,11 +7,14 @@ commit replaces whole partitions; files of the others are not touched. Both may
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from quire.session import discard, materialize
+
 BUCKETS = 256
 _BUCKET = "bucket"
+_WORD = 62  # partitions whose marks fit a whole number
 
 
 def bucket_of(doc_stem: str | Column = "doc_stem", buckets: int = BUCKETS) -> Column:
@@ -34,15 +37,22 @@ def read_stored(spark: SparkSession, uri: str, table: str, schema: str) -> DataF
 
 
 def _replace(kept: DataFrame, place: str, touched: list[int]) -> None:
-    """Make ``kept`` all that the touched partitions hold."""
+    """Make ``kept`` all that the touched partitions hold.
+
+    Rows are dealt by partition, and a partition too large for a task is written by several, as several files.
+    """
     spark = kept.sparkSession
-    # Numbers of partitions only: at most as many as there are buckets.
-    left = {r[0] for r in kept.select(_BUCKET).distinct().collect()}
-    spread = kept.repartition(max(1, min(len(left), int(spark.conf.get("spark.sql.shuffle.partitions")))), _BUCKET)
+    words = range(0, max(touched, default=0) + 1, _WORD)
+    # Which partitions get rows, one bit each, is seen while they are written.
+    bit = F.when(F.col(_BUCKET).isNotNull(), F.call_function("shiftleft", F.lit(1).cast("long"), F.col(_BUCKET) % _WORD))
+    marks = [F.bit_or(F.when(F.floor(F.col(_BUCKET) / _WORD) == w // _WORD, bit)).alias(f"w{w}") for w in words]
+    seen = Observation()
+    spread = kept.hint("rebalance", _BUCKET).observe(seen, *marks)
     writer = spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy(_BUCKET).parquet(place)
+    found = seen.get
     for number in touched:
-        if number not in left:  # nothing was written there, so nothing was replaced
+        if not (found[f"w{number - number % _WORD}"] or 0) >> number % _WORD & 1:  # nothing was written there, so nothing was replaced
             path, store = _path(spark, f"{place}/{_BUCKET}={number}")
             store.delete(path, True)
 
@@ -51,21 +61,23 @@ def save_documents(tables: dict[str, DataFrame], uri: str, ids: DataFrame | None
     """Save rows of documents; what the tables held of these documents before is replaced.
 
     ``ids`` lists the documents (``doc_stem``), by default all that occur in any of the tables. Other documents stay.
+    The list is written aside once; each table is then made once, as it is written.
     """
     if ids is None:
         stems = [t.select("doc_stem") for t in tables.values()]
         ids = stems[0]
         for more in stems[1:]:
             ids = ids.unionByName(more)
-    ids = ids.distinct().withColumn(_BUCKET, bucket_of(buckets=buckets))
-    touched = [r[0] for r in ids.select(_BUCKET).distinct().collect()]
+    listed = materialize(ids.select("doc_stem").distinct().withColumn(_BUCKET, bucket_of(buckets=buckets)), "saved")
+    touched = [r[0] for r in listed.select(_BUCKET).distinct().collect()]
     for name, table in tables.items():
         place, rows = f"{uri}/{name}", table.withColumn(_BUCKET, bucket_of(buckets=buckets))
         if _exists(table.sparkSession, place):
             old = read_stored(table.sparkSession, uri, name, table._jdf.schema().toDDL())
-            old = old.where(F.col(_BUCKET).isin(touched)).join(ids.select("doc_stem"), "doc_stem", "left_anti")
+            old = old.where(F.col(_BUCKET).isin(touched)).join(listed.select("doc_stem"), "doc_stem", "left_anti")
             rows = old.unionByName(rows)
         _replace(rows, place, touched)
+    discard(listed)
 
 
 def purge_stored(spark: SparkSession, uri: str, schemas: dict[str, str], ids: DataFrame, buckets: int = BUCKETS) -> dict[str, int]:
@@ -73,7 +85,7 @@ def purge_stored(spark: SparkSession, uri: str, schemas: dict[str, str], ids: Da
 
     ``schemas`` names the tables. ``buckets`` is the number they were saved with.
     """
-    gone = ids.select("doc_stem").distinct()
+    gone = materialize(ids.select("doc_stem").distinct(), "purged")
     touched = [r[0] for r in gone.select(bucket_of(buckets=buckets).alias("b")).distinct().collect()]
     removed = {}
     for name, schema in schemas.items():
@@ -82,8 +94,10 @@ def purge_stored(spark: SparkSession, uri: str, schemas: dict[str, str], ids: Da
             removed[name] = 0
             continue
         rows = read_stored(spark, uri, name, schema).where(F.col(_BUCKET).isin(touched))
-        removed[name] = rows.join(gone, "doc_stem", "left_semi").count()
-        if removed[name]:
-            hit = [r[0] for r in rows.join(gone, "doc_stem", "left_semi").select(_BUCKET).distinct().collect()]
+        counts = rows.join(gone, "doc_stem", "left_semi").groupBy(_BUCKET).count().collect()  # a row a partition
+        removed[name] = sum(r["count"] for r in counts)
+        hit = [r[_BUCKET] for r in counts]
+        if hit:
             _replace(rows.where(F.col(_BUCKET).isin(hit)).join(gone, "doc_stem", "left_anti"), place, hit)
+    discard(gone)
     return removed

@@ -263,3 +263,34 @@ def test_answers_are_kept_by_content(spark, tmp_path):
     assert run("m2")[1] == 8  # another model
     assert run(more={**prompts, "full": "write"})[1] == 3  # another prompt for whole pages
     assert "content" not in found[0].asDict()
+
+
+def test_saving_makes_each_table_once_beside_its_list(spark, docs, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    tables = {"markdown": docs({"a": "x", "b": "y", "c": "z"}), "trash": detections(spark, ["a", "b"]).mapInArrow(count, schemas.DETECTIONS)}
+    for _ in range(2):
+        made.value = 0
+        stored.save_documents(tables, str(tmp_path / "s"), buckets=70)
+        assert made.value == 4  # for the list and for the write
+    stored.save_documents({"trash": detections(spark, ["c"])}, str(tmp_path / "s"), docs({"b": "", "c": ""}), buckets=70)
+    assert [r.doc_stem for r in stored.read_stored(spark, str(tmp_path / "s"), "trash", schemas.DETECTIONS).orderBy("doc_stem").collect()] == ["a", "c"]
+
+
+def test_a_large_partition_is_written_by_several_tasks(spark, docs, tmp_path):
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "20000")
+    try:
+        many = spark.range(2000, numPartitions=8).select(F.concat(F.lit("d"), "id").alias("doc_stem"), F.sha2(F.col("id").cast("string"), 512).alias("markdown"))
+        stored.save_documents({"markdown": many}, str(tmp_path / "s"), buckets=1)
+    finally:
+        spark.conf.set(size, before)
+    assert len(list((tmp_path / "s" / "markdown" / "bucket=0").glob("*.parquet"))) > 1
+    back = stored.read_stored(spark, str(tmp_path / "s"), "markdown", "doc_stem string, markdown string")
+    assert back.distinct().count() == back.count() == 2000
