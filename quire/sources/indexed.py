@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as tx
 from quire.operators import markdown
 from quire.operators.keys import whole_documents
-from quire.session import materialize
+from quire.session import discard, materialize
 
 BLOCKS = 256
 _DOCS = "doc_stem string, markdown string, block int"
@@ -72,19 +72,18 @@ def _grams(docs: DataFrame) -> DataFrame:
     return docs.select("block", "markdown").mapInArrow(run, _GRAMS).distinct()
 
 
-def _write(docs: DataFrame, uri: str) -> None:
-    """Write blocks whole, and their sequences."""
+def _write(docs: DataFrame, uri: str, dealt: bool = False) -> None:
+    """Write blocks whole, and their sequences. ``docs`` is a table; ``dealt`` says that its files hold few blocks each."""
     spark = docs.sparkSession
     dynamic = lambda df: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("block")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # The index goes first: while the two differ, it may name blocks in vain, but leaves none out.
-    written = docs.repartition(tasks, "block")
-    grams = _grams(written)
+    grams = _grams(docs)  # where the texts lie; only sequences are moved
     if _exists(spark, f"{uri}/grams"):
         touched = docs.select("block").distinct()
         grams = grams.unionByName(_index(spark, uri).join(touched, "block", "left_semi")).distinct()
     dynamic(grams.repartition(tasks, "block").sortWithinPartitions("block", "gram")).parquet(f"{uri}/grams")
-    dynamic(written).parquet(f"{uri}/docs")
+    dynamic(docs if dealt else docs.hint("rebalance", "block")).parquet(f"{uri}/docs")
 
 
 def _exists(spark: SparkSession, uri: str) -> bool:
@@ -99,7 +98,10 @@ def _index(spark: SparkSession, uri: str) -> DataFrame:
 def index_corpus(docs: DataFrame, uri: str, blocks: int = BLOCKS) -> None:
     """Store documents and their index at ``uri``, a new place. Take as many blocks as give texts of some 100 MB each."""
     block = F.pmod(F.xxhash64("doc_stem"), F.lit(blocks)).cast("int")
-    _write(whole_documents(docs).select("doc_stem", "markdown", block.alias("block")), uri)
+    # Made once, for the index and for the blocks.
+    whole = materialize(whole_documents(docs).select("doc_stem", "markdown", block.alias("block")), "whole")
+    _write(whole, uri)
+    discard(whole)
 
 
 def candidate_blocks(spark: SparkSession, uri: str, query: str, case_sensitive: bool = False) -> DataFrame | None:
@@ -138,7 +140,9 @@ def replace_indexed(spark: SparkSession, uri: str, query: str, text: str, case_s
         docs = spark.read.schema(_DOCS).parquet(f"{uri}/docs").where(F.col("block").isin(blocks))
         changed = docs.withColumn("markdown", markdown.replaced(F.col("markdown"), query, text, case_sensitive))
         # Written aside first: the blocks are read from where they are then replaced.
-        _write(materialize(changed.select("doc_stem", "markdown", "block"), "replaced"), uri)
+        aside = materialize(changed.select("doc_stem", "markdown", "block"), "replaced")
+        _write(aside, uri, dealt=True)
+        discard(aside)
 
 
 def read_indexed(spark: SparkSession, uri: str) -> DataFrame:

@@ -294,3 +294,21 @@ def test_a_large_partition_is_written_by_several_tasks(spark, docs, tmp_path):
     assert len(list((tmp_path / "s" / "markdown" / "bucket=0").glob("*.parquet"))) > 1
     back = stored.read_stored(spark, str(tmp_path / "s"), "markdown", "doc_stem string, markdown string")
     assert back.distinct().count() == back.count() == 2000
+
+
+def test_indexing_makes_the_documents_once(spark, docs, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    given = docs({f"d{n}": f"text {n} of the Acme manual" for n in range(9)}).mapInArrow(count, "doc_stem string, markdown string")
+    base = str(tmp_path / "c")
+    indexed.index_corpus(given, base, blocks=4)
+    assert made.value == 9
+    indexed.replace_indexed(spark, base, "acme manual", "guide")
+    back = {r.doc_stem: r.markdown for r in indexed.read_indexed(spark, base).collect()}
+    assert back == {f"d{n}": f"text {n} of the guide" for n in range(9)}
+    assert indexed.search_indexed(spark, base, "GUIDE").count() == 9
