@@ -172,25 +172,26 @@ def _train(bags_: list[np.ndarray], labels: np.ndarray, seed: int) -> Model:
     if share in (0.0, 1.0):
         return Model(weights, 60.0 if share else -60.0)
     # A bucket of a single text tells nothing of others; its number is a shared last one.
-    used, first_of, times = np.unique(np.concatenate(bags_), return_inverse=True, return_counts=True)
-    common = times >= MIN_TEXTS
-    place = np.where(common, np.cumsum(common) - 1, common.sum())[first_of]
-    used = used[common]
+    times = np.zeros(1 << BUCKET_BITS, np.int32)
+    for bag in bags_:
+        times[bag] += 1  # a bag names a bucket once
+    used = np.flatnonzero(times >= MIN_TEXTS)
+    place = np.full(1 << BUCKET_BITS, len(used), np.int32)
+    place[used] = np.arange(len(used))
     rng = np.random.default_rng(seed)
     embed = rng.normal(0, 0.1, (len(used) + 1, DIMENSIONS)).astype(np.float32)
     embed[-1] = 0
     softmax = rng.normal(0, 0.5, (DIMENSIONS, 2)).astype(np.float32)
     bias = np.log(np.array([1 - share, share], np.float32))
     embed_g, softmax_g = np.full(len(used) + 1, 1e-8, np.float32), np.full((DIMENSIONS, 2), 1e-8)
-    firsts = np.r_[0, np.cumsum([len(b) for b in bags_])]
     target = np.eye(2, dtype=np.float32)[labels]
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
         order = rng.permutation(len(labels))
         for at in range(0, len(order), 32):
             some = order[at : at + 32]
-            cols = np.concatenate([place[firsts[i] : firsts[i + 1]] for i in some])
-            sizes = np.array([firsts[i + 1] - firsts[i] for i in some])
+            cols = np.concatenate([place[bags_[i]] for i in some])
+            sizes = np.array([len(bags_[i]) for i in some])
             share_of = np.repeat(1 / (sizes + PADDING), sizes).astype(np.float32)
             row = np.repeat(np.arange(len(some)), sizes)
             mean = np.empty((len(some), DIMENSIONS), np.float32)
@@ -226,7 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_on: Column, sample_rows: int =
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     # In a fixed order, so that the same rows always give the same model.
     got = bags(rows).toArrow().sort_by([("doc_id", "ascending"), ("ids", "ascending")])
-    ids = [np.frombuffer(b.as_py(), "<i4") for b in got["ids"]]
+    ids = [np.frombuffer(b.as_buffer(), "<i4") for b in got["ids"]]  # views, not copies
     return train(ids, np.clip(np.asarray(got["label"]), 0, 1))
 
 

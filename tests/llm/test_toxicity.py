@@ -77,3 +77,17 @@ def test_most_of_a_corpus_is_kept(spark):
         model = toxicity.fit(docs, labels, F.crc32(F.col("doc_id").cast("string")) % 3 != rest)
         rejected = toxicity.score(docs, model).agg(F.avg((F.col("score") >= 0.7).cast("int"))).collect()[0][0]
         assert 0.02 < rejected < 0.15
+
+
+def test_training_holds_little_beside_its_bags():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    bags = [np.unique(rng.integers(0, 1 << toxicity.BUCKET_BITS, 4000).astype("<i4")) for _ in range(600)]
+    labels = (np.arange(600) % 3 == 0).astype(int)
+    tracemalloc.start()
+    toxicity.train(bags, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # Sorting the buckets of all bags together took 77 MB.
+    assert peak < 50e6
