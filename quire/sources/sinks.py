@@ -134,6 +134,9 @@ def export_bundle(
     return _write_kinds(files, uri, "markdown", "metadata", "images")
 
 
+_BATCH_SIZE, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
+
+
 @dataclass(frozen=True)
 class Published:
     """Outcome of publishing to one target."""
@@ -156,9 +159,11 @@ def publish_files(files: DataFrame, uri: str) -> Published:
 
     Every task writes its own rows; writing a name again replaces the file, so a
     repeated task does no harm. A file that cannot be written is counted and the
-    others go on.
+    others go on. Rows come to Python ``_BATCH_BYTES`` at a time, or one, however many a task has.
     """
 
+    conf = files.sparkSession.conf
+    before = conf.get(_BATCH_SIZE)
     written, failed = (files.sparkSession.sparkContext.accumulator(0) for _ in range(2))
 
     def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +174,7 @@ def publish_files(files: DataFrame, uri: str) -> Published:
             problem = str(err)
         for batch in batches:
             errors: list[str | None] = []
-            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist()):
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content")):
                 wrong = problem
                 if wrong is None:
                     try:
@@ -179,7 +184,7 @@ def publish_files(files: DataFrame, uri: str) -> Published:
                             target.create_dir(folder, recursive=True)
                             folders.add(folder)
                         with target.open_output_stream(path) as out:
-                            out.write(content)
+                            out.write(content.as_buffer())  # as it lies in the batch, without a copy
                     except Exception as err:
                         wrong = str(err)
                 errors.append(wrong)
@@ -188,6 +193,7 @@ def publish_files(files: DataFrame, uri: str) -> Published:
             yield pa.RecordBatch.from_arrays([pa.array(errors, pa.string())], names=["error"])
 
     try:
+        conf.set(_BATCH_SIZE, str(_BATCH_BYTES))
         outcome = files.select("name", "content").mapInArrow(copy, "error string")
         total = outcome.agg(
             F.count_if(F.col("error").isNull()).alias("written"),
@@ -197,6 +203,8 @@ def publish_files(files: DataFrame, uri: str) -> Published:
     except Exception as err:
         # The job broke off; what the tasks that ended reported still counts.
         return Published(uri, written.value, failed.value, str(err))
+    finally:
+        conf.set(_BATCH_SIZE, before)
     return Published(uri, total["written"], total["failed"], total["error"])
 
 

@@ -170,3 +170,13 @@ def test_bundle(spark, tables, tmp_path):
 def test_public_urls(tables):
     row = sinks.public_image_urls(tables[1], "http://h/", "p/").orderBy("image_file").first()
     assert (row.url, row.content_type) == ("http://h/p/007/x.png", "image/png")
+
+
+def test_files_are_published_in_batches_of_bounded_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "_BATCH_BYTES", 1000)
+    before = spark.conf.get(sinks._BATCH_SIZE)
+    rows = [(f"n{n}", bytes([65 + n]) * 700) for n in range(20)] + [("none", None)]
+    found = sinks.publish_files(spark.createDataFrame(rows, "name string, content binary"), f"file://{tmp_path}/p")
+    assert (found.written, found.failed) == (20, 1)
+    assert spark.conf.get(sinks._BATCH_SIZE) == before
+    assert all((tmp_path / "p" / name).read_bytes() == content for name, content in rows[:20])
