@@ -118,6 +118,8 @@ def export_bundle(
         .select(F.regexp_replace("filename", r"\.pdf\z", "").alias("doc_stem"))
         .distinct()
     )
+    # Names of jobs are hashed, so that no task sorts texts to find its own.
+    done = done.hint("shuffle_hash")
     chosen = docs.join(done, "doc_stem", "left_semi")
     if base_url:
         chosen = image_groups_html(chosen, base_url)

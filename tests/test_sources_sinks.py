@@ -180,3 +180,20 @@ def test_files_are_published_in_batches_of_bounded_size(spark, tmp_path, monkeyp
     assert (found.written, found.failed) == (20, 1)
     assert spark.conf.get(sinks._BATCH_SIZE) == before
     assert all((tmp_path / "p" / name).read_bytes() == content for name, content in rows[:20])
+
+
+def test_a_bundle_sorts_no_texts_to_find_those_of_jobs(spark, tables, tmp_path, monkeypatch):
+    taken = []
+    monkeypatch.setattr(sinks, "_write_kinds", lambda rows, *_: taken.append(rows))
+    jobs = spark.createDataFrame([("a.pdf", "completed")], "filename string, status string")
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")  # as with very many jobs
+    try:
+        docs, catalog = tables[0], tables[1]
+        sinks.export_bundle(docs, catalog, jobs, str(tmp_path))
+        plan = taken[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(limit, before)
+    joins = [line for line in plan.split("\n") if "LeftSemi" in line]
+    assert joins and all("ShuffledHashJoin" in line for line in joins)
