@@ -57,7 +57,7 @@ def pages_in_ranges(
     def load(value: Any) -> bytes:
         return opener(value) if opener else bytes(value)
 
-    def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def surveyed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             refused = batch.column("error") if "error" in batch.schema.names else None
             for i in range(batch.num_rows):
@@ -73,12 +73,17 @@ def pages_in_ranges(
                     except Exception as err:
                         problem = str(err)
                 if problem is not None:
-                    yield _survey([(stem, start, "", problem)], kept)
+                    yield stem, start, "", problem, None, None
                 elif stop - start > range_pages:
-                    yield _survey([(stem, None, None, None)], kept, stop, value)
+                    yield stem, None, None, None, stop, value
                 else:
-                    for rows in _batched(_read(reader, content, stem, start, stop)):
-                        yield _survey(rows, kept)
+                    for row in _read(reader, content, stem, start, stop):
+                        yield *row, None, None
+
+    def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Pages of many short files go back together.
+        for rows in _batched(surveyed(batches)):
+            yield _survey(rows, kept)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened, content = None, b""
@@ -131,7 +136,7 @@ def _batched(rows: Iterable[tuple]) -> Iterator[list[tuple]]:
     size = 0
     for row in rows:
         part.append(row)
-        size += len(row[2])
+        size += sum(len(value) for value in row[2::3] if value is not None)  # text, and the source of a long file
         if len(part) == _BATCH_ROWS or size > _BATCH_CHARS:
             yield part
             part, size = [], 0
@@ -144,10 +149,11 @@ def _pages(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], _NAMES)
 
 
-def _survey(rows: list[tuple], kept: str, stop: int | None = None, source: Any = None) -> pa.RecordBatch:
-    pages = _pages(rows)
+def _survey(rows: list[tuple], kept: str) -> pa.RecordBatch:
+    pages = _pages([row[:4] for row in rows])
+    stops, sources = zip(*[row[4:] for row in rows])
     kind = pa.string() if kept == "string" else pa.binary()
-    more = [pa.array([stop] * len(rows), pa.int32()), pa.array([source] * len(rows), kind)]
+    more = [pa.array(stops, pa.int32()), pa.array(sources, kind)]
     return pa.RecordBatch.from_arrays([*pages.columns, *more], [*_NAMES, "stop", "source"])
 
 

@@ -12,6 +12,8 @@ from quire import schemas
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
 # A row holds less than 2 GiB. Larger files are read by their path (``extract.pages_in_ranges``).
 LARGEST = 2_000_000_000
+# What opening a file counts for when files are dealt over tasks. With Spark's own value a task has 32 files at most.
+_OPEN_COST, _SPARKS_COST, _COST = "spark.sql.files.openCostInBytes", "4194304b", 128 << 10
 
 
 def file_stem(path) -> Column:
@@ -36,6 +38,9 @@ def pdf_rows(files: DataFrame, max_bytes: int = LARGEST) -> DataFrame:
 
 
 def _listed(spark: SparkSession, path: str) -> DataFrame:
+    # Read when the scan is planned, which is after this, so it stays with the session. A value of the caller's is kept.
+    if spark.conf.get(_OPEN_COST) == _SPARKS_COST:
+        spark.conf.set(_OPEN_COST, str(_COST))
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "false")
     return reader.option("pathGlobFilter", "*.pdf").load(path)
 
@@ -49,7 +54,10 @@ def ingest_files(spark: SparkSession, path: str, max_bytes: int = LARGEST) -> Da
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """The same files without their bytes, of any size, to be opened by the tasks that read them."""
+    """The same files without their bytes, of any size, to be opened by the tasks that read them.
+
+    Small files are dealt by about a thousand a task, fewer where there are fewer than that for each core.
+    """
     return _listed(spark, path).select(
         file_stem(F.col("path")).alias("doc_stem"), "path", "modificationTime", "length"
     )

@@ -96,3 +96,28 @@ def test_files_too_large_for_a_row_are_error_rows(spark, tmp_path):
     found = files.ingest_files(spark, str(tmp_path))
     got = {r.doc_stem: (r.text, r.error) for r in enrich.pages_from_documents(found, lambda c: [c.decode()]).collect()}
     assert got["small"] == ("one page", None) and "2200000000 bytes" in got["large"][1]
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    for n in range(300):
+        (tmp_path / f"f{n}.pdf").write_bytes(b"page")
+    before = spark.conf.get(files._OPEN_COST)
+    try:
+        spark.conf.unset(files._OPEN_COST)
+        listed = files.list_files(spark, str(tmp_path))
+        assert listed.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism + 1  # 32 files a task before
+        assert listed.count() == 300
+        spark.conf.set(files._OPEN_COST, "1m")  # a caller's own
+        files.list_files(spark, str(tmp_path))
+        assert spark.conf.get(files._OPEN_COST) == "1m"
+    finally:
+        spark.conf.set(files._OPEN_COST, before)
+
+
+def test_pages_of_short_files_share_batches_and_bytes_of_long_ones_do_not():
+    short = [("s", 0, "text", None, None, None)] * 300
+    assert [len(part) for part in extract._batched(short)] == [256, 44]
+    long = [("l", None, None, None, 9, b"x" * (2 << 20))] * 3
+    assert [len(part) for part in extract._batched([*short[:5], *long])] == [6, 1, 1]
+    batch = extract._survey([short[0], long[0]], "binary")
+    assert batch.column("page_num").to_pylist() == [0, None] and batch.column("stop").to_pylist() == [None, 9]
