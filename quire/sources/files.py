@@ -23,13 +23,13 @@ def file_stem(path) -> Column:
     return F.when(stem == "", F.lit("document")).otherwise(stem)
 
 
-def pdf_rows(files: DataFrame, max_bytes: int = LARGEST) -> DataFrame:
+def pdf_rows(files: DataFrame, max_bytes: int = LARGEST, size: str = "length") -> DataFrame:
     """File rows with their document name and ``error``.
 
-    A file of more than ``max_bytes`` is a row without content that says so.
+    A file of more than ``max_bytes`` is a row without content that says so. ``size`` is the column that tells.
     """
     columns = [file_stem(F.col("path")).alias("doc_stem"), "path", "modificationTime", "length"]
-    fits = F.col("length") <= max_bytes
+    fits = F.col(size) <= max_bytes
     # Size is file metadata: with a filter on it alone, bytes of refused files are not read.
     taken = files.where(fits).select(*columns, "content", F.lit(None).cast("string").alias("error"))
     reason = F.concat(F.lit("file of "), "length", F.lit(f" bytes is over the limit of {max_bytes}"))
@@ -50,7 +50,8 @@ def ingest_files(spark: SparkSession, path: str, max_bytes: int = LARGEST) -> Da
 
     A file of more than ``max_bytes`` is an error row and the others are read.
     """
-    return pdf_rows(_listed(spark, path), max_bytes)
+    # By the size that the listing tells, each of the two scans gets its own files only: most often one gets all of them.
+    return pdf_rows(_listed(spark, path), max_bytes, "_metadata.file_size")
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:

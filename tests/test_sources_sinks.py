@@ -98,6 +98,16 @@ def test_ingest(spark, tmp_path):
     assert [r.doc_stem for r in files.ingest_files(spark, str(tmp_path / "a.pdf")).collect()] == ["a"]
 
 
+def test_files_of_the_right_size_are_scanned_once(spark, tmp_path):
+    for n in range(40):
+        (tmp_path / f"f{n}.pdf").write_bytes(b"x" * 5)
+    one = files.list_files(spark, str(tmp_path)).rdd.getNumPartitions()
+    assert files.ingest_files(spark, str(tmp_path), max_bytes=10).rdd.getNumPartitions() == one  # a second scan looked at all again
+    (tmp_path / "big.pdf").write_bytes(b"x" * 50)
+    found = files.ingest_files(spark, str(tmp_path), max_bytes=10)
+    assert found.count() == 41 and [r.doc_stem for r in found.where("error is not null").collect()] == ["big"]
+
+
 def split_pages(content):
     for part in content.decode().split("|"):
         if part == "stop":
