@@ -14,6 +14,8 @@ FILES = "path string, modificationTime timestamp, length bigint, content binary"
 LARGEST = 2_000_000_000
 # What opening a file counts for when files are dealt over tasks. With Spark's own value a task has 32 files at most.
 _OPEN_COST, _SPARKS_COST, _COST = "spark.sql.files.openCostInBytes", "4194304b", 128 << 10
+# Tasks that look up the files of a read, at most. Spark's own value is one a folder, up to 10,000.
+LOOKUPS = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
 
 
 def file_stem(path) -> Column:
@@ -93,11 +95,17 @@ def read_results(spark: SparkSession, path: str, layout: str = "parts") -> Resul
             F.regexp_replace("value", r"\n\z", "").alias("value"),
         )
 
-    return Results(
-        texts("markdown").select("doc_stem", F.col("value").alias("markdown")),
-        _json_rows(texts("images_metadata"), schemas.CATALOG),
-        _json_rows(texts("trash"), schemas.DETECTIONS),
-    )
+    before, few = spark.conf.get(LOOKUPS), 4 * spark.sparkContext.defaultParallelism
+    try:
+        # There is a folder a document, and files are looked up here, not when they are read.
+        spark.conf.set(LOOKUPS, str(min(int(before), few)))
+        return Results(
+            texts("markdown").select("doc_stem", F.col("value").alias("markdown")),
+            _json_rows(texts("images_metadata"), schemas.CATALOG),
+            _json_rows(texts("trash"), schemas.DETECTIONS),
+        )
+    finally:
+        spark.conf.set(LOOKUPS, before)
 
 
 def _decoded(name: Column) -> Column:

@@ -18,13 +18,19 @@ from quire.operators.keys import whole_documents
 from quire.sources.staged import delete_files, delete_paths, open_target, write_files
 
 
-def _json_rows(table: DataFrame) -> DataFrame:
-    """One JSON array per document: ``doc_stem, value``."""
-    rows = F.sort_array(F.collect_list(F.struct(*[c for c in table.columns if c != "doc_stem"])))
-    return table.groupBy("doc_stem").agg(F.to_json(rows).alias("value"))
+def _json_rows(table: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """One JSON array per document: ``doc_stem, value, n``, with ``[]`` for those of ``names`` that have no row.
+
+    Names meet the rows in the one grouping, so the table is made once.
+    """
+    rows = table.select("doc_stem", F.struct(*[c for c in table.columns if c != "doc_stem"]).alias("row"))
+    if names is not None:
+        rows = rows.unionByName(names.select("doc_stem"), allowMissingColumns=True)
+    listed = F.to_json(F.sort_array(F.collect_list("row")))
+    return rows.groupBy("doc_stem").agg(listed.alias("value"), F.count("row").alias("n"))
 
 
-def _kind(rows: DataFrame, folder: str, replacing: bool = False) -> DataFrame:
+def _kind(rows: DataFrame, folder: str, replacing: bool | Column = False) -> DataFrame:
     """``doc_stem, value`` rows as rows of the file sink."""
     return rows.select(F.lit(folder).alias("folder"), "doc_stem", "value", F.lit(replacing).alias("replacing"))
 
@@ -50,18 +56,10 @@ def write_results(docs: DataFrame, catalog: DataFrame, det: DataFrame, uri: str)
     Files and folders are one per document; ``stored.save_documents`` suits very many documents.
     """
     rows = whole_documents(docs).select("doc_stem", F.col("markdown").alias("value"))
-    catalogs = (
-        rows.select("doc_stem")
-        .join(_json_rows(catalog), "doc_stem", "full")
-        .withColumn("value", F.coalesce("value", F.lit("[]")))
-    )
-    found = _json_rows(det)
-    without = rows.select("doc_stem").join(found.select("doc_stem"), "doc_stem", "left_anti")
     files = (
         _kind(rows, "markdown")
-        .unionByName(_kind(catalogs, "images_metadata"))
-        .unionByName(_kind(found, "trash"))
-        .unionByName(_kind(without.withColumn("value", F.lit("[]")), "trash", replacing=True))
+        .unionByName(_kind(_json_rows(catalog, rows), "images_metadata"))
+        .unionByName(_kind(_json_rows(det, rows), "trash", replacing=F.col("n") == 0))
     )
     return _write_kinds(files, uri, "markdown", "images_metadata", "trash")
 

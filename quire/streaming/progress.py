@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from quire.functions import fixed
 from quire.operators import enrich
 from quire.plans import pipelines
-from quire.sources.files import FILES, LARGEST, pdf_rows
+from quire.sources.files import FILES, LARGEST, LOOKUPS, pdf_rows
 from quire.sources.sinks import write_tables
 from quire.streaming.folded import EVERY, Folded
 
@@ -153,10 +153,6 @@ def stream_terminal(
     )
 
 
-# Tasks that look up the files of a read, at most.
-_LOOKUPS = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
-
-
 def stream_ingest(
     spark: SparkSession,
     folder: str,
@@ -193,8 +189,8 @@ def stream_ingest(
         write_tables(run.documents, run.catalog, run.detections, target)
 
     cores = spark.sparkContext.defaultParallelism
-    if int(spark.conf.get(_LOOKUPS)) > cores:
-        spark.conf.set(_LOOKUPS, str(cores))
+    if int(spark.conf.get(LOOKUPS)) > cores:
+        spark.conf.set(LOOKUPS, str(cores))
     return (
         files.writeStream.option("checkpointLocation", checkpoint)
         .foreachBatch(process)

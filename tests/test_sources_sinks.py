@@ -207,3 +207,33 @@ def test_a_bundle_sorts_no_texts_to_find_those_of_jobs(spark, tables, tmp_path,
         spark.conf.set(limit, before)
     joins = [line for line in plan.split("\n") if "LeftSemi" in line]
     assert joins and all("ShuffledHashJoin" in line for line in joins)
+
+
+def test_a_write_makes_each_table_once(spark, docs, tmp_path, monkeypatch):
+    taken = []
+    monkeypatch.setattr(sinks, "_write_kinds", lambda rows, *_: taken.append(rows))
+    det = spark.range(77).select(F.lit("a").alias("doc_stem"), F.col("id").cast("int").alias("page"))
+    catalog = spark.range(55).select(F.lit("b").alias("doc_stem"), F.col("id").cast("int").alias("page"))
+    sinks.write_results(docs({"a": "x", "c": "y"}), catalog, det, str(tmp_path))
+    text = taken[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Range (0, 77") == 1 and text.count("Range (0, 55") == 1
+    assert "Join" not in text
+    got = {(r.folder, r.doc_stem): (len(json.loads(r.value)), r.replacing) for r in taken[0].where("folder != 'markdown'").collect()}
+    assert got == {("images_metadata", "a"): (0, False), ("images_metadata", "b"): (55, False), ("images_metadata", "c"): (0, False),
+                   ("trash", "a"): (77, False), ("trash", "c"): (0, True)}
+
+
+def test_folders_of_results_are_looked_up_by_few_tasks(spark, docs, tables, tmp_path):
+    _, cat, det = tables
+    sinks.write_results(docs({f"d{n}": "x" for n in range(60)}), cat, det, str(tmp_path / "o"))
+    before = spark.conf.get(files.LOOKUPS)
+    spark.sparkContext.setJobGroup("lookups", "")
+    try:
+        found = files.read_results(spark, str(tmp_path / "o"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [s for job in tracker.getJobIdsForGroup("lookups") for s in tracker.getJobInfo(job).stageIds]
+    counts = [tracker.getStageInfo(s).numTasks for s in stages]
+    assert counts and max(counts) <= 4 * spark.sparkContext.defaultParallelism  # a task a folder before
+    assert spark.conf.get(files.LOOKUPS) == before and found.documents.count() == 60
