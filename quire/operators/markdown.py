@@ -23,7 +23,8 @@ _UP_TO_U32 = "|".join(
 )
 # Page header of the cleaner: trimmed, and nothing but the number after the words.
 _CLEAN_HEADER = rf"{fixed.WS_IN_LINE}*## Page {fixed.WS_IN_LINE}*\+?0*({_UP_TO_U32}){fixed.WS_IN_LINE}*"
-_CLEAN_CUT = rf"(?<=\n)(?={_CLEAN_HEADER}(?:\n|\z))"
+# The newline comes first, so the header is tried at line ends only.
+_CLEAN_CUT = rf"\n(?={_CLEAN_HEADER}(?:\n|\z))"
 _CLEAN_START = rf"\A{_CLEAN_HEADER}(?:\n|\z)"
 
 
@@ -74,9 +75,13 @@ def label_sections(sections: DataFrame, det: DataFrame) -> DataFrame:
     return sections.join(last, ["doc_stem", "page_number"], "left")
 
 
+def _unix_lines(markdown: Column) -> Column:
+    return F.replace(markdown, F.lit("\r\n"), F.lit("\n"))
+
+
 def _clean_text(markdown: Column) -> Column:
     """Line ends as the cleaner writes them: ``\\n`` after every line."""
-    unix = F.regexp_replace(markdown, "\r\n", "\n")
+    unix = _unix_lines(markdown)
     return F.when((unix == "") | unix.endswith("\n"), unix).otherwise(F.concat(unix, F.lit("\n")))
 
 
@@ -84,29 +89,40 @@ def _clean_page(section: Column) -> Column:
     return F.regexp_extract(section, _CLEAN_START, 1).try_cast("bigint")
 
 
-def remove_pages(docs: DataFrame, removals: DataFrame, only_listed: bool = False) -> DataFrame:
+def remove_pages(
+    docs: DataFrame, removals: DataFrame, only_listed: bool = False, own_pages: bool = False
+) -> DataFrame:
     """Drop the sections of listed pages; the head stays, every line ends in a newline.
 
-    With ``only_listed``, documents without a row in ``removals`` keep their text as it is.
+    With ``only_listed``, documents without a row in ``removals`` keep their text as it is. With ``own_pages``,
+    ``removals`` were found on the documents' own pages, so there are no more than those: they are gathered as they are,
+    and the texts, which need not tell which pages they have, are made once.
     """
     docs = whole_documents(docs)
     keys = doc_keys(docs)
-    text = _clean_text(F.col("markdown"))
-    sections = F.split(text, _CLEAN_CUT, -1)
-    pages = F.array_compact(F.transform(sections, _clean_page))
+    unix = _unix_lines(F.col("markdown"))
+    # Sections without the newline at their end.
+    sections = F.split(tx.without_last_newline(unix), _CLEAN_CUT, -1)
     wanted = removals.select("doc_stem", F.col("page").cast("bigint").alias("page"))
-    if only_listed:
-        # Page -1 stands for the document itself, so one pass over the removals tells
-        # both which pages go and which documents are listed at all.
-        pages = F.array_append(pages, F.lit(-1).cast("bigint"))
-        wanted = wanted.select("doc_stem", F.explode(F.array("page", F.lit(-1))).alias("page"))
-    hits = matched_per_document(docs, pages, wanted, "page", "_gone")
+    if own_pages:
+        hits = wanted.groupBy("doc_stem").agg(F.collect_set("page").alias("_gone"))
+    else:
+        pages = F.array_compact(F.transform(sections, _clean_page))
+        if only_listed:
+            # Page -1 stands for the document itself, so one pass over the removals tells
+            # both which pages go and which documents are listed at all.
+            pages = F.array_append(pages, F.lit(-1).cast("bigint"))
+            wanted = wanted.select("doc_stem", F.explode(F.array("page", F.lit(-1))).alias("page"))
+        hits = matched_per_document(docs, pages, wanted, "page", "_gone")
     # A section without a page number is the head; it is never in the list.
     kept = F.filter(
         sections, lambda s: ~F.coalesce(F.array_contains(F.col("_gone"), _clean_page(s)), F.lit(False))
     )
-    unmatched = F.col("markdown") if only_listed else text
-    new = F.when(F.col("_gone").isNull(), unmatched).otherwise(F.array_join(kept, ""))
+    ended = lambda left: F.when((unix == "") | (F.size(left) == 0), F.lit("")).otherwise(
+        F.concat(F.array_join(left, "\n"), F.lit("\n"))
+    )
+    unmatched = F.col("markdown") if only_listed else _clean_text(F.col("markdown"))
+    new = F.when(F.col("_gone").isNull(), unmatched).otherwise(tx.let(kept, ended))
     return docs.join(hits, keys, "left").select(*keys, new.alias("markdown"))
 
 

@@ -137,7 +137,7 @@ def strip_trash(docs: DataFrame, det: DataFrame, aliases=None) -> DataFrame:
     Documents without one are passed on as they are.
     """
     removable = detect.filter_detections(det, aliases).select("doc_stem", "page")
-    return markdown.remove_pages(docs, removable, only_listed=True)
+    return markdown.remove_pages(docs, removable, only_listed=True, own_pages=True)
 
 
 @dataclass(frozen=True)

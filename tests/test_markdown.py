@@ -210,3 +210,30 @@ def test_page_numbers_of_ten_digits(spark, docs, number, header):
     wanted = spark.createDataFrame([("d", number)], "doc_stem string, page bigint")
     got = md.remove_pages(docs({"d": text}), wanted).collect()[0].markdown
     assert got == ("head\n" if header else text)
+
+
+def test_trash_is_stripped_of_texts_made_once(spark):
+    page = F.concat(F.lit("# t\n\n---\n## Page 1\none\n\n---\n## Page "), (F.col("id") + 2).cast("string"), F.lit("\r\ntwo"))
+    docs = spark.range(33).select(F.concat(F.lit("d"), "id").alias("doc_stem"), page.alias("markdown"))
+    det = spark.createDataFrame([("d0", 2, "blank_page"), ("d1", 9, "blank_page"), ("d2", 0, "header_footer"), ("d3", 1, "boilerplate"), ("d3", 5, "blank_page")],
+                                "doc_stem string, page int, trash_type string")
+    stripped = pipelines.strip_trash(docs, det)
+    assert stripped._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 33") == 1  # twice before
+    got = {r.doc_stem: r.markdown for r in stripped.collect()}
+    assert len(got) == 33 and got["d0"] == "# t\n\n---\n## Page 1\none\n\n---\n"
+    assert got["d1"] == "# t\n\n---\n## Page 1\none\n\n---\n## Page 3\ntwo\n"  # listed, but for a page that it does not have
+    assert got["d2"] == "# t\n\n---\n## Page 1\none\n\n---\n## Page 4\r\ntwo" and got["d3"] == "# t\n\n---\n"
+
+
+@pytest.mark.parametrize("text", ["", "\n", "\n\n", "## Page 2", "## Page 2\n", "\n## Page 2", "a\r\n## Page 2\r\n\r\n", "## Page 1\n## Page 2\n## Page 3"])
+@pytest.mark.parametrize("own", [False, True])
+def test_ends_of_texts_around_removed_pages(spark, docs, text, own):
+    gone = spark.createDataFrame([("d", 2)], "doc_stem string, page int")
+    got = md.remove_pages(docs({"d": text}), gone, own_pages=own).first().markdown
+    lines = text.replace("\r\n", "\n").split("\n")
+    lines = lines[:-1] if lines[-1] == "" else lines
+    left, keep = "", True
+    for line in lines:
+        keep = line != "## Page 2" if line.startswith("## Page ") else keep
+        left += line + "\n" if keep else ""
+    assert got == left
