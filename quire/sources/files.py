@@ -13,7 +13,7 @@ FILES = "path string, modificationTime timestamp, length bigint, content binary"
 # A row holds less than 2 GiB. Larger files are read by their path (``extract.pages_in_ranges``).
 LARGEST = 2_000_000_000
 # What opening a file counts for when files are dealt over tasks. With Spark's own value a task has 32 files at most.
-_OPEN_COST, _SPARKS_COST, _COST = "spark.sql.files.openCostInBytes", "4194304b", 128 << 10
+_OPEN_COST, _SPARKS_COST, _COST = "spark.sql.files.openCostInBytes", "4194304b", 32 << 10
 # Tasks that look up the files of a read, at most. Spark's own value is one a folder, up to 10,000.
 LOOKUPS = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
 
@@ -59,7 +59,7 @@ def ingest_files(spark: SparkSession, path: str, max_bytes: int = LARGEST) -> Da
 def list_files(spark: SparkSession, path: str) -> DataFrame:
     """The same files without their bytes, of any size, to be opened by the tasks that read them.
 
-    Small files are dealt by about a thousand a task, fewer where there are fewer than that for each core.
+    Small files are dealt by up to some thousands a task, fewer where there are fewer than that for each core.
     """
     return _listed(spark, path).select(
         file_stem(F.col("path")).alias("doc_stem"), "path", "modificationTime", "length"
