@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire import schemas
+from quire.session import hadoop_path, materialize_counted
 
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
 # A row holds less than 2 GiB. Larger files are read by their path (``extract.pages_in_ranges``).
@@ -65,10 +69,89 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     """The same files without their bytes, of any size, to be opened by the tasks that read them.
 
     Small files are dealt by up to some thousands a task, fewer where there are fewer than that for each core.
+
+    A folder of the ``file:`` system is listed by a task into a table in the shared folder, so the driver holds no file of
+    it, however many there are. What lies in other stores, a pattern or a single file is listed by Spark at the
+    driver, which then takes some kilobyte a file there.
+    """
+    many_small(spark)
+    folder = _folder(spark, path)
+    found = _listed_by_task(spark, folder) if folder else None
+    found = _listed(spark, path) if found is None else found
+    return found.select(file_stem(F.col("path")).alias("doc_stem"), "path", "modificationTime", "length")
+
+
+def _folder(spark: SparkSession, path: str) -> str | None:
+    """Plain name of a folder that any task can look into, or None if ``path`` is something else."""
+    place, store = hadoop_path(spark, path)
+    if store.getUri().getScheme() != "file" or any(c in path for c in "*?[]{}\\"):
+        return None
+    if not store.exists(place) or not store.getFileStatus(place).isDirectory():
+        return None
+    return store.makeQualified(place).toUri().getPath()
+
+
+_ENTRY = "path string, modificationTime timestamp, length bigint, upto bigint"
+_ENTRIES = 4096  # in a batch
+
+
+def _listed_by_task(spark: SparkSession, folder: str) -> DataFrame | None:
+    """``path, modificationTime, length`` of a folder's PDF files; None if Spark would look for partitions below it."""
+    conf = spark._jsparkSession.sessionState().conf()
+    opening, most = conf.filesOpenCostInBytes(), conf.filesMaxPartitionBytes()
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            yield from _entries(folder, opening, most)
+
+    rows, seen = materialize_counted(
+        spark.range(0, 1, 1, 1).mapInArrow(look, _ENTRY),
+        "listed",
+        upto=F.max("upto"),
+        partitions=F.count_if(F.col("path").isNull()),
+    )
+    if seen["partitions"]:
+        return None
+    # As Spark deals files: at most so many bytes a task, opening a file counted as some, and less where cores would be idle.
+    total = seen["upto"] or 0
+    share = min(most, max(opening, total // spark.sparkContext.defaultParallelism, 1))
+    tasks = max(1, -(-total // share))
+    task = F.floor((F.col("upto") - 1) / F.lit(share)).cast("int")
+    return rows.repartitionById(tasks, task).drop("upto")
+
+
+def _entries(folder: str, opening: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Files of a folder as Spark lists them, some at a time; ``upto`` adds up what they count for.
+
+    A folder that Spark takes for a partition is a row without a path.
     """
-    return _listed(spark, path).select(
-        file_stem(F.col("path")).alias("doc_stem"), "path", "modificationTime", "length"
+    schema = pa.schema(
+        [("path", pa.string()), ("modificationTime", pa.timestamp("us", "UTC")), ("length", pa.int64()), ("upto", pa.int64())]
     )
+    rows, upto = [], 0
+    with os.scandir(folder) as found:
+        for entry in found:
+            name = entry.name
+            if name.startswith(".") or name.startswith("_") and "=" not in name:
+                continue
+            try:
+                if entry.is_dir():
+                    if "=" in name:
+                        rows.append((None, None, None, None))
+                elif name.endswith(".pdf"):
+                    about = entry.stat()
+                    if not about.st_size:
+                        continue  # Spark passes over files without a byte
+                    upto += min(about.st_size + opening, most)
+                    path = f"file:{folder.rstrip('/')}/{name}".encode(errors="replace").decode()
+                    rows.append((path, about.st_mtime_ns // 1_000_000 * 1000, about.st_size, upto))
+            except FileNotFoundError:  # gone meanwhile, or a link to nowhere
+                continue
+            if len(rows) == _ENTRIES:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                rows = []
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
 @dataclass(frozen=True)

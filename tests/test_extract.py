@@ -1,3 +1,4 @@
+import os
 import sys
 
 import pytest
@@ -114,6 +115,46 @@ def test_small_files_share_tasks(spark, tmp_path):
         spark.conf.set(files._OPEN_COST, before)
 
 
+def test_a_folder_is_listed_by_a_task_as_spark_lists_it(spark, tmp_path):
+    for name in ("a.pdf", "b c.pdf", "d%20.pdf", "ü.pdf", "e.f.pdf", "_x.pdf", "_y=1.pdf", "_metadata.pdf", ".z.pdf", "g.PDF", "h.txt"):
+        (tmp_path / name).write_bytes(name.encode())
+    (tmp_path / "nothing.pdf").touch()
+    os.symlink(tmp_path / "a.pdf", tmp_path / "link.pdf")
+    os.symlink(tmp_path / "none.pdf", tmp_path / "lost.pdf")
+    (tmp_path / "below.pdf").mkdir()
+    (tmp_path / "below.pdf" / "inner.pdf").write_bytes(b"x")
+    columns = ["path", "modificationTime", "length"]
+    expected = sorted(files._listed(spark, str(tmp_path)).select(*columns).collect())
+    for path in (str(tmp_path), f"file://{tmp_path}", f"file:{tmp_path}/"):
+        listed = files.list_files(spark, path)
+        assert sorted(listed.select(*columns).collect()) == expected and len(expected) == 7
+        assert listed.inputFiles() and not any(f.endswith(".pdf") for f in listed.inputFiles())  # the driver has no list of them
+    assert {r.doc_stem for r in listed.collect()} >= {"b c", "d%20", "ü", "e.f", "link"}
+    one = files.list_files(spark, f"{tmp_path}/a.pdf")
+    assert [r.length for r in one.collect()] == [5]
+    assert files.list_files(spark, f"{tmp_path}/[a]*.pdf").count() == 1
+
+
+def test_a_folder_of_partitions_is_listed_as_before(spark, tmp_path):
+    (tmp_path / "year=1").mkdir()
+    (tmp_path / "year=1" / "a.pdf").write_bytes(b"x")
+    (tmp_path / "empty").mkdir()
+    assert [r.doc_stem for r in files.list_files(spark, str(tmp_path)).collect()] == ["a"]
+    assert files.list_files(spark, f"{tmp_path}/empty").count() == 0
+
+
+def test_large_files_take_a_task_each_and_small_ones_share(spark, tmp_path):
+    for n in range(6):
+        with open(tmp_path / f"large{n}.pdf", "wb") as f:
+            f.truncate(1 << 30)  # sparse
+    for n in range(50):
+        (tmp_path / f"small{n}.pdf").write_bytes(b"x")
+    listed = files.list_files(spark, str(tmp_path))
+    dealt = [part for part in listed.rdd.glom().collect() if part]
+    assert listed.rdd.getNumPartitions() <= 8 and sum(map(len, dealt)) == 56
+    assert max(sum(r.length == 1 << 30 for r in part) for part in dealt) <= 2
+
+
 def test_pages_of_short_files_share_batches_and_bytes_of_long_ones_do_not():
     short = [("s", 0, "text", None, None, None)] * 300
     assert [len(part) for part in extract._batched(short)] == [256, 44]
